@@ -162,3 +162,93 @@ SELECT doc_id, path, {DIR} AS directory, split_part(path, '/', -1) AS file_name,
 sql("path_last_two", "SELECT doc_id, split_part(path, '/', -1) AS last, split_part(path, '/', -2) AS second FROM corpus")
 sql("path_relative", """
 SELECT doc_id, split_part(path, '/', -1) AS rel, '../../../' || split_part(path, '/', -1) AS rel_deep FROM corpus""")
+
+# --- X5, X6, J1, S10, F1-F6, S3-S5, J5 -----------------------------------------------
+EXT = "regexp_extract(split_part(path, '/', -1), '^.+\\.([^.]*)$', 1)"
+LANG = (f"CASE {EXT} WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'rb' THEN 'ruby' WHEN 'cpp' THEN 'cpp' "
+        f"WHEN 'h' THEN 'cpp' WHEN 'hpp' THEN 'cpp' WHEN 'ts' THEN 'typescript' WHEN 'js' THEN 'javascript' END")
+DIM = """dim(language, comment_prefix, indent_unit, root_kind, decorator_kind, comment_kind) AS (VALUES
+ ('rust', '/// [TODO]', '    ', 'source_file', 'attribute_item', 'line_comment'),
+ ('python', '# [TODO]', '    ', 'module', NULL, 'comment'),
+ ('ruby', '# [TODO]', '  ', 'program', NULL, 'comment'),
+ ('cpp', '/// [TODO]', '    ', 'translation_unit', NULL, 'comment'),
+ ('typescript', '// [TODO]', '    ', 'program', 'decorator', 'comment'),
+ ('javascript', '// [TODO]', '    ', 'program', 'decorator', 'comment'))"""
+sql("lang_detect", f"""
+SELECT doc_id, {EXT} AS ext, coalesce({LANG}, {EXT}) AS language, coalesce(d.comment_prefix, '') AS comment_prefix,
+       {LANG} IS NOT NULL AS supported
+FROM corpus LEFT JOIN dim d ON d.language = {LANG}""", DIM)
+sql("dim_lookup", f"""
+SELECT doc_id, d.language, comment_prefix, indent_unit, root_kind, decorator_kind, comment_kind
+FROM corpus JOIN dim d ON d.language = {LANG}""", DIM)
+sql("filter_ext", f"SELECT doc_id, path FROM corpus WHERE {EXT} NOT IN ('md', 'json')")
+sql("filter_hidden", "SELECT doc_id, path FROM corpus WHERE NOT starts_with(split_part(path, '/', -1), '.')")
+sql("filter_gitignore", """
+SELECT doc_id, path FROM corpus
+WHERE NOT coalesce(CASE
+  WHEN regexp_matches(substr(path, 6), '^src3/(.*/)?[^/]*\\.go(/.*)?$') THEN true
+  WHEN regexp_matches(substr(path, 6), '^(.*/)?test_[^/]*$') THEN false
+  WHEN regexp_matches(substr(path, 6), '^(.*/)?[^/]*\\.m[^/]$') THEN true
+  WHEN regexp_matches(substr(path, 6), '^src2/.*$') THEN true
+  WHEN regexp_matches(substr(path, 6), '^(.*/)?doc_1[^/]*\\.json$') THEN false
+  WHEN regexp_matches(substr(path, 6), '^(.*/)?[^/]*\\.json$') THEN true END, false)""")
+sql("filter_test_path", "SELECT doc_id, path FROM corpus WHERE NOT contains(path, 'test')")
+sql("filter_language", f"SELECT doc_id, path, {LANG} AS language FROM corpus WHERE {LANG} IS NOT NULL")
+sql("select_only", f"SELECT doc_id, coalesce({LANG}, {EXT}) AS language FROM corpus "
+                   "WHERE coalesce(" + LANG + ", " + EXT + ") IN ('python', 'rust', 'md')")
+sql("select_except", f"SELECT doc_id, coalesce({LANG}, {EXT}) AS language FROM corpus "
+                     "WHERE coalesce(" + LANG + ", " + EXT + ") NOT IN ('python', 'rust', 'md')")
+sql("path_glob", "SELECT doc_id, path FROM corpus WHERE path GLOB 'root/src1*/*.py'")
+sql("path_eq", "SELECT doc_id, path FROM corpus WHERE path = 'root/src3/doc_3.cpp'")
+sql("strict_utf8_split", "SELECT doc_id, true AS valid, ends_with(content, chr(10)) AS has_eol FROM corpus")
+sql("project_root", f"""
+SELECT doc_id, path, m.root FROM corpus
+LEFT JOIN (SELECT DISTINCT {DIR} AS root FROM corpus WHERE starts_with(split_part(path, '/', -1), '.')) m
+  ON m.root = {DIR}""")
+
+# --- J3, J4, A6, X12 ---------------------------------------------------------------------
+sql("fuzzy_suggest", """
+SELECT word, CASE WHEN list_min(list_transform(vocab, lambda t: levenshtein(word, t))) = 0 THEN NULL
+  ELSE (list_min(list_filter(list_transform(range(1, 10), lambda i: {'d': levenshtein(word, vocab[i]), 'i': i, 'term': vocab[i]}),
+        lambda c: c.d BETWEEN 1 AND 3))).term END AS suggestion
+FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part),
+     (SELECT ['init', 'reset', 'grep', 'help', 'file', 'pattern', 'format', 'json', 'plain'] AS vocab)""")
+sql("overlay_merge", """
+SELECT coalesce(u.name, b.name) AS name, coalesce(u.region_key, b.region_key) AS region_key,
+       coalesce(u.supplier_count, b.supplier_count) AS supplier_count, coalesce(u.source, b.source) AS source,
+       CAST(CASE WHEN u.name IS NOT NULL THEN 2 ELSE 4 END AS BIGINT) AS indent_width,
+       CASE WHEN u.name IS NOT NULL THEN NULL ELSE '    ' END AS indent_unit,
+       CAST(CASE WHEN u.name IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS ord_group,
+       CAST(coalesce(u.ord, b.ord) AS BIGINT) AS ord
+FROM (SELECT n_name AS name, CAST(n_regionkey AS BIGINT) AS region_key, CAST(NULL AS BIGINT) AS supplier_count,
+             'base' AS source, n_nationkey AS ord FROM nation) b
+FULL OUTER JOIN (SELECT 'NATION_' || CAST(s_nationkey + 20 AS VARCHAR) AS name, CAST(NULL AS BIGINT) AS region_key,
+             CAST(count(*) AS BIGINT) AS supplier_count, 'user' AS source, s_nationkey + 20 AS ord
+             FROM supplier GROUP BY s_nationkey) u ON u.name = b.name""")
+RULES = """rules(language, kind, is_ignorable, is_scope) AS (VALUES
+ ('rust','type_item',true,false),('rust','static_item',true,false),('rust','extern_crate_declaration',true,false),
+ ('rust','const_item',true,false),('rust','use_declaration',true,false),('rust','expression_statement',true,false),
+ ('rust','macro_invocation',true,false),('rust','foreign_mod_item',true,false),
+ ('typescript','string_fragment',true,false),('typescript','import_specifier',true,false),('typescript','named_imports',true,false),
+ ('javascript','string_fragment',true,false),('javascript','import_specifier',true,false),('javascript','named_imports',true,false),
+ ('rust','attribute_item',false,false),('rust','mod_item',false,true),('rust','enum_item',false,false),('rust','impl_item',false,true),
+ ('rust','function_item',false,false),('rust','struct_item',false,false),('rust','trait_item',false,false),('rust','macro_definition',false,false),
+ ('python','class_definition',false,true),('python','function_definition',false,false),('python','decorated_definition',false,false),
+ ('ruby','class',false,true),('ruby','method',false,false),('ruby','function',false,false),('ruby','module',false,true),
+ ('cpp','namespace_definition',false,true),('cpp','function_definition',false,false),('cpp','class_specifier',false,true),
+ ('typescript','enum_declaration',false,false),('typescript','function_declaration',false,false),('typescript','class_declaration',false,true),
+ ('typescript','method_definition',false,false),('typescript','interface_declaration',false,false),('typescript','export_statement',false,false),
+ ('typescript','expression_statement',false,true),
+ ('javascript','enum_declaration',false,false),('javascript','function_declaration',false,false),('javascript','class_declaration',false,true),
+ ('javascript','method_definition',false,false),('javascript','interface_declaration',false,false),('javascript','export_statement',false,false),
+ ('javascript','expression_statement',false,true))"""
+sql("scannable_rules", f"""
+SELECT r.language, kind, is_ignorable, is_scope, CAST(count(*) AS BIGINT) AS n_files
+FROM corpus JOIN rules r ON r.language = {LANG} GROUP BY ALL""", RULES)
+sql("point_in_range", """
+SELECT doc_id, line_no, c AS col,
+       (line_no < 10 OR (line_no = 10 AND c < 5)) AS before,
+       (line_no > 20 OR (line_no = 20 AND c > 40)) AS after,
+       NOT (line_no < 10 OR (line_no = 10 AND c < 5)) AND NOT (line_no > 20 OR (line_no = 20 AND c > 40)) AS member
+FROM (SELECT doc_id, line_no, CAST(strlen(substr(line, 1, instr(line, '[TODO]') - 1)) AS BIGINT) AS c
+      FROM marked WHERE contains(line, '[TODO]'))""")

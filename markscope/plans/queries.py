@@ -242,3 +242,145 @@ def q_path_relative(spark, sf):
     deep = F.concat(F.lit("/home/user/work/"), F.col("path"))
     return c.select("doc_id", relative_display(directory("path"), "path").alias("rel"),
                     relative_display(directory(deep), deep).alias("rel_deep"))
+
+
+# --- X5, X6, J1, S10, F1-F6, S3-S5, J5 ---------------------------------------------------
+from markscope.functions.points import is_after, is_before, is_member_of, point  # noqa: E402
+from markscope.operators import lang as L  # noqa: E402
+from markscope.operators import select as S  # noqa: E402
+from markscope.operators.gitignore import drop_gitignored, rules_frame  # noqa: E402
+from markscope.operators.lines import split_strict_utf8  # noqa: E402
+from markscope.operators.overlay import overlay  # noqa: E402
+from markscope.operators.project import marker_dirs, project_roots  # noqa: E402
+from markscope.operators.suggest import suggest  # noqa: E402
+
+# Query parameters for selection.
+GITIGNORE = [("root", "*.json"), ("root", "!doc_1*.json"), ("root", "/src2/"), ("root", "*.m?"),
+             ("root", "!test_*"), ("root", "src3/**/*.go")]
+ONLY = ["python", "rust", "md"]
+GLOB = "root/src1*/*.py"
+ONE_PATH = "root/src3/doc_3.cpp"
+
+
+def _files(spark, sf):
+    return TB.corpus(spark, sf).select("doc_id", "path")
+
+
+@query("lang_detect")
+def q_lang_detect(spark, sf):
+    return L.detect_language(_files(spark, sf)).select("doc_id", "ext", "language", "comment_prefix", "supported")
+
+
+@query("dim_lookup")
+def q_dim_lookup(spark, sf):
+    dim = F.broadcast(L.dim_extension_language(spark))
+    f = _files(spark, sf).withColumn("ext", extension("path"))
+    return f.join(dim, "ext").select("doc_id", "language", "comment_prefix", "indent_unit", "root_kind",
+                                     "decorator_kind", "comment_kind")
+
+
+@query("filter_ext")
+def q_filter_ext(spark, sf):
+    return S.drop_ignored_extensions(_files(spark, sf))
+
+
+@query("filter_hidden")
+def q_filter_hidden(spark, sf):
+    return S.drop_hidden(_files(spark, sf))
+
+
+@query("filter_gitignore")
+def q_filter_gitignore(spark, sf):
+    return drop_gitignored(_files(spark, sf), rules_frame(spark, GITIGNORE))
+
+
+@query("filter_test_path")
+def q_filter_test_path(spark, sf):
+    return S.drop_test_paths(_files(spark, sf))
+
+
+@query("filter_language")
+def q_filter_language(spark, sf):
+    return L.supported_only(_files(spark, sf)).select("doc_id", "path", "language")
+
+
+@query("select_only")
+def q_select_only(spark, sf):
+    f = L.detect_language(_files(spark, sf)).select("doc_id", "language")
+    return S.select_names(f, ONLY, "language", only=True)
+
+
+@query("select_except")
+def q_select_except(spark, sf):
+    f = L.detect_language(_files(spark, sf)).select("doc_id", "language")
+    return S.select_names(f, ONLY, "language", only=False)
+
+
+@query("path_glob")
+def q_path_glob(spark, sf):
+    return S.select_glob(_files(spark, sf), GLOB)
+
+
+@query("path_eq")
+def q_path_eq(spark, sf):
+    return S.select_path(_files(spark, sf), ONE_PATH)
+
+
+@query("strict_utf8_split")
+def q_strict_utf8_split(spark, sf):
+    files = TB.corpus(spark, sf).select("doc_id", F.col("content").cast("binary").alias("content"))
+    good, bad = split_strict_utf8(files)
+    return good.select("doc_id", F.lit(True).alias("valid"), "has_eol") \
+               .unionByName(bad.select("doc_id", F.lit(False).alias("valid"), F.lit(None).cast("boolean").alias("has_eol")))
+
+
+@query("project_root")
+def q_project_root(spark, sf):
+    f = _files(spark, sf)
+    return project_roots(f, marker_dirs(f, hidden_names=True)).select("doc_id", "path", "root")
+
+
+# --- J3, J4, A6, X12 ---------------------------------------------------------------------
+@query("fuzzy_suggest")
+def q_fuzzy_suggest(spark, sf):
+    words = TB.table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    return words.select("word", suggest("word").alias("suggestion"))
+
+
+@query("overlay_merge")
+def q_overlay_merge(spark, sf):
+    nat = TB.table(spark, sf, "nation")
+    sup = TB.table(spark, sf, "supplier")
+    base = nat.select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("bigint").alias("region_key"),
+                      F.lit(None).cast("bigint").alias("supplier_count"), F.lit("base").alias("source"),
+                      F.struct(F.lit(4).alias("width"), F.lit("    ").alias("unit")).alias("indent"),
+                      F.col("n_nationkey").cast("bigint").alias("ord"))
+    k = (F.col("s_nationkey") + 20).cast("bigint")
+    user = sup.groupBy(k.alias("k")).agg(F.count(F.lit(1)).cast("bigint").alias("supplier_count")).select(
+        F.concat(F.lit("NATION_"), F.col("k").cast("string")).alias("name"),
+        F.lit(None).cast("bigint").alias("region_key"), "supplier_count", F.lit("user").alias("source"),
+        F.struct(F.lit(2).alias("width"), F.lit(None).cast("string").alias("unit")).alias("indent"),
+        F.col("k").alias("ord"))
+    m = overlay(base, user)
+    return m.select("name", "region_key", "supplier_count", "source", F.col("indent.width").cast("bigint").alias("indent_width"),
+                    F.col("indent.unit").alias("indent_unit"), F.col("ord_group").cast("bigint").alias("ord_group"),
+                    F.col("ord").cast("bigint").alias("ord"))
+
+
+@query("scannable_rules")
+def q_scannable_rules(spark, sf):
+    f = L.detect_language(_files(spark, sf))
+    rules = F.broadcast(L.scannable_rules(spark))
+    return f.join(rules, "language").groupBy("language", "kind", "is_ignorable", "is_scope") \
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n_files"))
+
+
+@query("point_in_range")
+def q_point_in_range(spark, sf):
+    g = _marked_grep(spark, sf, [LIT])
+    p = point("line_no", F.element_at("position", 1))
+    start = point(F.lit(10).cast("bigint"), F.lit(5).cast("bigint"))
+    end = point(F.lit(20).cast("bigint"), F.lit(40).cast("bigint"))
+    return g.select("doc_id", "line_no", F.element_at("position", 1).alias("col"),
+                    is_before(p, start).alias("before"), is_after(p, end).alias("after"),
+                    is_member_of(p, start, end).alias("member"))
