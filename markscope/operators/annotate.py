@@ -27,16 +27,16 @@ def annotate_lines(files: DataFrame, path_col: str = "path", lang_col: str = "la
     files as numbered lines."""
     l2 = declarations(outline_lines(files, path_col, lang_col, content_col))
     syms = symbols_from(l2).where(F.col("role").isin("decl", "scope"))
-    comments = syms.select("path", F.col("start").alias("line_no"), F.lit(0).alias("sub"),
+    comments = syms.select("path", "language", F.lit(None).cast("boolean").alias("has_eol"),
+                           F.col("start").alias("line_no"), F.lit(0).alias("sub"),
                            comment_text(F.col("language"), F.col("level"), F.col("scope")).alias("text"))
-    src = l2.select("path", "line_no", F.lit(1).alias("sub"), F.col("line").alias("text"))
-    meta = l2.where(F.col("line_no") == 1).select("path", "language", "has_eol")
-    return merge_comments(src, comments, meta)
+    src = l2.select("path", "language", "has_eol", "line_no", F.lit(1).alias("sub"), F.col("line").alias("text"))
+    return merge_comments(src, comments)
 
 
-def merge_comments(src: DataFrame, comments: DataFrame, meta: DataFrame) -> DataFrame:
+def merge_comments(src: DataFrame, comments: DataFrame) -> DataFrame:
     """O3 + W3 + W4 over source lines and comment rows of the same files."""
-    u = src.unionByName(comments).join(meta, "path")
+    u = src.unionByName(comments)
     w = Window.partitionBy("path").orderBy("line_no", "sub")
     u = u.withColumn("_prev", F.lag("text").over(w))
     prefix = comment_prefix_of(F.col("language"))
@@ -65,7 +65,7 @@ def rebuild_files(lines: DataFrame) -> DataFrame:
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))),
                                     lambda x: x["line"]), "\n")
     return lines.groupBy("path").agg(
-        F.concat(body, F.when(F.first("has_eol"), F.lit("\n")).otherwise(F.lit(""))).alias("content"))
+        F.concat(body, F.when(F.max("has_eol"), F.lit("\n")).otherwise(F.lit(""))).alias("content"))
 
 
 def annotate_files(files: DataFrame, **kw) -> DataFrame:

@@ -220,31 +220,7 @@ def declarations(lines: DataFrame) -> DataFrame:
     return l2
 
 
-def _key_frames(l2: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split lines into (opener rows, declaration rows) for the nesting lookup."""
-    brace = F.col("language").isin(BRACE_LANGS)
-    # declaration facts
-    d = l2.where(F.col("rule").isNotNull() & (F.col("rule.role") != "decorator") & (F.col("pdepth") <= 0))
-    flags = F.col("rule.flags")
-    has_body_brace = F.col("next_open").isNotNull() & (F.col("next_semi").isNull() | (F.col("next_open") < F.col("next_semi")) |
-                                                        ((F.col("next_open") == F.col("next_semi")) &
-                                                         (F.instr("m", "{") < F.instr("m", ";"))))
-    opener = F.when(brace, F.when(has_body_brace, F.col("next_open"))) \
-              .otherwise(F.when(F.col("next_indent") > F.col("indent"), F.col("line_no")))
-    start = F.when(F.col("rule.role") == "ignorable", F.col("line_no")) \
-             .otherwise(F.coalesce(F.col("first_deco"), F.col("line_no")))
-    decl = d.select("path", "language", F.col("line_no").alias("header"), start.alias("start"),
-                    F.col("rule.kind").alias("kind"), F.col("rule.role").alias("role"),
-                    F.coalesce(F.col("rule.name"), F.lit("")).alias("name_raw"),
-                    flags.alias("flags"), "indent", "depth", "net", "lo", opener.alias("opener"),
-                    "prev_m", "kset")
-    decl = decl.where(~(F.col("flags").contains("body") & F.col("opener").isNull()))
-    # Python: a decorated class or function is one decorated_definition,
-    # which is not walked into
-    decorated = (F.col("language") == "python") & (F.col("start") < F.col("header"))
-    decl = decl.withColumn("kind", F.when(decorated, F.lit("decorated_definition")).otherwise(F.col("kind"))) \
-               .withColumn("role", F.when(decorated, F.lit("decl")).otherwise(F.col("role")))
-    return decl, l2
+_EVENT = ("struct<key:int,tag:int,pos:bigint,o_line:bigint,o_indent:int,o_name:string,o_scope:boolean>")
 
 
 def symbols(files: DataFrame, path_col: str = "path", lang_col: str = "language",
@@ -262,75 +238,95 @@ def symbols(files: DataFrame, path_col: str = "path", lang_col: str = "language"
 
 
 def symbols_from(l2: DataFrame, keep_all: bool = False) -> DataFrame:
-    """``symbols`` over the output of ``declarations`` (shared with annotate)."""
-    decl, _ = _key_frames(l2)
+    """``symbols`` over the output of ``declarations`` (shared with annotate).
+
+    One pass: every line emits "opener" events (the levels it leaves open,
+    with the declaration owning that block) and every declaration emits
+    "lookup" events (the levels it must be nested in); a window per
+    (path, level) hands each lookup the last opener before it, and one
+    grouping per declaration assembles the scope path.
+    """
+    brace = F.col("language").isin(BRACE_LANGS)
+    w = Window.partitionBy("path").orderBy("line_no")
+    # --- declaration facts on their own line --------------------------------
+    role0 = F.col("rule.role")
+    is_decl = F.col("rule").isNotNull() & (role0 != "decorator") & (F.col("pdepth") <= 0)
+    flags = F.coalesce(F.col("rule.flags"), F.lit(""))
+    has_body_brace = F.col("next_open").isNotNull() & (
+        F.col("next_semi").isNull() | (F.col("next_open") < F.col("next_semi")) |
+        ((F.col("next_open") == F.col("next_semi")) & (F.instr("m", "{") < F.instr("m", ";"))))
+    opener = F.when(brace, F.when(has_body_brace, F.col("next_open"))) \
+              .otherwise(F.when(F.col("next_indent") > F.col("indent"), F.col("line_no")))
+    start = F.when(role0 == "ignorable", F.col("line_no")).otherwise(F.coalesce(F.col("first_deco"), F.col("line_no")))
+    prev_m = F.coalesce(F.col("prev_m"), F.lit(""))
+    cpp_fn = (F.col("language") == "cpp") & (F.col("rule.kind") == "function_definition")
     # C++: a function whose return type sits alone on the line above starts there
-    type_line = F.col("prev_m").rlike(r"^\s*(?:[\w:<>,*&]+\s*)+$") & \
-        ~F.col("prev_m").rlike(r"^\s*(?:public|private|protected)\s*:") & \
-        ~F.col("prev_m").rlike(r"^\s*template\s*<")
-    decl = decl.withColumn("start", F.when((F.col("language") == "cpp") & (F.col("kind") == "function_definition")
-                                           & type_line & (F.col("start") == F.col("header")),
-                                           F.col("header") - 1).otherwise(F.col("start")))
+    type_line = prev_m.rlike(r"^\s*(?:[\w:<>,*&]+\s*)+$") & ~prev_m.rlike(r"^\s*(?:public|private|protected)\s*:") \
+        & ~prev_m.rlike(r"^\s*template\s*<") & (prev_m.rlike(r"\S"))
     # C++ templates are not declarations the reference lists
-    decl = decl.where(~((F.col("language") == "cpp") & F.coalesce(F.col("prev_m"), F.lit("")).rlike(r"^\s*template\s*<")))
-    decl = decl.withColumn("name", F.coalesce(F.nullif(F.col("name_raw"), F.lit("")), F.lit("anonymous")))
-    brace = F.col("language").isin(BRACE_LANGS)
-
-    # --- opener rows: lines that leave blocks open, keyed by level -------------
+    template = (F.col("language") == "cpp") & prev_m.rlike(r"^\s*template\s*<")
+    d = l2.withColumn("d_ok", is_decl & ~(flags.contains("body") & opener.isNull()) & ~template) \
+          .withColumn("opener", opener) \
+          .withColumn("start", F.when(cpp_fn & type_line & (start == F.col("line_no")), F.col("line_no") - 1)
+                      .otherwise(start))
+    # Python: a decorated class or function is one decorated_definition, not walked into
+    decorated = (F.col("language") == "python") & (F.col("start") < F.col("line_no"))
+    d = d.withColumn("kind", F.when(decorated, F.lit("decorated_definition")).otherwise(F.col("rule.kind"))) \
+         .withColumn("role", F.when(decorated, F.lit("decl")).otherwise(role0)) \
+         .withColumn("name", F.coalesce(F.nullif(F.col("rule.name"), F.lit("")), F.lit("anonymous")))
+    # --- the declaration owning the block a line opens -----------------------
+    own = F.when(F.col("d_ok") & F.col("opener").isNotNull(),
+                 F.struct(F.col("opener").alias("at"), F.col("name").alias("n"),
+                          (F.col("role") == "scope").alias("scope")))
+    d = d.withColumn("_pend", F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    here = F.col("_pend.at") == F.col("line_no")
+    # --- events --------------------------------------------------------------
     brace_keys = F.when(F.col("net") - F.col("lo") > 0,
                         F.sequence(F.col("depth") + F.col("lo"), F.col("depth") + F.col("net") - 1))
     indent_keys = F.when(~F.col("blank") & (F.col("next_indent") > F.col("indent")),
                          F.filter("kset", lambda k: k >= F.col("indent")))
-    openers = l2.select("path", "language", "line_no", "indent",
-                        F.explode(F.when(F.col("language").isin(BRACE_LANGS), brace_keys).otherwise(indent_keys))
-                        .alias("key"))
-    openers = openers.select("path", "language", "key", F.col("line_no").alias("pos"), F.lit(1).alias("tag"),
-                             F.col("line_no").alias("o_line"), F.col("indent").alias("o_indent"),
-                             F.lit(None).cast("bigint").alias("d_id"))
-
-    # --- lookup rows: one per level a declaration must be nested in ------------
-    look_keys = F.when(brace, F.when(F.col("depth") > 0, F.sequence(F.lit(0), F.col("depth") - 1))) \
-                 .otherwise(F.filter(F.coalesce(F.col("kset"), F.array().cast("array<int>")),
-                                     lambda k: k < F.col("indent")))
-    lookups = decl.select("path", "language", F.col("header").alias("d_id"), "start",
-                          F.explode_outer(look_keys).alias("key"))
+    okeys = F.coalesce(F.when(brace, brace_keys).otherwise(indent_keys), F.array().cast("array<int>"))
+    open_ev = F.transform(okeys, lambda k: F.struct(
+        k.alias("key"), F.lit(1).alias("tag"), F.col("line_no").alias("pos"), F.col("line_no").alias("o_line"),
+        F.col("indent").alias("o_indent"), F.when(here, F.col("_pend.n")).alias("o_name"),
+        F.when(here, F.col("_pend.scope")).alias("o_scope")).cast(_EVENT))
+    lkeys = F.when(brace, F.when(F.col("depth") > 0, F.sequence(F.lit(0), F.col("depth") - 1))) \
+             .otherwise(F.filter(F.coalesce(F.col("kset"), F.array().cast("array<int>")),
+                                 lambda k: k < F.col("indent")))
+    lkeys = F.when(F.size(F.coalesce(lkeys, F.array().cast("array<int>"))) > 0, lkeys) \
+             .otherwise(F.array(F.lit(None).cast("int")))
     # at equal positions a lookup comes first: a line never encloses itself
-    lookups = lookups.select("path", "language", "key", F.col("start").alias("pos"), F.lit(0).alias("tag"),
-                             F.lit(None).cast("bigint").alias("o_line"), F.lit(None).cast("int").alias("o_indent"),
-                             "d_id")
-    ev = openers.unionByName(lookups)
+    look_ev = F.when(F.col("d_ok"), F.transform(lkeys, lambda k: F.struct(
+        k.alias("key"), F.lit(0).alias("tag"), F.col("start").alias("pos"), F.lit(None).cast("bigint").alias("o_line"),
+        F.lit(None).cast("int").alias("o_indent"), F.lit(None).cast("string").alias("o_name"),
+        F.lit(None).cast("boolean").alias("o_scope")).cast(_EVENT))).otherwise(F.array().cast(f"array<{_EVENT}>"))
+    dcols = ["language", "start", "kind", "role", "name", "flags", "net", "opener"]
+    ev = d.withColumn("flags", flags).select(
+        "path", F.col("line_no").alias("header"), *dcols, F.explode(F.concat(open_ev, look_ev)).alias("e"))
+    ev = ev.select("path", "header", *dcols, "e.*")
     wk = Window.partitionBy("path", "key").orderBy("pos", "tag").rowsBetween(Window.unboundedPreceding, 0)
-    ev = ev.withColumn("enc", F.last(F.when(F.col("tag") == 1, F.struct("o_line", "o_indent")), ignorenulls=True).over(wk))
-    found = ev.where(F.col("tag") == 0).select("path", "language", "d_id", "key", F.col("enc.o_line").alias("o_line"),
-                                               F.col("enc.o_indent").alias("o_indent"))
+    ev = ev.withColumn("enc", F.last(F.when(F.col("tag") == 1, F.struct("o_line", "o_indent", "o_name", "o_scope")),
+                                     ignorenulls=True).over(wk))
+    look = ev.where(F.col("tag") == 0)
     # indentation: a block at level k exists only if its opener sits at indent k
-    found = found.where(F.col("key").isNull() |
-                        F.col("language").isin(BRACE_LANGS) | (F.col("o_indent") == F.col("key")))
-    # map enclosing opener lines to the declarations that own them
-    owners = decl.where(F.col("opener").isNotNull()).select(
-        "path", F.col("opener").alias("o_line"), F.col("name").alias("o_name"),
-        (F.col("role") == "scope").alias("o_scope"), F.col("header").alias("o_header"))
-    owners = owners.groupBy("path", "o_line").agg(F.max_by(F.struct("o_name", "o_scope"), "o_header").alias("o"))
-    found = found.join(owners, ["path", "o_line"], "left")
-    anc = found.groupBy("path", "d_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(),
-                                           F.struct("o_line", F.col("o.o_name").alias("n"),
-                                                    F.coalesce(F.col("o.o_scope"), F.lit(False)).alias("ok"))))
-                     ).alias("anc"))
-    out = decl.join(anc.withColumnRenamed("d_id", "header"), ["path", "header"], "left")
-    valid = F.forall(F.coalesce(F.col("anc"), F.array()), lambda a: a["ok"])
+    counts = F.col("key").isNotNull() & (F.col("language").isin(BRACE_LANGS) | (F.col("enc.o_indent") == F.col("key")))
+    anc_item = F.when(counts, F.struct(F.col("enc.o_line").alias("o_line"), F.col("enc.o_name").alias("n"),
+                                       F.coalesce(F.col("enc.o_scope"), F.lit(False)).alias("ok")))
+    out = look.groupBy("path", "header").agg(*[F.first(c).alias(c) for c in dcols],
+                                             F.array_sort(F.collect_list(anc_item)).alias("anc"))
+    valid = F.forall("anc", lambda a: a["ok"])
     # methods must sit directly in a scope body (not at the root)
-    member_ok = ~F.col("flags").contains("member") | (F.size(F.coalesce(F.col("anc"), F.array())) > 0)
+    member_ok = ~F.col("flags").contains("member") | (F.size("anc") > 0)
     out = out.withColumn("ok", valid & member_ok)
     if not keep_all:
         out = out.where("ok")
-    scope = F.concat(F.transform(F.coalesce(F.col("anc"), F.array()), lambda a: a["n"]), F.array(F.col("name")))
+    scope = F.concat(F.transform("anc", lambda a: a["n"]), F.array(F.col("name")))
     # Rust: a module whose block ends on its first line gets no comment
     oneline = F.col("flags").contains("oneline_ignorable") & (
         F.col("opener").isNull() | ((F.col("opener") == F.col("header")) & (F.col("net") <= 0)))
     role = F.when(oneline, F.lit("ignorable")).otherwise(F.col("role"))
     return out.select("path", "language", "start", "header", "kind", role.alias("role"), "name",
-                      F.when(F.col("ok"), F.size(F.coalesce(F.col("anc"), F.array()))).cast("bigint").alias("level"),
+                      F.when(F.col("ok"), F.size("anc")).cast("bigint").alias("level"),
                       scope.alias("scope"), F.array_join(scope, " > ").alias("scope_path"))
 
 

@@ -252,3 +252,94 @@ SELECT doc_id, line_no, c AS col,
        NOT (line_no < 10 OR (line_no = 10 AND c < 5)) AND NOT (line_no > 20 OR (line_no = 20 AND c > 40)) AS member
 FROM (SELECT doc_id, line_no, CAST(strlen(substr(line, 1, instr(line, '[TODO]') - 1)) AS BIGINT) AS c
       FROM marked WHERE contains(line, '[TODO]'))""")
+
+# --- T1-T7, X7, X11, W2-W4, O3, S6 (generated code corpus) ----------------------------
+CODE = """
+code_sup AS (
+  SELECT regexp_replace(r_name, '[^A-Za-z0-9_]', '_', 'g') AS region,
+         regexp_replace(n_name, '[^A-Za-z0-9_]', '_', 'g') AS nation,
+         regexp_replace(s_name, '[^A-Za-z0-9_]', '_', 'g') AS supplier,
+         s_suppkey, CAST(floor(s_suppkey / 1000) AS BIGINT) AS chunk
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+code_sym AS (
+  SELECT *, 'code/' || region || '/' || nation || '_' || CAST(chunk AS VARCHAR) AS stem,
+         CAST(row_number() OVER (PARTITION BY region, nation, chunk ORDER BY s_suppkey) - 1 AS BIGINT) AS k,
+         CAST(count(*) OVER (PARTITION BY region, nation, chunk) AS BIGINT) AS n
+  FROM code_sup),
+code_file AS (SELECT DISTINCT stem, region, nation, n FROM code_sym)"""
+
+# expected declarations: (file ext, source, start, header, kind, name, level, scope path, role)
+_DECLS = [
+    ("py", "code_file", "1", "1", "'class_definition'", "region", 0, "region", "scope"),
+    ("py", "code_file", "3", "3", "'class_definition'", "nation", 1, "region || ' > ' || nation", "scope"),
+    ("py", "code_sym", "4 + 6 * k", "5 + 6 * k", "'decorated_definition'", "supplier", 2,
+     "region || ' > ' || nation || ' > ' || supplier", "decl"),
+    ("rs", "code_file", "1", "1", "'mod_item'", "region", 0, "region", "scope"),
+    ("rs", "code_file", "2", "2", "'mod_item'", "nation", 1, "region || ' > ' || nation", "scope"),
+    ("rs", "code_file", "3", "3", "'use_declaration'", "'anonymous'", 2,
+     "region || ' > ' || nation || ' > anonymous'", "ignorable"),
+    ("rs", "code_file", "5", "5", "'static_item'", "'anonymous'", 2,
+     "region || ' > ' || nation || ' > anonymous'", "ignorable"),
+    ("rs", "code_sym", "6 + 7 * k", "7 + 7 * k", "'struct_item'", "supplier", 2,
+     "region || ' > ' || nation || ' > ' || supplier", "decl"),
+    ("rs", "code_sym", "10 + 7 * k", "10 + 7 * k", "'impl_item'", "'fmt::Display'", 2,
+     "region || ' > ' || nation || ' > fmt::Display'", "scope"),
+    ("rs", "code_sym", "11 + 7 * k", "11 + 7 * k", "'function_item'", "'fmt'", 3,
+     "region || ' > ' || nation || ' > fmt::Display > fmt'", "decl"),
+]
+DECLS = "decls AS (" + " UNION ALL ".join(
+    f"SELECT stem || '.{e}' AS path, CAST({s} AS BIGINT) AS start, CAST({h} AS BIGINT) AS header, {kind} AS kind, "
+    f"{name} AS name, CAST({lv} AS BIGINT) AS level, {sp} AS scope_path, '{role}' AS role, "
+    f"'{'python' if e == 'py' else 'rust'}' AS language FROM {src}"
+    for e, src, s, h, kind, name, lv, sp, role in _DECLS) + ")"
+
+sql("symbol_decls", "SELECT path, start, header, kind, name FROM decls", CODE + "," + DECLS)
+sql("symbol_names", """
+SELECT path, header, kind, name, true AS walked FROM decls
+UNION ALL
+SELECT stem || '.py', CAST(7 + 6 * k AS BIGINT), 'function_definition', 'helper', false FROM code_sym""", CODE + "," + DECLS)
+sql("symbol_scope", "SELECT path, header, level, scope_path FROM decls", CODE + "," + DECLS)
+sql("symbol_ignorable", "SELECT path, header, kind FROM decls WHERE role = 'ignorable'", CODE + "," + DECLS)
+sql("decorator_anchor", "SELECT path, header, start AS anchor FROM decls WHERE start < header", CODE + "," + DECLS)
+sql("comment_line", """
+SELECT path, start, repeat('    ', CAST(level AS INTEGER)) || CASE language WHEN 'python' THEN '# [TODO] ' ELSE '/// [TODO] ' END
+       || scope_path AS comment
+FROM decls WHERE role <> 'ignorable'""", CODE + "," + DECLS)
+
+# expected annotated files: (ext, source, ord expression, line expression, is comment)
+_PY_SUP = ["'        # [TODO] ' || region || ' > ' || nation || ' > ' || supplier", "'        @deco'",
+           "'        def ' || supplier || '(self):'", "'            # def not_a_decl(): in a comment'",
+           "'            def helper():'", "'                pass'", "'            return helper'"]
+_RS_SUP = ["'        /// [TODO] ' || region || ' > ' || nation || ' > ' || supplier", "'        #[derive(Debug)]'",
+           "'        pub struct ' || supplier || ' {'", "'            id: u64,'", "'        }'",
+           "'        /// [TODO] ' || region || ' > ' || nation || ' > fmt::Display'",
+           "'        impl fmt::Display for ' || supplier || ' {'",
+           "'            /// [TODO] ' || region || ' > ' || nation || ' > fmt::Display > fmt'",
+           "'            fn fmt(&self, f: &mut fmt::Formatter) -> fmt::Result { write!(f, \"{{{}\", self.id) }'",
+           "'        }'"]
+_ANN = (
+    [("py", "code_file", str(i + 1), e, c) for i, (e, c) in enumerate([
+        ("'# [TODO] ' || region", True), ("'class ' || region || ':'", False),
+        ("'    \"\"\"Region ' || region || '. class Fake: def fake(): in a docstring\"\"\"'", False),
+        ("'    # [TODO] ' || region || ' > ' || nation", True), ("'    class ' || nation || ':'", False)])]
+    + [("py", "code_sym", f"6 + 7 * k + {i}", e, i == 0) for i, e in enumerate(_PY_SUP)]
+    + [("rs", "code_file", str(i + 1), e, c) for i, (e, c) in enumerate([
+        ("'/// [TODO] ' || region", True), ("'mod ' || region || ' {'", False),
+        ("'    /// [TODO] ' || region || ' > ' || nation", True), ("'    mod ' || nation || ' {'", False),
+        ("'        use std::fmt;'", False), ("'        #[allow(dead_code)]'", False),
+        ("'        static COUNT: u32 = 0;'", False)])]
+    + [("rs", "code_sym", f"8 + 10 * k + {i}", e, i in (0, 5, 7)) for i, e in enumerate(_RS_SUP)]
+    + [("rs", "code_file", "8 + 10 * n", "'    }'", False), ("rs", "code_file", "9 + 10 * n", "'}'", False)]
+)
+ANN = "ann AS (" + " UNION ALL ".join(
+    f"SELECT stem || '.{e}' AS path, CAST({o} AS BIGINT) AS ord, {ln} AS line, {str(c).lower()} AS is_comment FROM {src}"
+    for e, src, o, ln, c in _ANN) + ")"
+ANN_FILES = "ann_files AS (SELECT path, string_agg(line, chr(10) ORDER BY ord) || chr(10) AS content FROM ann GROUP BY path)"
+
+sql("annotate_lines", "SELECT path, ord, line, is_comment FROM ann", CODE + "," + ANN)
+sql("annotate_idempotent", "SELECT path, ord, line FROM ann", CODE + "," + ANN)
+sql("collapse_comments", "SELECT path, ord * 2 AS line_no, line FROM ann", CODE + "," + ANN)
+sql("annotate_files", "SELECT path, content FROM ann_files", CODE + "," + ANN + "," + ANN_FILES)
+sql("annotate_corpus", "SELECT path, content FROM ann_files", CODE + "," + ANN + "," + ANN_FILES)
+sql("annotate_glob", "SELECT path, content FROM ann_files WHERE path GLOB 'code/AFRICA/*.py'",
+    CODE + "," + ANN + "," + ANN_FILES)

@@ -384,3 +384,98 @@ def q_point_in_range(spark, sf):
     return g.select("doc_id", "line_no", F.element_at("position", 1).alias("col"),
                     is_before(p, start).alias("before"), is_after(p, end).alias("after"),
                     is_member_of(p, start, end).alias("member"))
+
+
+# --- T1-T7, X7, X11, W2-W4, O3, S6 (generated code corpus) --------------------------------
+from markscope.operators import annotate as A  # noqa: E402
+from markscope.operators.outline import comment_text, symbols  # noqa: E402
+from markscope.operators.gitignore import rules_frame as _rules  # noqa: E402
+
+# Selection parameters of the corpus-level annotation queries.
+CODE_GLOB = "code/AFRICA/*.py"
+CODE_RULES = [("code", "vendor/")]
+
+
+def _code(spark, sf):
+    return TB.code_files(spark, sf)
+
+
+@query("symbol_decls")
+def q_symbol_decls(spark, sf):
+    return symbols(_code(spark, sf)).select("path", "start", "header", "kind", "name")
+
+
+@query("symbol_names")
+def q_symbol_names(spark, sf):
+    s = symbols(_code(spark, sf), keep_all=True)
+    return s.select("path", "header", "kind", "name", F.col("level").isNotNull().alias("walked"))
+
+
+@query("symbol_scope")
+def q_symbol_scope(spark, sf):
+    return symbols(_code(spark, sf)).select("path", "header", "level", "scope_path")
+
+
+@query("symbol_ignorable")
+def q_symbol_ignorable(spark, sf):
+    return symbols(_code(spark, sf)).where(F.col("role") == "ignorable").select("path", "header", "kind")
+
+
+@query("decorator_anchor")
+def q_decorator_anchor(spark, sf):
+    s = symbols(_code(spark, sf))
+    return s.where(F.col("start") < F.col("header")).select("path", "header", F.col("start").alias("anchor"))
+
+
+@query("comment_line")
+def q_comment_line(spark, sf):
+    s = symbols(_code(spark, sf)).where(F.col("role").isin("decl", "scope"))
+    return s.select("path", "start", comment_text(F.col("language"), F.col("level"), F.col("scope")).alias("comment"))
+
+
+@query("annotate_lines")
+def q_annotate_lines(spark, sf):
+    return A.annotate_lines(_code(spark, sf)).select("path", "ord", "line", "is_comment")
+
+
+@query("annotate_idempotent")
+def q_annotate_idempotent(spark, sf):
+    once = A.annotate_files(_code(spark, sf))
+    once = once.withColumn("language", F.when(F.col("path").endswith(".rs"), "rust").otherwise("python"))
+    return A.annotate_lines(once).select("path", "ord", "line")
+
+
+@query("collapse_comments")
+def q_collapse_comments(spark, sf):
+    ann = A.annotate_lines(_code(spark, sf))
+    doubled = ann.select("path", "language", (F.col("ord") * 2).alias("line_no"), "line").unionByName(
+        ann.where("is_comment").select("path", "language", (F.col("ord") * 2 + 1).alias("line_no"), "line"))
+    return A.collapse_comments(doubled).select("path", "line_no", "line")
+
+
+@query("annotate_files")
+def q_annotate_files(spark, sf):
+    return A.annotate_files(_code(spark, sf))
+
+
+def _code_corpus_with_noise(spark, sf):
+    """The code files plus copies the selection must drop: hidden, test,
+    ignored extension, unsupported language, gitignored folder."""
+    c = _code(spark, sf).select("path", "content")
+    copies = F.array(F.col("path"),
+                     F.regexp_replace("path", "^code/", "code/.cache/"),
+                     F.regexp_replace("path", "^code/", "code/tests/"),
+                     F.concat(F.col("path"), F.lit(".orig")),
+                     F.concat(F.col("path"), F.lit("x")),
+                     F.regexp_replace("path", "^code/", "code/vendor/"))
+    return c.select(F.explode(copies).alias("path"), "content")
+
+
+@query("annotate_corpus")
+def q_annotate_corpus(spark, sf):
+    return A.annotate_corpus(_code_corpus_with_noise(spark, sf), _rules(spark, CODE_RULES), root="code")
+
+
+@query("annotate_glob")
+def q_annotate_glob(spark, sf):
+    return A.annotate_glob(_code_corpus_with_noise(spark, sf), CODE_GLOB)

@@ -96,39 +96,82 @@ def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint"))
 
 
-# The text of the generated Python files.
-CODE_HEADER = ["class {region}:",
-               '    """Region {region}. class Fake: def fake(): in a docstring"""',
-               "    class {nation}:"]
-CODE_PER_SUPPLIER = ["        @deco",
-                     "        def {supplier}(self):",
-                     "            # def not_a_decl(): in a comment",
-                     "            def helper():",
-                     "                pass",
-                     "            return helper"]
+# The text of the generated code files ({region}, {nation},
+# {supplier} are filled in).  Python: one class per region holding one class
+# per nation holding decorated methods; Rust: nested modules holding structs
+# with a trait impl.
+CODE_TEMPLATES = {
+    "python": {
+        "ext": "py",
+        "header": ["class {region}:",
+                   '    """Region {region}. class Fake: def fake(): in a docstring"""',
+                   "    class {nation}:"],
+        "per_supplier": ["        @deco",
+                         "        def {supplier}(self):",
+                         "            # def not_a_decl(): in a comment",
+                         "            def helper():",
+                         "                pass",
+                         "            return helper"],
+        "footer": [],
+    },
+    "rust": {
+        "ext": "rs",
+        "header": ["mod {region} {",
+                   "    mod {nation} {",
+                   "        use std::fmt;",
+                   "        #[allow(dead_code)]",
+                   "        static COUNT: u32 = 0;"],
+        "per_supplier": ["        #[derive(Debug)]",
+                         "        pub struct {supplier} {",
+                         "            id: u64,",
+                         "        }",
+                         "        impl fmt::Display for {supplier} {",
+                         '            fn fmt(&self, f: &mut fmt::Formatter) -> fmt::Result { write!(f, "{{{}", self.id) }',
+                         "        }"],
+        "footer": ["    }", "}"],
+    },
+}
+
+
+def _fill(t: str):
+    """Template -> Column, with the placeholders as format arguments."""
+    fmt = t.replace("%", "%%").replace("{region}", "%1$s").replace("{nation}", "%2$s") \
+           .replace("{supplier}", "%3$s")
+    return F.format_string(fmt, F.col("region"), F.col("nation"), F.col("supplier"))
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(path, line_no, line)`` of the generated code corpus."""
+    """``(path, language, line_no, line)`` of the generated code corpus."""
     syms = code_symbols(spark, sf_dir)
-    per = F.array(*[F.format_string(t.replace("{supplier}", "%1$s"), F.col("supplier"))
-                    if "{supplier}" in t else F.lit(t) for t in CODE_PER_SUPPLIER])
-    body = syms.select("path", F.posexplode(per).alias("i", "line"),
-                       (F.lit(len(CODE_HEADER) + 1) + F.col("rank") * len(CODE_PER_SUPPLIER)).alias("base"))
-    body = body.select("path", (F.col("base") + F.col("i")).cast("bigint").alias("line_no"), "line")
-    files = syms.select("path", "region", "nation").distinct()
-    hdr = F.array(*[F.format_string(t.replace("{region}", "%1$s").replace("{nation}", "%2$s"),
-                                    F.col("region"), F.col("nation")) for t in CODE_HEADER])
-    head = files.select("path", F.posexplode(hdr).alias("i", "line"))
-    head = head.select("path", (F.col("i") + 1).cast("bigint").alias("line_no"), "line")
-    return head.unionByName(body)
+    syms = syms.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("path")))
+    out = None
+    for lang, t in CODE_TEMPLATES.items():
+        p = F.regexp_replace(F.col("path"), r"\.py$", "." + t["ext"])
+        nh, ns = len(t["header"]), len(t["per_supplier"])
+        body = syms.select(p.alias("path"), F.lit(lang).alias("language"),
+                           F.posexplode(F.array(*[_fill(x) for x in t["per_supplier"]])).alias("i", "line"),
+                           (F.lit(nh + 1) + F.col("rank") * ns).alias("base"))
+        body = body.select("path", "language", (F.col("base") + F.col("i")).cast("bigint").alias("line_no"), "line")
+        files = syms.where(F.col("rank") == 0).select(p.alias("path"), "region", "nation", "n",
+                                                      F.lit("").alias("supplier"))
+        head = files.select("path", F.lit(lang).alias("language"),
+                            F.posexplode(F.array(*[_fill(x) for x in t["header"]])).alias("i", "line"))
+        head = head.select("path", "language", (F.col("i") + 1).cast("bigint").alias("line_no"), "line")
+        part = head.unionByName(body)
+        if t["footer"]:
+            foot = files.select("path", F.lit(lang).alias("language"), "n",
+                                F.posexplode(F.array(*[F.lit(x) for x in t["footer"]])).alias("i", "line"))
+            foot = foot.select("path", "language", (F.lit(nh + 1) + F.col("n") * ns + F.col("i")).cast("bigint")
+                               .alias("line_no"), "line")
+            part = part.unionByName(foot)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``code(path, language, content)``: one Python file per region, nation
-    and block of suppliers; each ends with a newline."""
+    """``code(path, language, content)``: a Python and a Rust file per region,
+    nation and block of suppliers; each ends with a newline."""
     ln = code_lines(spark, sf_dir)
     content = F.concat(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n"), F.lit("\n"))
-    return ln.groupBy("path").agg(content.alias("content")) \
-             .select("path", F.lit("python").alias("language"), "content")
+    return ln.groupBy("path", "language").agg(content.alias("content"))

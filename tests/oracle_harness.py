@@ -62,7 +62,7 @@ def main(argv):
     names = [a for a in argv[1:] if not a.startswith("/")]
     import __spark_entry__ as E
     from markscope.session import get_session
-    spark = get_session("local[8]", shuffle_partitions=8, extra={"spark.ui.enabled": "false"})
+    spark = get_session("local[8]", shuffle_partitions=8, extra={"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck_con(sf_dir)
     qs, orc = E.queries(), E.oracle_sql()
