@@ -111,12 +111,9 @@ def glob_to_regex(glob: str) -> str:
 
 # --- gitignore (F3) ----------------------------------------------------------
 
-def gitignore_rule_regex(rule: str) -> tuple[str, bool] | None:
-    """One ``.gitignore`` line -> (regex over the path relative to the
-    ignore file's folder, negated); None for blanks and comments.
-
-    A rule matching a folder also matches everything below it.
-    """
+def gitignore_rule_regex(rule: str) -> tuple[str, bool, bool] | None:
+    """One ``.gitignore`` line -> (regex over an entry's path relative to the
+    ignore file's folder, negated, folders only); None for blanks and comments."""
     r = rule.rstrip("\r").rstrip(" ")
     if not r or r.startswith("#"):
         return None
@@ -133,5 +130,4 @@ def gitignore_rule_regex(rule: str) -> tuple[str, bool] | None:
     r = r.lstrip("/")
     body = glob_to_regex(r)[1:-1]
     prefix = "^" if anchored else "^(?:.*/)?"
-    suffix = "/.*$" if dir_only else "(?:/.*)?$"
-    return prefix + body + suffix, negated
+    return prefix + body + "$", negated, dir_only

@@ -1,10 +1,14 @@
 """gitignore rules over path metadata.
 
 Rules are the lines of ``.gitignore`` files: a few rows per folder.  They
-are translated to regexes on the driver (bounded, checked) and broadcast;
-every path is tested only against the rules of the folders above it (an
-equi-join on the folder), and the last matching rule wins, the rules of a
-deeper folder coming after those of a shallower one.
+are translated to regexes on the driver (bounded, checked) and broadcast.
+Every entry - each folder on a path, and the file itself - is tested only
+against the rules of the folders above it (an equi-join on the folder); the
+last matching rule decides, rules of a deeper folder coming after those of a
+shallower one.  A file is ignored when it or any folder above it is, so a
+negation cannot bring back a file under an ignored folder (as in git, and as
+in a walk that prunes folders).  Folder decisions are made once per distinct
+folder.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ from markscope.operators.lines import explode_lines
 RULES_SCHEMA = T.StructType([T.StructField("base_dir", T.StringType(), False),
                              T.StructField("ord", T.LongType(), False),
                              T.StructField("regex", T.StringType(), False),
-                             T.StructField("negated", T.BooleanType(), False)])
+                             T.StructField("negated", T.BooleanType(), False),
+                             T.StructField("dir_only", T.BooleanType(), False)])
 
 # Broadcast bound for rule tables; larger rule sets are refused, not cut.
 MAX_RULES = 200_000
@@ -31,12 +36,15 @@ def rules_frame(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     for i, (base, text) in enumerate(rules):
         tr = gitignore_rule_regex(text)
         if tr:
-            rows.append((base.rstrip("/"), i, tr[0], tr[1]))
+            rows.append((base.rstrip("/"), i, tr[0], tr[1], tr[2]))
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"{len(rows)} gitignore rules exceed the broadcast bound {MAX_RULES}")
     return spark.createDataFrame(rows, RULES_SCHEMA)
 
 
 def rules_from_files(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """Read the rules of every ``.gitignore`` in a corpus of files."""
+    """Read the rules of every ``.gitignore`` in a corpus of files (the rule
+    text is small; its size is checked before it reaches the driver)."""
     gi = files.where(base_name(path_col) == ".gitignore") \
               .select(directory(path_col).alias("base_dir"), F.col(content_col).alias("text"))
     ln = explode_lines(gi, "text", keep=["base_dir"])
@@ -47,17 +55,27 @@ def rules_from_files(files: DataFrame, path_col: str = "path", content_col: str
     return rules_frame(files.sparkSession, got)
 
 
-def ignored_paths(paths: DataFrame, rules: DataFrame, path_col: str = "path") -> DataFrame:
-    """Paths whose last matching rule is not a negation: ``(path)``."""
-    anc = paths.select(F.col(path_col).alias("_p"),
-                       F.explode(F.array_union(F.array(F.lit("")), ancestors(path_col))).alias("base_dir"))
-    j = anc.join(F.broadcast(rules), "base_dir")
-    rel = F.when(F.col("base_dir") == "", F.col("_p")) \
-           .otherwise(F.expr("substring(_p, length(base_dir) + 2)"))
-    hits = j.where(F.regexp(rel, F.col("regex")))
+def _ignored_entries(entries: DataFrame, rules: DataFrame, is_dir: bool) -> DataFrame:
+    """Entries (``entry`` column) whose last matching rule ignores them."""
+    bases = F.array_union(F.array(F.lit("")), ancestors("entry"))
+    j = entries.select("entry", F.explode(bases).alias("base_dir")).join(F.broadcast(rules), "base_dir")
+    rel = F.when(F.col("base_dir") == "", F.col("entry")) \
+           .otherwise(F.expr("substring(entry, length(base_dir) + 2)"))
+    hits = j.where(F.regexp(rel, F.col("regex")) & (F.lit(is_dir) | ~F.col("dir_only")))
     depth = F.size(components("base_dir"))
-    last = hits.groupBy("_p").agg(F.max_by("negated", F.struct(depth, F.col("ord"))).alias("negated"))
-    return last.where(~F.col("negated")).select(F.col("_p").alias(path_col))
+    last = hits.groupBy("entry").agg(F.max_by("negated", F.struct(depth, F.col("ord"))).alias("negated"))
+    return last.where(~F.col("negated")).select("entry")
+
+
+def ignored_paths(paths: DataFrame, rules: DataFrame, path_col: str = "path") -> DataFrame:
+    """Paths ignored by the rules: ``(path)``."""
+    p = paths.select(F.col(path_col).alias("entry"))
+    dirs = p.select(F.explode(ancestors("entry")).alias("entry")).distinct()
+    bad_dirs = _ignored_entries(dirs, rules, True)
+    under = p.select(F.col("entry").alias("_p"), F.explode(ancestors("entry")).alias("entry")) \
+             .join(bad_dirs, "entry", "left_semi").select(F.col("_p").alias(path_col))
+    own = _ignored_entries(p, rules, False).select(F.col("entry").alias(path_col))
+    return own.unionByName(under).distinct()
 
 
 def drop_gitignored(files: DataFrame, rules: DataFrame, path_col: str = "path") -> DataFrame:
