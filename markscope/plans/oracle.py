@@ -185,13 +185,13 @@ sql("filter_ext", f"SELECT doc_id, path FROM corpus WHERE {EXT} NOT IN ('md', 'j
 sql("filter_hidden", "SELECT doc_id, path FROM corpus WHERE NOT starts_with(split_part(path, '/', -1), '.')")
 sql("filter_gitignore", """
 SELECT doc_id, path FROM corpus
-WHERE NOT coalesce(CASE
-  WHEN regexp_matches(substr(path, 6), '^src3/(.*/)?[^/]*\\.go(/.*)?$') THEN true
+WHERE NOT (regexp_matches(substr(path, 6), '^src2/')   -- an ignored folder: nothing under it comes back
+  OR coalesce(CASE
+  WHEN regexp_matches(substr(path, 6), '^src3/(.*/)?[^/]*\\.go$') THEN true
   WHEN regexp_matches(substr(path, 6), '^(.*/)?test_[^/]*$') THEN false
   WHEN regexp_matches(substr(path, 6), '^(.*/)?[^/]*\\.m[^/]$') THEN true
-  WHEN regexp_matches(substr(path, 6), '^src2/.*$') THEN true
   WHEN regexp_matches(substr(path, 6), '^(.*/)?doc_1[^/]*\\.json$') THEN false
-  WHEN regexp_matches(substr(path, 6), '^(.*/)?[^/]*\\.json$') THEN true END, false)""")
+  WHEN regexp_matches(substr(path, 6), '^(.*/)?[^/]*\\.json$') THEN true END, false))""")
 sql("filter_test_path", "SELECT doc_id, path FROM corpus WHERE NOT contains(path, 'test')")
 sql("filter_language", f"SELECT doc_id, path, {LANG} AS language FROM corpus WHERE {LANG} IS NOT NULL")
 sql("select_only", f"SELECT doc_id, coalesce({LANG}, {EXT}) AS language FROM corpus "
