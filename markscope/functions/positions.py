@@ -77,6 +77,11 @@ def multi_positions(line: str | Column, patterns: list[str]) -> Column:
         return _empty()
     if len(pats) == 1:
         return literal_positions(line, pats[0])
+    if substring_free(pats):
+        # No pattern occurs inside another, so the occurrence that ends
+        # first is also the one that starts first: a left-to-right regex
+        # scan over the alternation gives the same matches in one pass.
+        return regex_positions(line, "|".join(java_quote(p) for p in pats))
     line = col(line)
     occ = []
     def occurrence(n):
@@ -97,6 +102,12 @@ def multi_positions(line: str | Column, patterns: list[str]) -> Column:
     return F.aggregate(ordered, init, step, lambda st: st["a"])
 
 
+def substring_free(patterns: list[str]) -> bool:
+    """True when no pattern is a substring of another one."""
+    ps = sorted(set(patterns), key=len)
+    return not any(a in b for i, a in enumerate(ps) for b in ps[i + 1:])
+
+
 def regex_positions(line: str | Column, regex: str, ignore_case: bool = False) -> Column:
     """P5: start offsets of successive regex matches (Java regex dialect).
 

@@ -116,6 +116,9 @@ RULES = [
 ]
 
 
+_LEAD = r"^\s*"  # every rule starts with it; the combined prefilter hoists it
+
+
 def _rules_for(lang: str):
     key = "ts" if lang in ("typescript", "javascript") else lang
     return [r for r in RULES if r[0] == key]
@@ -134,7 +137,9 @@ def mask(content: Column, language: Column) -> Column:
 
 def _masker(start: str):
     def fn(t):
-        return F.when(t.rlike(start), F.regexp_replace(t, r"[^\n]", " ")).otherwise(t)
+        # a run without newlines becomes one space: line breaks and the
+        # order of what is left are all that later steps need
+        return F.when(t.rlike(start), F.regexp_replace(t, r"[^\n]+", " ")).otherwise(t)
     return fn
 
 
@@ -152,6 +157,9 @@ def _match(m: Column, language: Column) -> Column:
             hit = F.struct(F.lit(kind).alias("kind"), F.lit(role).alias("role"), name.alias("name"),
                            F.lit(flags).alias("flags"))
             res = F.when(m.rlike(rx), hit) if res is None else F.when(m.rlike(rx), hit).otherwise(res)
+        # one combined pass first: most lines match no rule at all
+        anyrule = r"^\s*(?:" + "|".join(f"(?:{r[3][len(_LEAD):]})" for r in _rules_for(lang)) + ")"
+        res = F.when(m.rlike(anyrule), res)
         branches = (F.when(language == lang, res) if branches is None else branches.when(language == lang, res))
     return branches
 
@@ -159,7 +167,7 @@ def _match(m: Column, language: Column) -> Column:
 def _brace_stats(m: Column) -> Column:
     """Per line: net change of ``{}`` depth and the lowest point reached
     inside the line (relative, <= 0)."""
-    b = F.regexp_replace(m, r"[^{}]", "")
+    b = F.regexp_replace(m, r"[^{}]+", "")
     init = F.struct(F.lit(0).alias("d"), F.lit(0).alias("lo"))
     fold = F.aggregate(F.filter(F.split(b, ""), lambda c: c != ""), init,
                        lambda s, c: F.struct((s["d"] + F.when(c == "{", 1).otherwise(-1)).alias("d"),
@@ -180,8 +188,16 @@ def outline_lines(files: DataFrame, path_col: str = "path", lang_col: str = "lan
     ln = ln.select("path", "language", "has_eol", (F.col("pos") + 1).cast("bigint").alias("line_no"),
                    F.col("p.line").alias("line"), F.coalesce(F.col("p.m"), F.col("p.line")).alias("m"))
     bs = _brace_stats(F.col("m"))
-    parens = (F.length(F.regexp_replace("m", r"[^(\[]", "")) - F.length(F.regexp_replace("m", r"[^)\]]", "")))
-    return ln.select("*",
+    parens = (F.length(F.regexp_replace("m", r"[^(\[]+", "")) - F.length(F.regexp_replace("m", r"[^)\]]+", "")))
+    # facts about the masked text are taken here so the masked text itself
+    # is not carried through the shuffle and the window sorts
+    m = F.col("m")
+    return ln.select("path", "language", "has_eol", "line_no", "line",
+                     F.instr(m, ";").alias("semi_at"), F.instr(m, "{").alias("brace_at"),
+                     (m.rlike(r"^\s*(?:[\w:<>,*&]+\s*)+$") & m.rlike(r"\S") &
+                      ~m.rlike(r"^\s*(?:public|private|protected)\s*:") & ~m.rlike(r"^\s*template\s*<"))
+                     .alias("type_like"),
+                     m.rlike(r"^\s*template\s*<").alias("template_like"),
                      F.length(F.regexp_extract("line", r"^[ \t]*", 0)).alias("indent"),
                      (F.trim("m") == "").alias("blank"),
                      ((F.trim("m") == "") & (F.trim("line") != "")).alias("comment_only"),
@@ -203,8 +219,9 @@ def declarations(lines: DataFrame) -> DataFrame:
         # next code line's indent (a reversed growing frame keeps this linear)
         F.last(F.when(~F.col("blank"), F.col("indent")), ignorenulls=True).over(ahead).alias("next_indent"),
         F.min(F.when(F.col("net") - F.col("lo") > 0, F.col("line_no"))).over(ahead_incl).alias("next_open"),
-        F.min(F.when(F.instr("m", ";") > 0, F.col("line_no"))).over(ahead_incl).alias("next_semi"),
-        F.lag("m").over(w).alias("prev_m"),
+        F.min(F.when(F.col("semi_at") > 0, F.col("line_no"))).over(ahead_incl).alias("next_semi"),
+        F.coalesce(F.lag("type_like").over(w), F.lit(False)).alias("prev_type"),
+        F.coalesce(F.lag("template_like").over(w), F.lit(False)).alias("prev_template"),
     )
     # Decorator runs.  A breaker is a code line that is neither a decorator
     # nor inside a decorator's parentheses; comment-only lines do not break.
@@ -254,17 +271,15 @@ def symbols_from(l2: DataFrame, keep_all: bool = False) -> DataFrame:
     flags = F.coalesce(F.col("rule.flags"), F.lit(""))
     has_body_brace = F.col("next_open").isNotNull() & (
         F.col("next_semi").isNull() | (F.col("next_open") < F.col("next_semi")) |
-        ((F.col("next_open") == F.col("next_semi")) & (F.instr("m", "{") < F.instr("m", ";"))))
+        ((F.col("next_open") == F.col("next_semi")) & (F.col("brace_at") < F.col("semi_at"))))
     opener = F.when(brace, F.when(has_body_brace, F.col("next_open"))) \
               .otherwise(F.when(F.col("next_indent") > F.col("indent"), F.col("line_no")))
     start = F.when(role0 == "ignorable", F.col("line_no")).otherwise(F.coalesce(F.col("first_deco"), F.col("line_no")))
-    prev_m = F.coalesce(F.col("prev_m"), F.lit(""))
     cpp_fn = (F.col("language") == "cpp") & (F.col("rule.kind") == "function_definition")
     # C++: a function whose return type sits alone on the line above starts there
-    type_line = prev_m.rlike(r"^\s*(?:[\w:<>,*&]+\s*)+$") & ~prev_m.rlike(r"^\s*(?:public|private|protected)\s*:") \
-        & ~prev_m.rlike(r"^\s*template\s*<") & (prev_m.rlike(r"\S"))
+    type_line = F.col("prev_type")
     # C++ templates are not declarations the reference lists
-    template = (F.col("language") == "cpp") & prev_m.rlike(r"^\s*template\s*<")
+    template = (F.col("language") == "cpp") & F.col("prev_template")
     d = l2.withColumn("d_ok", is_decl & ~(flags.contains("body") & opener.isNull()) & ~template) \
           .withColumn("opener", opener) \
           .withColumn("start", F.when(cpp_fn & type_line & (start == F.col("line_no")), F.col("line_no") - 1)

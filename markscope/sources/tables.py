@@ -79,8 +79,10 @@ def _ident(c):
 
 
 def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected declarations of the generated code corpus, one row each:
-    ``(path, region, nation, supplier, s_suppkey, rank)``."""
+    """Expected declarations of the generated code corpus, one row per
+    supplier: ``(stem, region, nation, supplier, s_suppkey, rank, n)`` where
+    ``stem`` names the file (without extension), ``rank`` orders suppliers
+    inside it and ``n`` counts them."""
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     reg = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
@@ -90,10 +92,11 @@ def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunk = F.floor(F.col("s_suppkey") / CODE_CHUNK).cast("bigint")
     s = s.select(_ident(F.col("r_name")).alias("region"), _ident(F.col("n_name")).alias("nation"),
                  _ident(F.col("s_name")).alias("supplier"), "s_suppkey", chunk.alias("chunk"))
-    s = s.withColumn("path", F.concat(F.lit("code/"), "region", F.lit("/"), "nation",
-                                      F.lit("_"), F.col("chunk").cast("string"), F.lit(".py")))
-    w = Window.partitionBy("path").orderBy("s_suppkey")
-    return s.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint"))
+    s = s.withColumn("stem", F.concat(F.lit("code/"), "region", F.lit("/"), "nation",
+                                      F.lit("_"), F.col("chunk").cast("string")))
+    w = Window.partitionBy("stem")
+    return s.withColumn("rank", (F.row_number().over(w.orderBy("s_suppkey")) - 1).cast("bigint")) \
+            .withColumn("n", F.count(F.lit(1)).over(w).cast("bigint"))
 
 
 # The text of the generated code files ({region}, {nation},
@@ -141,37 +144,39 @@ def _fill(t: str):
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(path, language, line_no, line)`` of the generated code corpus."""
+    """``(stem, path, language, line_no, line)`` of the generated code corpus.
+
+    One pass over the suppliers: each emits its own lines, the first of a
+    file also the header and the last also the footer.
+    """
     syms = code_symbols(spark, sf_dir)
-    syms = syms.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("path")))
-    out = None
+    items = []
     for lang, t in CODE_TEMPLATES.items():
-        p = F.regexp_replace(F.col("path"), r"\.py$", "." + t["ext"])
         nh, ns = len(t["header"]), len(t["per_supplier"])
-        body = syms.select(p.alias("path"), F.lit(lang).alias("language"),
-                           F.posexplode(F.array(*[_fill(x) for x in t["per_supplier"]])).alias("i", "line"),
-                           (F.lit(nh + 1) + F.col("rank") * ns).alias("base"))
-        body = body.select("path", "language", (F.col("base") + F.col("i")).cast("bigint").alias("line_no"), "line")
-        files = syms.where(F.col("rank") == 0).select(p.alias("path"), "region", "nation", "n",
-                                                      F.lit("").alias("supplier"))
-        head = files.select("path", F.lit(lang).alias("language"),
-                            F.posexplode(F.array(*[_fill(x) for x in t["header"]])).alias("i", "line"))
-        head = head.select("path", "language", (F.col("i") + 1).cast("bigint").alias("line_no"), "line")
-        part = head.unionByName(body)
-        if t["footer"]:
-            foot = files.select("path", F.lit(lang).alias("language"), "n",
-                                F.posexplode(F.array(*[F.lit(x) for x in t["footer"]])).alias("i", "line"))
-            foot = foot.select("path", "language", (F.lit(nh + 1) + F.col("n") * ns + F.col("i")).cast("bigint")
-                               .alias("line_no"), "line")
-            part = part.unionByName(foot)
-        out = part if out is None else out.unionByName(part)
-    return out
+        for i, x in enumerate(t["header"]):
+            items.append(F.when(F.col("rank") == 0, F.struct(F.lit(lang).alias("language"), F.lit(t["ext"]).alias("ext"),
+                                                           F.lit(i + 1).cast("bigint").alias("line_no"),
+                                                           _fill(x).alias("line"))))
+        for i, x in enumerate(t["per_supplier"]):
+            items.append(F.struct(F.lit(lang).alias("language"), F.lit(t["ext"]).alias("ext"),
+                                  (F.lit(nh + 1 + i) + F.col("rank") * ns).cast("bigint").alias("line_no"),
+                                  _fill(x).alias("line")))
+        for i, x in enumerate(t["footer"]):
+            items.append(F.when(F.col("rank") == F.col("n") - 1,
+                                F.struct(F.lit(lang).alias("language"), F.lit(t["ext"]).alias("ext"),
+                                         (F.lit(nh + 1 + i) + F.col("n") * ns).cast("bigint").alias("line_no"),
+                                         F.lit(x).alias("line"))))
+    out = syms.select("stem", F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("x"))
+    return out.select("stem", F.concat(F.col("stem"), F.lit("."), F.col("x.ext")).alias("path"),
+                      "x.language", "x.line_no", "x.line")
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``code(path, language, content)``: a Python and a Rust file per region,
-    nation and block of suppliers; each ends with a newline."""
+    nation and block of suppliers; each ends with a newline.  Grouped by
+    (stem, language) so the supplier window's partitioning is reused."""
     ln = code_lines(spark, sf_dir)
     content = F.concat(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n"), F.lit("\n"))
-    return ln.groupBy("path", "language").agg(content.alias("content"))
+    return ln.groupBy("stem", "language").agg(F.first("path").alias("path"), content.alias("content")) \
+             .select("path", "language", "content")
