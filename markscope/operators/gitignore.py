@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from markscope.functions.paths import ancestors, base_name, components, directory, gitignore_rule_regex
 from markscope.operators.lines import explode_lines
+from markscope.session import broadcast_if_small
 
 RULES_SCHEMA = T.StructType([T.StructField("base_dir", T.StringType(), False),
                              T.StructField("ord", T.LongType(), False),
@@ -58,7 +59,7 @@ def rules_from_files(files: DataFrame, path_col: str = "path", content_col: str
 def _ignored_entries(entries: DataFrame, rules: DataFrame, is_dir: bool) -> DataFrame:
     """Entries (``entry`` column) whose last matching rule ignores them."""
     bases = F.array_union(F.array(F.lit("")), ancestors("entry"))
-    j = entries.select("entry", F.explode(bases).alias("base_dir")).join(F.broadcast(rules), "base_dir")
+    j = entries.select("entry", F.explode(bases).alias("base_dir")).join(rules, "base_dir")
     rel = F.when(F.col("base_dir") == "", F.col("entry")) \
            .otherwise(F.expr("substring(entry, length(base_dir) + 2)"))
     hits = j.where(F.regexp(rel, F.col("regex")) & (F.lit(is_dir) | ~F.col("dir_only")))
@@ -69,6 +70,7 @@ def _ignored_entries(entries: DataFrame, rules: DataFrame, is_dir: bool) -> Data
 
 def ignored_paths(paths: DataFrame, rules: DataFrame, path_col: str = "path") -> DataFrame:
     """Paths ignored by the rules: ``(path)``."""
+    rules = broadcast_if_small(rules, MAX_RULES)
     p = paths.select(F.col(path_col).alias("entry"))
     dirs = p.select(F.explode(ancestors("entry")).alias("entry")).distinct()
     bad_dirs = _ignored_entries(dirs, rules, True)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markscope.functions.paths import components, glob_to_regex, has_hidden_component
+from markscope.session import broadcast_if_small
 
 # Extensions whose files and folders are skipped, as listed
 # (duplicates kept).  "xlsx" is written with its dot so xlsx files are
@@ -66,13 +67,13 @@ def select_names(df: DataFrame, names: DataFrame | list[str], name_col: str,
     """``only=True`` keeps rows named in ``names`` (left semi join),
     ``only=False`` keeps the others (left anti join), ``None`` keeps all.
 
-    A name list is small by nature and is broadcast.
+    A name list is broadcast after a size check.
     """
     if only is None:
         return df
     if isinstance(names, list):
         names = df.sparkSession.createDataFrame([(n,) for n in names], f"{name_col} string")
-    names = F.broadcast(names.select(name_col).distinct())
+    names = broadcast_if_small(names.select(name_col).distinct())
     return df.join(names, name_col, "left_semi" if only else "left_anti")
 
 
