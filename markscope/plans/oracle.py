@@ -343,3 +343,19 @@ sql("annotate_files", "SELECT path, content FROM ann_files", CODE + "," + ANN +
 sql("annotate_corpus", "SELECT path, content FROM ann_files", CODE + "," + ANN + "," + ANN_FILES)
 sql("annotate_glob", "SELECT path, content FROM ann_files WHERE path GLOB 'code/AFRICA/*.py'",
     CODE + "," + ANN + "," + ANN_FILES)
+
+# --- the same operators over the other text tables -----------------------------------
+CONV_LINES = """
+cl0 AS (SELECT conv_id, turn, role, len(parts) AS n, generate_subscripts(parts, 1) AS i, unnest(parts) AS line
+        FROM (SELECT conv_id, turn, role, string_split(text, chr(10)) AS parts FROM conversations)),
+cl AS (SELECT conv_id, turn, role, CAST(i AS BIGINT) AS line_no, line FROM cl0 WHERE NOT (i = n AND line = ''))"""
+sql("grep_conversations", f"SELECT conv_id, turn, role, line_no, {multi_pos('line', Q.CONV_PATTERNS)} AS pos FROM cl WHERE "
+    + " OR ".join(f"contains(line, {_q(p)})" for p in Q.CONV_PATTERNS), CONV_LINES)
+sql("url_parts", """
+SELECT page_id, url_path,
+       CASE WHEN url_path LIKE '%/%' THEN regexp_extract(url_path, '^(.*)/[^/]*$', 1) ELSE '' END AS directory,
+       regexp_extract(url_path, '([^/]*)/*$', 1) AS file_name,
+       regexp_extract(regexp_extract(url_path, '([^/]*)/*$', 1), '^.+\\.([^.]*)$', 1) AS ext,
+       CASE WHEN len(list_filter(string_split(url_path, '/'), lambda c: c <> '')) >= 2
+            THEN list_filter(string_split(url_path, '/'), lambda c: c <> '')[-2] END AS second
+FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS url_path FROM pages)""")

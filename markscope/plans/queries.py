@@ -479,3 +479,24 @@ def q_annotate_corpus(spark, sf):
 @query("annotate_glob")
 def q_annotate_glob(spark, sf):
     return A.annotate_glob(_code_corpus_with_noise(spark, sf), CODE_GLOB)
+
+
+# --- the same operators over the other text tables ---------------------------------------
+# Patterns for the conversation corpus.
+CONV_PATTERNS = ["tion", "ment", "the"]
+
+
+@query("grep_conversations")
+def q_grep_conversations(spark, sf):
+    conv = TB.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    g = grep_documents(conv, CONV_PATTERNS, keep=["conv_id", "turn", "role"])
+    return g.select("conv_id", "turn", "role", "line_no", _pos())
+
+
+@query("url_parts")
+def q_url_parts(spark, sf):
+    pages = TB.table(spark, sf, "pages").select("page_id", "url")
+    p = pages.select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/?#]+([^?#]*)", 1).alias("url_path"))
+    return p.select("page_id", "url_path", directory("url_path").alias("directory"),
+                    base_name("url_path").alias("file_name"), extension("url_path").alias("ext"),
+                    last_two("url_path")[1].alias("second"))
