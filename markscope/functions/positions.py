@@ -81,7 +81,10 @@ def multi_positions(line: str | Column, patterns: list[str]) -> Column:
         # No pattern occurs inside another, so the occurrence that ends
         # first is also the one that starts first: a left-to-right regex
         # scan over the alternation gives the same matches in one pass.
-        return regex_positions(line, "|".join(java_quote(p) for p in pats))
+        # a look-ahead on the first characters lets most positions fail fast
+        first = "".join(sorted({p[0] for p in pats}))
+        cls = "".join("\\" + ch if ch in "\\[]^-&" else ch for ch in first)
+        return regex_positions(line, f"(?=[{cls}])(?:" + "|".join(java_quote(p) for p in pats) + ")")
     line = col(line)
     occ = []
     def occurrence(n):
