@@ -206,35 +206,50 @@ def outline_lines(files: DataFrame, path_col: str = "path", lang_col: str = "lan
 
 
 def declarations(lines: DataFrame) -> DataFrame:
-    """Candidate declarations with their block facts (before nesting checks)."""
+    """Per-line layout facts from windows over each file.
+
+    All look-ahead facts come from one descending pass and all look-back
+    facts from one ascending pass, so a file is sorted twice; every frame
+    grows from one end, which keeps each window linear in the file size.
+    """
     w = Window.partitionBy("path").orderBy("line_no")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     rev = Window.partitionBy("path").orderBy(F.col("line_no").desc())
     ahead_incl = rev.rowsBetween(Window.unboundedPreceding, 0)
     ahead = rev.rowsBetween(Window.unboundedPreceding, -1)
-    l2 = lines.select(
+    l1 = lines.select(
         "*",
-        F.coalesce(F.sum("net").over(before), F.lit(0)).alias("depth"),
-        F.coalesce(F.sum("paren_net").over(before), F.lit(0)).alias("pdepth"),
-        # next code line's indent (a reversed growing frame keeps this linear)
+        # next code line's indent, next line opening a block, next line with ';'
         F.last(F.when(~F.col("blank"), F.col("indent")), ignorenulls=True).over(ahead).alias("next_indent"),
         F.min(F.when(F.col("net") - F.col("lo") > 0, F.col("line_no"))).over(ahead_incl).alias("next_open"),
         F.min(F.when(F.col("semi_at") > 0, F.col("line_no"))).over(ahead_incl).alias("next_semi"),
+    )
+    l2 = l1.select(
+        "*",
+        F.coalesce(F.sum("net").over(before), F.lit(0)).alias("depth"),
+        F.coalesce(F.sum("paren_net").over(before), F.lit(0)).alias("pdepth"),
         F.coalesce(F.lag("type_like").over(w), F.lit(False)).alias("prev_type"),
         F.coalesce(F.lag("template_like").over(w), F.lit(False)).alias("prev_template"),
     )
     # Decorator runs.  A breaker is a code line that is neither a decorator
     # nor inside a decorator's parentheses; comment-only lines do not break.
+    # first_deco = the first decorator after the last breaker above the line.
     is_deco = F.coalesce(F.col("rule.role") == "decorator", F.lit(False))
     member = is_deco | (F.col("pdepth") > 0) | F.col("comment_only")
-    l2 = l2.withColumn("_breaker", (~member).cast("int"))
-    l2 = l2.withColumn("seg", F.coalesce(F.sum("_breaker").over(before), F.lit(0)))
-    seg_w = Window.partitionBy("path", "seg").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    l2 = l2.withColumn("first_deco", F.min(F.when(is_deco, F.col("line_no"))).over(seg_w))
+    l2 = l2.withColumn("_is_deco", is_deco).withColumn("_breaker", ~member)
+    l2 = l2.withColumn("_last_breaker", F.last(F.when(F.col("_breaker"), F.col("line_no")), ignorenulls=True).over(before)) \
+           .withColumn("_prev_deco", F.last(F.when(F.col("_is_deco"), F.col("line_no")), ignorenulls=True).over(before))
+    run_head = F.col("_is_deco") & (F.col("_prev_deco").isNull() |
+                                    (F.col("_last_breaker").isNotNull() & (F.col("_prev_deco") < F.col("_last_breaker"))))
+    l2 = l2.withColumn("_fd", F.last(F.when(run_head, F.col("line_no")), ignorenulls=True).over(upto))
+    l2 = l2.withColumn("first_deco", F.when(F.col("_fd").isNotNull() &
+                                            (F.col("_last_breaker").isNull() | (F.col("_fd") > F.col("_last_breaker"))),
+                                            F.col("_fd")))
     # indentation languages: the indents at which blocks open in this file
     l2 = l2.withColumn("kset", F.collect_set(F.when(~F.col("blank") & (F.col("next_indent") > F.col("indent")),
                                                     F.col("indent"))).over(Window.partitionBy("path")))
-    return l2
+    return l2.drop("_is_deco", "_breaker", "_last_breaker", "_prev_deco", "_fd")
 
 
 _EVENT = ("struct<key:int,tag:int,pos:bigint,o_line:bigint,o_indent:int,o_name:string,o_scope:boolean>")
