@@ -49,3 +49,18 @@ def test_tokens(spark):
 def test_grep_plain_lines(spark):
     ln = spark.createDataFrame([("a", 1, "abcabc")], "path string, line_no long, line string")
     assert grep(ln, ["bc"]).first().position == [1, 4]
+
+
+def test_grep_command(spark):
+    from markscope.plans.grep_command import grep_command
+    d = _docs(spark)
+    assert grep_command(d, fmt="jsn").first().text == "Unknown format: 'jsn'. Did you mean 'json'?"
+    assert grep_command(d, count=True).first().text == "Total 2 lines found"
+    assert grep_command(d, ignore_case_patterns=["FIRST"], count=True).first().text == "Total 1 lines found"
+    assert grep_command(d, file="c.rs", count=True).first().text == "Total 0 lines found"
+    js = grep_command(d, fmt="json").first()
+    assert js.name == "root/a/b.py" and '"line":2' in js.json
+    rows = grep_command(d, list_files=True).orderBy(F.col("section") == 9, "directory", "file", "section", "seq")
+    assert [r.text for r in rows.collect()] == ["root/a", "a", "b.py", "", "Total 2 lines found"]
+    col = grep_command(d, colorize=True).where("section = 2").orderBy("line").first().text
+    assert col == "2    \x1b[31m[TODO]\x1b[0m fix É"
