@@ -180,6 +180,12 @@ def outline_lines(files: DataFrame, path_col: str = "path", lang_col: str = "lan
     """One row per line with its masked text and layout facts."""
     f = files.select(F.col(path_col).alias("path"), F.col(lang_col).alias("language"),
                      F.col(content_col).alias("content"))
+    # The one shuffle of the outline: whole files, hashed by path.  Every
+    # later window and grouping is keyed by path and reuses it.  The count is
+    # explicit because the work per byte is high (regexes, windows): AQE would
+    # otherwise merge a small input into one CPU-bound task.
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    f = f.repartition(n, "path")
     f = f.withColumn("masked", mask(F.col("content"), F.col("language")))
     pairs = F.zip_with(split_lines("content"), split_lines("masked"),
                        lambda a, b: F.struct(a.alias("line"), b.alias("m")))
