@@ -113,6 +113,13 @@ RULES = [
      r"^\s*(?:(?:public|private|protected|static|readonly|async|override|get|set)\s+)*\*?\s*"
      r"(?!(?:if|for|while|switch|catch|function|return|with|else|new|typeof|await|yield|super|this)\b)"
      r"(#?[\w$]+)\s*(?:<[^>]*>)?\s*\(", [1], "body member"),
+    # any other statement at the top level (a call, an assignment, a string
+    # directive): named "anonymous"; checked further in symbols_from
+    ("ts", "expression_statement", "decl",
+     r"^\s*(?!(?:import|export|const|let|var|function|async\s+function|class|if|else|for|while|do|switch|try"
+     r"|catch|finally|return|throw|break|continue|default|case|with|debugger)\b)"
+     r"(?!(?:interface|enum|type|declare|abstract|namespace|module)\s+[\w$])[^\s})\],.?:=&|*/%<>+\-]",
+     [], "toplevel"),
 ]
 
 
@@ -204,6 +211,7 @@ def outline_lines(files: DataFrame, path_col: str = "path", lang_col: str = "lan
                       ~m.rlike(r"^\s*(?:public|private|protected)\s*:") & ~m.rlike(r"^\s*template\s*<"))
                      .alias("type_like"),
                      m.rlike(r"^\s*template\s*<").alias("template_like"),
+                     F.regexp_extract(m, r"(\S)\s*$", 1).alias("end_char"),
                      F.length(F.regexp_extract("line", r"^[ \t]*", 0)).alias("indent"),
                      (F.trim("m") == "").alias("blank"),
                      ((F.trim("m") == "") & (F.trim("line") != "")).alias("comment_only"),
@@ -237,6 +245,7 @@ def declarations(lines: DataFrame) -> DataFrame:
         F.coalesce(F.sum("paren_net").over(before), F.lit(0)).alias("pdepth"),
         F.coalesce(F.lag("type_like").over(w), F.lit(False)).alias("prev_type"),
         F.coalesce(F.lag("template_like").over(w), F.lit(False)).alias("prev_template"),
+        F.last(F.when(~F.col("blank"), F.col("end_char")), ignorenulls=True).over(before).alias("prev_end"),
     )
     # Decorator runs.  A breaker is a code line that is neither a decorator
     # nor inside a decorator's parentheses; comment-only lines do not break.
@@ -301,7 +310,11 @@ def symbols_from(l2: DataFrame, keep_all: bool = False) -> DataFrame:
     type_line = F.col("prev_type")
     # C++ templates are not declarations the reference lists
     template = (F.col("language") == "cpp") & F.col("prev_template")
-    d = l2.withColumn("d_ok", is_decl & ~(flags.contains("body") & opener.isNull()) & ~template) \
+    # a top-level statement starts a line only after a finished one
+    toplevel_ok = ~flags.contains("toplevel") | (
+        (F.col("depth") == 0) & (F.col("lo") == 0) &
+        (F.col("prev_end").isNull() | F.col("prev_end").isin(";", "}", ")")))
+    d = l2.withColumn("d_ok", is_decl & ~(flags.contains("body") & opener.isNull()) & ~template & toplevel_ok) \
           .withColumn("opener", opener) \
           .withColumn("start", F.when(cpp_fn & type_line & (start == F.col("line_no")), F.col("line_no") - 1)
                       .otherwise(start))

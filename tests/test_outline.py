@@ -307,6 +307,54 @@ CASES = [
             const f = () => { return 1; };
         }
         ''')),
+    ("javascript_top_level_statements", "javascript", d('''
+        'use strict';
+        const fs = require('fs');
+
+        module.exports = {
+          load: () => {
+            read();
+          },
+        };
+
+        server.listen(8080, () => {
+          log("ready");
+        });
+
+        if (debug) {
+          trace();
+        } else {
+          quiet();
+        }
+
+        const total = items()
+          .length;
+        '''), d('''
+        // [TODO] anonymous
+        'use strict';
+        const fs = require('fs');
+
+        // [TODO] anonymous
+        module.exports = {
+          load: () => {
+            read();
+          },
+        };
+
+        // [TODO] anonymous
+        server.listen(8080, () => {
+          log("ready");
+        });
+
+        if (debug) {
+          trace();
+        } else {
+          quiet();
+        }
+
+        const total = items()
+          .length;
+        ''')),
     ("javascript_functions", "javascript", d('''
         function a(x /*: string */) /*: string */ {
             return x;
