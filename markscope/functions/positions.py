@@ -114,13 +114,24 @@ def substring_free(patterns: list[str]) -> bool:
 def regex_positions(line: str | Column, regex: str, ignore_case: bool = False) -> Column:
     """P5: start offsets of successive regex matches (Java regex dialect).
 
-    The text between matches comes from ``split`` and the matches from
-    ``regexp_extract_all``; both use the same left-to-right search, so the
-    offsets add up.  Patterns that can match the empty string are not
-    supported (Java and Rust disagree on them).
+    One left-to-right search marks every match; the byte lengths of the
+    pieces between marks add up to the offsets.  Patterns that can match the
+    empty string are not supported (Java and Rust disagree on them).
     """
     line = col(line)
     rx = ("(?iu)" if ignore_case else "") + regex
+    # One regex pass: put a NUL in front of every match and cut there (a
+    # one-character split takes Java's non-regex path); the cut points are
+    # the offsets.  A line that already holds a NUL takes the two-pass way.
+    marked = F.split(F.regexp_replace(line, rx, F.lit(_MARK + "$0")), _MARK, -1)
+    return F.when(F.instr(line, _MARK) > 0, _regex_positions_two_pass(line, rx)) \
+            .otherwise(_part_ends(marked, 0))
+
+
+_MARK = "\u0000"
+
+
+def _regex_positions_two_pass(line: Column, rx: str) -> Column:
     parts = F.split(line, rx, -1)
     matches = F.regexp_extract_all(line, F.lit(rx), 0)
     pairs = F.zip_with(parts, matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
