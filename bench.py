@@ -3,7 +3,7 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 Every query runs to completion through the ``noop`` sink (nothing is
-collected to the driver); each is timed twice after a warm-up and the
+collected to the driver); each is timed three times after a warm-up and the
 faster run is reported.
 """
 
@@ -107,7 +107,7 @@ def main():
     times = {}
     for name, fn in BENCH.items():
         best = None
-        for _ in range(2):
+        for _ in range(3):
             t0 = time.perf_counter()
             _run(fn(spark, sf))
             dt = time.perf_counter() - t0

@@ -131,14 +131,19 @@ def _rules_for(lang: str):
     return [r for r in RULES if r[0] == key]
 
 
+# languages that share one rule table and one token grammar
+_GROUPS = [["python"], ["ruby"], ["rust"], ["cpp"], ["typescript", "javascript"]]
+
+
 def mask(content: Column, language: Column) -> Column:
-    """Blank every character of strings and comments except newlines."""
+    """Blank the strings and comments (line breaks kept)."""
     out = None
-    for lang in LANGS:
+    for group in _GROUPS:
+        lang = group[0]
         toks = F.regexp_extract_all(content, F.lit("(?m)" + MASK_TOKENS[lang]), 0)
-        start = MASKED_START[lang]
-        masked = F.array_join(F.transform(toks, _masker(start)), "")
-        out = (F.when(language == lang, masked) if out is None else out.when(language == lang, masked))
+        masked = F.array_join(F.transform(toks, _masker(MASKED_START[lang])), "")
+        cond = language.isin(group)
+        out = F.when(cond, masked) if out is None else out.when(cond, masked)
     return out.otherwise(content)
 
 
@@ -153,7 +158,8 @@ def _masker(start: str):
 def _match(m: Column, language: Column) -> Column:
     """First matching rule per line: struct(kind, role, name, flags) or NULL."""
     branches = None
-    for lang in LANGS:
+    for group in _GROUPS:
+        lang = group[0]
         res = None
         for _, kind, role, rx, groups, flags in reversed(_rules_for(lang)):
             if groups:
@@ -167,7 +173,8 @@ def _match(m: Column, language: Column) -> Column:
         # one combined pass first: most lines match no rule at all
         anyrule = r"^\s*(?:" + "|".join(f"(?:{r[3][len(_LEAD):]})" for r in _rules_for(lang)) + ")"
         res = F.when(m.rlike(anyrule), res)
-        branches = (F.when(language == lang, res) if branches is None else branches.when(language == lang, res))
+        cond = language.isin(group)
+        branches = F.when(cond, res) if branches is None else branches.when(cond, res)
     return branches
 
 
