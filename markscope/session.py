@@ -18,6 +18,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # lets the file-tree source prune its listing with path predicates
+    "spark.sql.python.filterPushdown.enabled": "true",
     # broadcast only what is small; the dimension tables we broadcast
     # explicitly are bounded by construction
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),

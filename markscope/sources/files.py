@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualTo, In, InputPartition,
+                                    StringContains, StringEndsWith, StringStartsWith)
 
 from markscope.operators.select import IGNORED_EXTENSIONS
 
@@ -74,9 +75,38 @@ class FileTreeReader(DataSourceReader):
         self.max_file = int(options.get("maxFileBytes", 64 * 1024 * 1024))
         self.skip_hidden = options.get("skipHidden", "true").lower() == "true"
         self.skip_ext = options.get("skipIgnoredExtensions", "true").lower() == "true"
+        self.path_tests = []  # pushed-down predicates on the relative path
+
+    def pushFilters(self, filters):
+        """Path predicates (=, IN, starts/ends with, contains) prune the listing,
+        so files they exclude are never opened; others stay with Spark."""
+        for f in filters:
+            attr = getattr(f, "attribute", None)
+            if attr != ("path",):
+                yield f
+            elif isinstance(f, EqualTo):
+                self.path_tests.append(("eq", f.value))
+            elif isinstance(f, In):
+                self.path_tests.append(("in", tuple(f.value)))
+            elif isinstance(f, StringStartsWith):
+                self.path_tests.append(("prefix", f.value))
+            elif isinstance(f, StringEndsWith):
+                self.path_tests.append(("suffix", f.value))
+            elif isinstance(f, StringContains):
+                self.path_tests.append(("contains", f.value))
+            else:
+                yield f
+
+    def _keep(self, rel: str) -> bool:
+        for op, v in self.path_tests:
+            if (op == "eq" and rel != v) or (op == "in" and rel not in v) or \
+               (op == "prefix" and not rel.startswith(v)) or (op == "suffix" and not rel.endswith(v)) or \
+               (op == "contains" and v not in rel):
+                return False
+        return True
 
     def partitions(self):
-        files = list_tree(self.root, self.skip_hidden, self.skip_ext)
+        files = [f for f in list_tree(self.root, self.skip_hidden, self.skip_ext) if self._keep(f[0])]
         parts, cur, used = [], [], 0
         for rel, size in files:
             cost = max(size, 0) + 4096  # a per-file overhead keeps tiny files from piling up
@@ -117,6 +147,8 @@ class FileTreeSource(DataSource):
 
 
 def register(spark) -> None:
+    # the reader prunes its listing with pushed-down path predicates
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FileTreeSource)
 
 

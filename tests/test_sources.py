@@ -56,3 +56,14 @@ def test_size_cap_reports(spark):
     df = read_tree(spark, root, maxFileBytes=8)
     big = {r.path: r.error for r in df.where("error IS NOT NULL").collect()}
     assert "pkg/__init__.py" in big and big["pkg/__init__.py"].startswith("larger than")
+
+
+def test_path_filters_reach_the_listing(spark):
+    root = _tree()
+    df = read_tree(spark, root)
+    one = df.where(F.col("path") == "pkg/crlf.py")
+    assert [r.path for r in one.collect()] == ["pkg/crlf.py"]
+    some = df.where(F.col("path").startswith("pkg/") & F.col("path").endswith(".py"))
+    assert sorted(r.path for r in some.collect()) == ["pkg/__init__.py", "pkg/crlf.py"]
+    mixed = df.where((F.col("path") == "pkg/crlf.py") | (F.col("size") > 100))
+    assert [r.path for r in mixed.collect()] == ["pkg/crlf.py"]
