@@ -84,6 +84,21 @@ def _dir_headers(d: Column) -> Column:
     return hdr
 
 
+def _per_file(matches: DataFrame, path_col: str, line_no_col: str, line_col: str,
+              pos_col: str | None = None) -> DataFrame:
+    """One record per file with its matching lines: the single shuffle every
+    report part reads, so the search itself runs once per report."""
+    fields = [F.col(line_no_col).cast("bigint").alias("line"), F.col(line_col).alias("content")]
+    if pos_col:
+        fields.append(F.col(pos_col).alias("position"))
+    per_file = (matches.groupBy(directory(path_col).alias("directory"), F.col(path_col).alias("file"))
+                .agg(F.collect_list(F.struct(*fields)).alias("items")))
+    # Every record has an item; the filter keeps ``items`` referenced in all
+    # branches, so column pruning leaves their shuffles identical and Spark
+    # reuses one of them instead of searching again per branch.
+    return per_file.where(F.size("items") > 0)
+
+
 def plain_report_rows(matches: DataFrame, path_col: str = "path", line_no_col: str = "line_no",
                       line_col: str = "line", colorize_patterns: list[str] | None = None,
                       hide_path: bool = False, list_files: bool = False) -> DataFrame:
@@ -94,28 +109,29 @@ def plain_report_rows(matches: DataFrame, path_col: str = "path", line_no_col: s
     3 blank after a file, 9 total.  Sorting by
     ``(section = 9, directory, file, section, line, seq)`` gives the report.
     """
-    m = matches.select(directory(path_col).alias("directory"), F.col(path_col).alias("file"),
-                       F.col(line_no_col).cast("bigint").alias("line"), F.col(line_col).alias("content"))
-    content = (highlight("content", colorize_patterns) if colorize_patterns else F.col("content"))
+    files = _per_file(matches, path_col, line_no_col, line_col)
     empty = F.lit(None).cast("string")
     parts = []
     if not list_files:
-        items = m.select("directory", "file", F.lit(2).alias("section"), "line", F.lit(0).alias("seq"),
-                         F.concat(F.col("line").cast("string"), F.lit("    "), trim_start(content)).alias("text"))
-        parts.append(items)
-    files = m.select("directory", "file").distinct()
+        it = files.select("directory", "file", F.explode("items").alias("it"))
+        content = F.col("it.content")
+        if colorize_patterns:
+            content = highlight(content, colorize_patterns)
+        parts.append(it.select("directory", "file", F.lit(2).alias("section"), F.col("it.line").alias("line"),
+                               F.lit(0).alias("seq"),
+                               F.concat(F.col("it.line").cast("string"), F.lit("    "), trim_start(content))
+                               .alias("text")))
     if not hide_path:
         dirs = files.select("directory").distinct()
-        dh = dirs.select("directory", empty.alias("file"), F.lit(0).alias("section"),
-                         F.lit(0).cast("bigint").alias("line"),
-                         F.posexplode(_dir_headers(F.col("directory"))).alias("seq", "text"))
-        fh = files.select("directory", "file", F.lit(1).alias("section"), F.lit(0).cast("bigint").alias("line"),
-                          F.lit(0).alias("seq"), last_two("file")[0].alias("text"))
-        parts += [dh, fh]
+        parts.append(dirs.select("directory", empty.alias("file"), F.lit(0).alias("section"),
+                                 F.lit(0).cast("bigint").alias("line"),
+                                 F.posexplode(_dir_headers(F.col("directory"))).alias("seq", "text")))
+        parts.append(files.select("directory", "file", F.lit(1).alias("section"), F.lit(0).cast("bigint").alias("line"),
+                                  F.lit(0).alias("seq"), last_two("file")[0].alias("text")))
     if not list_files:
         parts.append(files.select("directory", "file", F.lit(3).alias("section"), F.lit(0).cast("bigint").alias("line"),
                                   F.lit(0).alias("seq"), F.lit("").alias("text")))
-    total = m.agg(F.count(F.lit(1)).alias("n")).select(
+    total = files.agg(F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("n")).select(
         empty.alias("directory"), empty.alias("file"), F.lit(9).alias("section"), F.lit(0).cast("bigint").alias("line"),
         F.posexplode(F.array(F.lit(""), F.concat(F.lit("Total "), F.col("n").cast("string"), F.lit(" lines found"))))
         .alias("seq", "text"))
@@ -135,15 +151,14 @@ def write_plain_report(rows: DataFrame, out_path: str) -> None:
 def tree_report_rows(matches: DataFrame, path_col: str = "path", line_no_col: str = "line_no",
                      line_col: str = "line", pos_col: str = "position", indent: int = 4) -> DataFrame:
     """``dir`` header, then ``<indent>rel:line:pos0 - content`` per item."""
-    m = matches.select(directory(path_col).alias("directory"), F.col(path_col).alias("file"),
-                       F.col(line_no_col).cast("bigint").alias("line"), F.col(line_col).alias("content"),
-                       F.col(pos_col).alias("position"))
-    items = m.select("directory", "file", F.lit(1).alias("section"), "line",
-                     F.concat(F.lit(" " * indent), relative_display("directory", "file"), F.lit(":"),
-                              F.col("line").cast("string"), F.lit(":"),
-                              F.element_at("position", 1).cast("string"), F.lit(" - "),
-                              trim_start("content")).alias("text"))
-    dirs = m.select("directory").distinct().select(
+    files = _per_file(matches, path_col, line_no_col, line_col, pos_col)
+    it = files.select("directory", "file", F.explode("items").alias("it"))
+    items = it.select("directory", "file", F.lit(1).alias("section"), F.col("it.line").alias("line"),
+                      F.concat(F.lit(" " * indent), relative_display("directory", "file"), F.lit(":"),
+                               F.col("it.line").cast("string"), F.lit(":"),
+                               F.element_at("it.position", 1).cast("string"), F.lit(" - "),
+                               trim_start("it.content")).alias("text"))
+    dirs = files.select("directory").distinct().select(
         "directory", F.lit(None).cast("string").alias("file"), F.lit(0).alias("section"),
         F.lit(0).cast("bigint").alias("line"), F.col("directory").alias("text"))
     return dirs.unionByName(items)

@@ -59,3 +59,12 @@ def test_sinks(spark):
     write_annotated(_files(spark), base + "/annotated")
     out = {r.path: r.content for r in spark.read.parquet(base + "/annotated").collect()}
     assert out["a.py"].startswith("# [TODO] A\nclass A:")
+
+
+def test_plain_report_searches_once(spark):
+    docs = TB.marked_documents(spark, SF_SMALL).withColumnRenamed("content", "text")
+    rows = plain_report_rows(grep_documents(docs, None, keep=["path"]))
+    rows.collect()
+    plan = _plan(rows)
+    final = plan.split("\n   Union")[0] if "isFinalPlan=true" in plan else plan
+    assert final.count("FileScan parquet") == 1 and final.count("ReusedExchange") >= 3
