@@ -17,7 +17,7 @@ from pyspark.sql import Window
 
 from markscope.operators.gitignore import drop_gitignored
 from markscope.operators.lang import comment_prefix_of, detect_language
-from markscope.operators.outline import comment_text, declarations, outline_lines, symbols_from
+from markscope.operators.outline import comment_text, declarations, outline_lines, symbol_groups
 from markscope.operators.select import drop_hidden, drop_ignored_extensions, drop_test_paths, select_glob
 
 
@@ -26,17 +26,23 @@ def annotate_lines(files: DataFrame, path_col: str = "path", lang_col: str = "la
     """``(path, language, ord, line, is_comment, has_eol)``: the annotated
     files as numbered lines."""
     l2 = declarations(outline_lines(files, path_col, lang_col, content_col))
-    syms = symbols_from(l2).where(F.col("role").isin("decl", "scope"))
-    comments = syms.select("path", "language", F.lit(None).cast("boolean").alias("has_eol"),
-                           F.col("start").alias("line_no"), F.lit(0).alias("sub"),
-                           comment_text(F.col("language"), F.col("level"), F.col("scope")).alias("text"))
-    src = l2.select("path", "language", "has_eol", "line_no", F.lit(1).alias("sub"), F.col("line").alias("text"))
-    return merge_comments(src, comments)
-
-
-def merge_comments(src: DataFrame, comments: DataFrame) -> DataFrame:
-    """O3 + W3 + W4 over source lines and comment rows of the same files."""
-    u = src.unionByName(comments)
+    g = symbol_groups(l2, with_lines=True)
+    is_comment = (F.col("tag") == 0) & F.col("ok") & F.col("role").isin("decl", "scope")
+    row = "struct<line_no:bigint,sub:int,text:string>"
+    rows = F.when(F.col("tag") == 2, F.array(F.struct(F.col("header").alias("line_no"), F.lit(1).alias("sub"),
+                                                      F.col("text").alias("text")).cast(row))) \
+            .when(is_comment, F.array(F.struct(F.col("start").alias("line_no"), F.lit(0).alias("sub"),
+                                              comment_text(F.col("language"), F.col("level"), F.col("scope"))
+                                              .alias("text")).cast(row))) \
+            .otherwise(F.array().cast(f"array<{row}>"))
+    u = g.select("path", "language", "has_eol", F.explode(rows).alias("r")).select(
+        "path", "language", "has_eol", "r.line_no", "r.sub", "r.text")
+    return merge_comments(u)
+
+
+def merge_comments(u: DataFrame) -> DataFrame:
+    """O3 + W3 + W4 over ``(path, language, has_eol, line_no, sub, text)``
+    rows: source lines (sub 1) and comments (sub 0) of the same files."""
     w = Window.partitionBy("path").orderBy("line_no", "sub")
     u = u.withColumn("_prev", F.lag("text").over(w))
     prefix = comment_prefix_of(F.col("language"))

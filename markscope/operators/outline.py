@@ -274,7 +274,8 @@ def declarations(lines: DataFrame) -> DataFrame:
     return l2.drop("_is_deco", "_breaker", "_last_breaker", "_prev_deco", "_fd")
 
 
-_EVENT = ("struct<key:int,tag:int,pos:bigint,o_line:bigint,o_indent:int,o_name:string,o_scope:boolean>")
+_EVENT = ("struct<key:int,tag:int,pos:bigint,o_line:bigint,o_indent:int,o_name:string,o_scope:boolean,"
+          "text:string>")
 
 
 def symbols(files: DataFrame, path_col: str = "path", lang_col: str = "language",
@@ -292,13 +293,24 @@ def symbols(files: DataFrame, path_col: str = "path", lang_col: str = "language"
 
 
 def symbols_from(l2: DataFrame, keep_all: bool = False) -> DataFrame:
-    """``symbols`` over the output of ``declarations`` (shared with annotate).
+    """``symbols`` over the output of ``declarations``."""
+    out = symbol_groups(l2).where(F.col("tag") == 0)
+    if not keep_all:
+        out = out.where("ok")
+    return out.select("path", "language", "start", "header", "kind", "role", "name", "level", "scope",
+                      F.array_join("scope", " > ").alias("scope_path"))
+
 
-    One pass: every line emits "opener" events (the levels it leaves open,
-    with the declaration owning that block) and every declaration emits
-    "lookup" events (the levels it must be nested in); a window per
-    (path, level) hands each lookup the last opener before it, and one
-    grouping per declaration assembles the scope path.
+def symbol_groups(l2: DataFrame, with_lines: bool = False) -> DataFrame:
+    """One pass over a file set's lines: every line emits "opener" events
+    (the levels it leaves open, with the declaration owning that block),
+    every declaration emits "lookup" events (the levels it must be nested
+    in); a window per (path, level) hands each lookup the last opener before
+    it, and one grouping per declaration assembles the scope path.
+
+    With ``with_lines`` every source line also passes through as its own
+    group (``tag = 2``, its text in ``text``), so annotation needs no second
+    read of the input.  Declaration groups have ``tag = 0``.
     """
     brace = F.col("language").isin(BRACE_LANGS)
     w = Window.partitionBy("path").orderBy("line_no")
@@ -345,7 +357,7 @@ def symbols_from(l2: DataFrame, keep_all: bool = False) -> DataFrame:
     open_ev = F.transform(okeys, lambda k: F.struct(
         k.alias("key"), F.lit(1).alias("tag"), F.col("line_no").alias("pos"), F.col("line_no").alias("o_line"),
         F.col("indent").alias("o_indent"), F.when(here, F.col("_pend.n")).alias("o_name"),
-        F.when(here, F.col("_pend.scope")).alias("o_scope")).cast(_EVENT))
+        F.when(here, F.col("_pend.scope")).alias("o_scope"), F.lit(None).cast("string").alias("text")).cast(_EVENT))
     lkeys = F.when(brace, F.when(F.col("depth") > 0, F.sequence(F.lit(0), F.col("depth") - 1))) \
              .otherwise(F.filter(F.coalesce(F.col("kset"), F.array().cast("array<int>")),
                                  lambda k: k < F.col("indent")))
@@ -355,35 +367,40 @@ def symbols_from(l2: DataFrame, keep_all: bool = False) -> DataFrame:
     look_ev = F.when(F.col("d_ok"), F.transform(lkeys, lambda k: F.struct(
         k.alias("key"), F.lit(0).alias("tag"), F.col("start").alias("pos"), F.lit(None).cast("bigint").alias("o_line"),
         F.lit(None).cast("int").alias("o_indent"), F.lit(None).cast("string").alias("o_name"),
-        F.lit(None).cast("boolean").alias("o_scope")).cast(_EVENT))).otherwise(F.array().cast(f"array<{_EVENT}>"))
-    dcols = ["language", "start", "kind", "role", "name", "flags", "net", "opener"]
+        F.lit(None).cast("boolean").alias("o_scope"), F.lit(None).cast("string").alias("text")).cast(_EVENT))
+                        ).otherwise(F.array().cast(f"array<{_EVENT}>"))
+    src_ev = F.array(F.struct(
+        F.lit(None).cast("int").alias("key"), F.lit(2).alias("tag"), F.col("line_no").alias("pos"),
+        F.lit(None).cast("bigint").alias("o_line"), F.lit(None).cast("int").alias("o_indent"),
+        F.lit(None).cast("string").alias("o_name"), F.lit(None).cast("boolean").alias("o_scope"),
+        F.col("line").alias("text")).cast(_EVENT))
+    events = F.concat(open_ev, look_ev, src_ev) if with_lines else F.concat(open_ev, look_ev)
+    dcols = ["language", "has_eol", "start", "kind", "role", "name", "flags", "net", "opener"]
     ev = d.withColumn("flags", flags).select(
-        "path", F.col("line_no").alias("header"), *dcols, F.explode(F.concat(open_ev, look_ev)).alias("e"))
+        "path", F.col("line_no").alias("header"), *dcols, F.explode(events).alias("e"))
     ev = ev.select("path", "header", *dcols, "e.*")
     wk = Window.partitionBy("path", "key").orderBy("pos", "tag").rowsBetween(Window.unboundedPreceding, 0)
     ev = ev.withColumn("enc", F.last(F.when(F.col("tag") == 1, F.struct("o_line", "o_indent", "o_name", "o_scope")),
                                      ignorenulls=True).over(wk))
-    look = ev.where(F.col("tag") == 0)
+    look = ev.where(F.col("tag") != 1)
     # indentation: a block at level k exists only if its opener sits at indent k
     counts = F.col("key").isNotNull() & (F.col("language").isin(BRACE_LANGS) | (F.col("enc.o_indent") == F.col("key")))
     anc_item = F.when(counts, F.struct(F.col("enc.o_line").alias("o_line"), F.col("enc.o_name").alias("n"),
                                        F.coalesce(F.col("enc.o_scope"), F.lit(False)).alias("ok")))
-    out = look.groupBy("path", "header").agg(*[F.first(c).alias(c) for c in dcols],
-                                             F.array_sort(F.collect_list(anc_item)).alias("anc"))
+    out = look.groupBy("path", "header", "tag").agg(*[F.first(c).alias(c) for c in dcols],
+                                                    F.array_sort(F.collect_list(anc_item)).alias("anc"),
+                                                    F.first("text").alias("text"))
     valid = F.forall("anc", lambda a: a["ok"])
     # methods must sit directly in a scope body (not at the root)
     member_ok = ~F.col("flags").contains("member") | (F.size("anc") > 0)
     out = out.withColumn("ok", valid & member_ok)
-    if not keep_all:
-        out = out.where("ok")
     scope = F.concat(F.transform("anc", lambda a: a["n"]), F.array(F.col("name")))
     # Rust: a module whose block ends on its first line gets no comment
     oneline = F.col("flags").contains("oneline_ignorable") & (
         F.col("opener").isNull() | ((F.col("opener") == F.col("header")) & (F.col("net") <= 0)))
-    role = F.when(oneline, F.lit("ignorable")).otherwise(F.col("role"))
-    return out.select("path", "language", "start", "header", "kind", role.alias("role"), "name",
-                      F.when(F.col("ok"), F.size("anc")).cast("bigint").alias("level"),
-                      scope.alias("scope"), F.array_join(scope, " > ").alias("scope_path"))
+    return out.select("path", "header", "tag", "language", "has_eol", "start", "kind",
+                      F.when(oneline, F.lit("ignorable")).otherwise(F.col("role")).alias("role"), "name", "ok",
+                      F.when(F.col("ok"), F.size("anc")).cast("bigint").alias("level"), scope.alias("scope"), "text")
 
 
 def comment_text(language: Column, level: Column, scope: Column) -> Column:
