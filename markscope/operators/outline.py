@@ -189,6 +189,17 @@ def _brace_stats(m: Column) -> Column:
     return F.when(b == "", init).otherwise(fold)
 
 
+def outline_partitions(spark) -> int:
+    """Partitions for the outline's shuffle: ``markscope.outline.partitions``
+    when set, else ``spark.sql.shuffle.partitions`` capped at four tasks per
+    core of the cluster (enough waves to balance files of uneven size)."""
+    explicit = spark.conf.get("markscope.outline.partitions", None)
+    if explicit:
+        return int(explicit)
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(shuffle, 4 * spark.sparkContext.defaultParallelism))
+
+
 def outline_lines(files: DataFrame, path_col: str = "path", lang_col: str = "language",
                   content_col: str = "content") -> DataFrame:
     """One row per line with its masked text and layout facts."""
@@ -198,8 +209,7 @@ def outline_lines(files: DataFrame, path_col: str = "path", lang_col: str = "lan
     # later window and grouping is keyed by path and reuses it.  The count is
     # explicit because the work per byte is high (regexes, windows): AQE would
     # otherwise merge a small input into one CPU-bound task.
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    f = f.repartition(n, "path")
+    f = f.repartition(outline_partitions(files.sparkSession), "path")
     f = f.withColumn("masked", mask(F.col("content"), F.col("language")))
     pairs = F.zip_with(split_lines("content"), split_lines("masked"),
                        lambda a, b: F.struct(a.alias("line"), b.alias("m")))
