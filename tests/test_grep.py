@@ -64,3 +64,12 @@ def test_grep_command(spark):
     assert [r.text for r in rows.collect()] == ["root/a", "a", "b.py", "", "Total 2 lines found"]
     col = grep_command(d, colorize=True).where("section = 2").orderBy("line").first().text
     assert col == "2    \x1b[31m[TODO]\x1b[0m fix É"
+
+
+def test_regex_document_prefilter_is_exact(spark):
+    d = spark.createDataFrame([(1, "p", "a ok\nb ok\nok c"), (2, "q", "none\n")], "doc_id long, path string, text string")
+    got = grep_documents(d, ["ok$"], SearchOptions(regex=True), keep=["doc_id"]).orderBy("line_no").collect()
+    assert [(r.doc_id, r.line_no, r.position) for r in got] == [(1, 1, [2]), (1, 2, [2])]
+    # a look-ahead sees past the line end in a document: no document-level test then
+    got = grep_documents(d, [r"ok(?!\s)"], SearchOptions(regex=True), keep=["doc_id"]).orderBy("line_no").collect()
+    assert [r.line_no for r in got] == [1, 2]
