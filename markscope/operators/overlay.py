@@ -36,8 +36,19 @@ def overlay(left: DataFrame, right: DataFrame, key: str = "name", order_col: str
 
 
 def overlay_all(layers: list[DataFrame], key: str = "name", order_col: str = "ord") -> DataFrame:
-    """Fold several layers left to right."""
-    def step(acc, nxt):
-        merged = overlay(acc.drop("ord_group") if "ord_group" in acc.columns else acc, nxt, key, order_col)
-        return merged
-    return reduce(step, layers)
+    """Fold several layers left to right (base, then user, then workspace...).
+
+    The result carries ``ord_path ARRAY<BIGINT>``; sorting by it gives the
+    merged order: rows only in earlier layers keep their places, and each
+    layer's rows come after them in that layer's own order.
+    """
+    acc = layers[0].withColumn("ord_path", F.array(F.col(order_col).cast("bigint"))).drop(order_col)
+    for nxt in layers[1:]:
+        left = acc.withColumnRenamed("ord_path", "_path")
+        merged = overlay(left.withColumn(order_col, F.lit(0).cast("bigint")), nxt, key, order_col)
+        # overlay() keeps the left row's columns; recover the left path by key
+        merged = merged.join(left.select(key, F.col("_path").alias("_lp")), key, "left")
+        path = F.when(F.col("ord_group") == 1, F.array(F.lit(1).cast("bigint"), F.col(order_col).cast("bigint"))) \
+                .otherwise(F.concat(F.array(F.lit(0).cast("bigint")), F.col("_lp")))
+        acc = merged.withColumn("ord_path", path).drop("_lp", "_path", "ord_group", order_col)
+    return acc
