@@ -32,7 +32,6 @@ from markscope.operators.lines import split_lines
 
 BRACE_LANGS = ["rust", "cpp", "typescript", "javascript"]
 INDENT_LANGS = ["python", "ruby"]
-LANGS = BRACE_LANGS + INDENT_LANGS
 
 # String / comment tokens per language (Java regex).  Loops are written in
 # the "unrolled" form so long strings do not grow the regex stack.

@@ -75,8 +75,3 @@ def select_names(df: DataFrame, names: DataFrame | list[str], name_col: str,
         names = df.sparkSession.createDataFrame([(n,) for n in names], f"{name_col} string")
     names = broadcast_if_small(names.select(name_col).distinct())
     return df.join(names, name_col, "left_semi" if only else "left_anti")
-
-
-def select_corpus(files: DataFrame, path_col: str = "path") -> DataFrame:
-    """The walk's rules without gitignore: F1 + F2."""
-    return files.where(~has_ignored_extension(path_col) & ~has_hidden_component(path_col))

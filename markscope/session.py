@@ -6,7 +6,6 @@ cluster's own ``spark.checkpoint.dir`` (a shared folder) always wins.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,17 +57,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table under the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), name)
-
-
 # Largest row count we broadcast for tables whose size is not fixed by
 # construction (name lists, rule tables).
 MAX_BROADCAST_ROWS = 200_000
