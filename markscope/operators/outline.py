@@ -102,7 +102,7 @@ RULES = [
     ("ts", "decorator", "decorator", r"^\s*@[\w.$]+", [], ""),
     ("ts", "export_statement", "decl",
      r"^\s*export\s+(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?"
-     r"(?:class|function|interface|enum|type|namespace|module|const\s+enum)\s+([\w$]+)", [1], ""),
+     r"(?:(?:class|interface|enum|type|namespace|module|const\s+enum)\s+|function\s*\*?\s*)([\w$]+)", [1], ""),
     ("ts", "class_declaration", "scope", r"^\s*class\s+([\w$]+)", [1], ""),
     ("ts", "function_declaration", "decl", r"^\s*(?:async\s+)?function\s+([\w$]+)", [1], ""),
     ("ts", "interface_declaration", "decl", r"^\s*interface\s+([\w$]+)", [1], ""),
