@@ -25,8 +25,9 @@ def literal_alternation(patterns: list[str]) -> str:
 
 
 def trim_start(line: str | Column) -> Column:
-    """Left trim of Unicode white space, as used by the plain report."""
-    return F.regexp_replace(col(line), r"^\s+", "")
+    """Left trim of Unicode white space (the White_Space property), as used
+    by the plain and tree reports (X8)."""
+    return F.regexp_replace(col(line), r"(?U)^\s+", "")
 
 
 def highlight(line: str | Column, patterns: list[str], ignore_case: bool = True) -> Column:

@@ -112,7 +112,7 @@ sql("pos_literal_ci", f"SELECT doc_id, line_no, {lit_pos('lower(line)', Q.POS_CI
                       f"WHERE contains(lower(line), {_q(Q.POS_CI.lower())})")
 
 # --- X8, X10 ---------------------------------------------------------------------
-sql("trim_line", "SELECT doc_id, line_no, regexp_replace(line, '^\\s+', '') AS trimmed FROM lines")
+sql("trim_line", "SELECT doc_id, line_no, regexp_replace(line, '^[\\s\\x{0B}\\x{85}\\p{Z}]+', '') AS trimmed FROM lines")
 sql("highlight", "SELECT doc_id, line_no, regexp_replace(line, '(?i)(\\[TODO\\]|\\[DONE\\])', "
                  "chr(27) || '[31m\\1' || chr(27) || '[0m', 'g') AS text FROM dflt")
 
@@ -129,7 +129,7 @@ sql("report_json", f"SELECT {DIR} AS directory, path AS name, line_no AS line, l
                    f"{multi_pos('line', ['[TODO]', '[DONE]'])} AS pos FROM dflt")
 sql("report_plain", f"""
 SELECT {DIR} AS directory, path AS file, 2 AS section, line_no AS line, 0 AS seq,
-       CAST(line_no AS VARCHAR) || '    ' || regexp_replace(line, '^\\s+', '') AS text FROM dflt
+       CAST(line_no AS VARCHAR) || '    ' || regexp_replace(line, '^[\\s\\x{{0B}}\\x{{85}}\\p{{Z}}]+', '') AS text FROM dflt
 UNION ALL
 SELECT directory, NULL, 0, 0, seq, text FROM (
   SELECT DISTINCT {DIR} AS directory FROM dflt) d,
@@ -147,7 +147,7 @@ SELECT DISTINCT {DIR} AS directory, CAST(NULL AS VARCHAR) AS file, 0 AS section,
        {DIR} AS text FROM dflt
 UNION ALL
 SELECT {DIR}, path, 1, line_no, '    ' || split_part(path, '/', -1) || ':' || CAST(line_no AS VARCHAR) || ':'
-       || split_part({multi_pos('line', ['[TODO]', '[DONE]'])}, ',', 1) || ' - ' || regexp_replace(line, '^\\s+', '')
+       || split_part({multi_pos('line', ['[TODO]', '[DONE]'])}, ',', 1) || ' - ' || regexp_replace(line, '^[\\s\\x{{0B}}\\x{{85}}\\p{{Z}}]+', '')
 FROM dflt""")
 sql("todo_progress", f"""
 SELECT {DIR} AS directory,

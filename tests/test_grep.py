@@ -73,3 +73,9 @@ def test_regex_document_prefilter_is_exact(spark):
     # a look-ahead sees past the line end in a document: no document-level test then
     got = grep_documents(d, [r"ok(?!\s)"], SearchOptions(regex=True), keep=["doc_id"]).orderBy("line_no").collect()
     assert [r.line_no for r in got] == [1, 2]
+
+
+def test_trim_start_unicode_white_space(spark):
+    from markscope.functions.text import trim_start
+    df = spark.createDataFrame([(" 　\t x y ",)], "t string")
+    assert df.select(trim_start("t").alias("r")).first().r == "x y "
