@@ -55,6 +55,12 @@ def q_nested_report(spark, sf):
     return R.report_to_json(R.nested_report(grep_documents(docs, None, keep=["path"])))
 
 
+def q_plain_report(spark, sf):
+    """The default plain report over the marked corpus (one search)."""
+    docs = TB.marked_documents(spark, sf).withColumnRenamed("content", "text")
+    return R.plain_report_rows(grep_documents(docs, None, keep=["path"]))
+
+
 def q_todo_progress(spark, sf):
     """Marker counts per directory."""
     docs = TB.marked_documents(spark, sf).withColumnRenamed("content", "text")
@@ -85,6 +91,7 @@ BENCH = {
     "multi_literal_offsets": q_multi_offsets,
     "regex_offsets": q_regex_offsets,
     "nested_report_json": q_nested_report,
+    "plain_report": q_plain_report,
     "todo_progress": q_todo_progress,
     "outline_code": q_outline,
     "annotate_code": q_annotate,
