@@ -79,3 +79,11 @@ def test_trim_start_unicode_white_space(spark):
     from markscope.functions.text import trim_start
     df = spark.createDataFrame([(" 　\t x y ",)], "t string")
     assert df.select(trim_start("t").alias("r")).first().r == "x y "
+
+
+def test_pretty_json_round_trip(spark):
+    g = grep_documents(_docs(spark), None, keep=["doc_id", "path"])
+    rep = R.nested_report(g)
+    js = R.report_to_json(rep, pretty=True)
+    assert "\n" in js.first().json
+    assert R.report_from_json(js).collect() == rep.collect()
