@@ -76,3 +76,29 @@ def test_literal_properties(spark, texts, pat):
         assert r["o"] == _model_overlap(r["t"], pat)
         for off in r["o"]:  # offsets slice back to the pattern
             assert r["t"].encode()[off:off + len(pat.encode())] == pat.encode()
+
+
+def _model_standard(text, pats):
+    """Scan left to right; at each end position report the longest pattern
+    ending there that starts at or after the restart point (standard
+    Aho-Corasick, non-overlapping)."""
+    tb, out, restart = text.encode(), [], 0
+    pbs = sorted({p.encode() for p in pats if p}, key=len, reverse=True)
+    for end in range(1, len(tb) + 1):
+        for pb in pbs:
+            s = end - len(pb)
+            if s >= restart and tb[s:end] == pb:
+                out.append(s)
+                restart = end
+                break
+    return out
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(alphabet="abé", max_size=14), min_size=1, max_size=5),
+       st.lists(st.text(alphabet="abé", min_size=1, max_size=3), min_size=2, max_size=4))
+def test_multi_standard_properties(spark, texts, pats):
+    df = one_col(spark, texts)
+    rows = df.select("t", multi_positions("t", pats).alias("m")).collect()
+    for r in rows:
+        assert r["m"] == _model_standard(r["t"], pats), (r["t"], pats)
