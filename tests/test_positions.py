@@ -102,3 +102,14 @@ def test_multi_standard_properties(spark, texts, pats):
     rows = df.select("t", multi_positions("t", pats).alias("m")).collect()
     for r in rows:
         assert r["m"] == _model_standard(r["t"], pats), (r["t"], pats)
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.text(alphabet="abé \x00", max_size=16), min_size=1, max_size=5),
+       st.sampled_from(["[ab]+", "a.b", "é+", "b(a|é)", "[^ ]+"]))
+def test_regex_positions_properties(spark, texts, rx):
+    import re
+    df = one_col(spark, texts)
+    for r in df.select("t", regex_positions("t", rx).alias("p")).collect():
+        want = [len(r["t"][:m.start()].encode()) for m in re.finditer(rx, r["t"])]
+        assert r["p"] == want, (r["t"], rx)
