@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZE
     return read_tokens(spark, path, with_ids=False)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from markscope.llm.ngram_join import ngram_components
+    return (ngram_components(table(spark, sf_dir, "documents"), k=3, threshold=Fraction(9, 10))
+            .select("doc_id", "n_shingles", "component_id"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     from markscope.llm.packing import pack_documents
     return pack_documents(table(spark, sf_dir, "documents"), f"{tokenizers}/word_bpe_49k.json",
@@ -38,6 +45,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_ngram_join": op2_ngram_join,
     "op3_packing": op3_packing,
     "op6_topk": op6_topk,
     "op10_licenses": op10_licenses,
