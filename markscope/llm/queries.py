@@ -8,6 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 
 from markscope.llm.common import Scratch, table
+from markscope.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
 
 #: Folder with the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -38,6 +39,11 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors.where("vec_id % 50 = 0"), vectors, k=5)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from markscope.llm.decontaminate import contamination
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from markscope.llm.licenses import scan_licenses
     return scan_licenses(table(spark, sf_dir, "documents"))
@@ -48,7 +54,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_packing": op3_packing,
     "op6_topk": op6_topk,
+    "op9_decontaminate": op9_decontaminate,
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_decontaminate": DECONTAMINATE_SQL}
