@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from markscope.llm.common import Scratch, table
 from markscope.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
@@ -33,12 +34,48 @@ def op3_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS)
                           end_id=1, size=2048, with_ids=False)
 
 
+def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from markscope.llm.html_extract import extract, fit
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, fit(pages), ["page_id", "url"])
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from markscope.llm.topk import search
     vectors = table(spark, sf_dir, "embeddings")
     return search(vectors.where("vec_id % 50 = 0"), vectors, k=5)
 
 
+def _remainder(by: int) -> Column:
+    """crc32(doc_id as text) mod ``by``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from markscope.llm.langid import fit, tag_languages
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(_remainder(3) == 1, F.lit(False))
+    model, langs = fit(docs.where(~held))
+    rows = docs.select("doc_id", held.alias("held_out"), "text")
+    return tag_languages(rows, model, langs, ["doc_id", "held_out"])
+
+
+def labelled_for_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, toxic of the documents that may be learned from."""
+    return (docs.where(_remainder(5) != 0).select("doc_id", "text")
+            .join(labels.where("toxic IS NOT NULL").select("doc_id", "toxic"), "doc_id").select("text", "toxic"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from markscope.llm.toxicity import fit, score_toxicity
+    docs = table(spark, sf_dir, "documents")
+    model = fit(labelled_for_toxicity(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(_remainder(5) == 0, F.lit(False))
+    rows = docs.select("doc_id", held.alias("held_out"), "text")
+    return score_toxicity(rows, model, ["doc_id", "held_out"]).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from markscope.llm.decontaminate import contamination
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
@@ -53,7 +90,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_ngram_join": op2_ngram_join,
     "op3_packing": op3_packing,
+    "op5_extract": op5_extract,
     "op6_topk": op6_topk,
+    "op7_langid": op7_langid,
+    "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_licenses": op10_licenses,
 }
