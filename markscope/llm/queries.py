@@ -34,6 +34,11 @@ def op3_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS)
                           end_id=1, size=2048, with_ids=False)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from markscope.llm.passages import repeats_by_document
+    return repeats_by_document(table(spark, sf_dir, "documents"), min_words=50, k=5, threshold=Fraction(8, 10))
+
+
 def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from markscope.llm.html_extract import extract, fit
     pages = table(spark, sf_dir, "pages")
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_ngram_join": op2_ngram_join,
     "op3_packing": op3_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_extract": op5_extract,
     "op6_topk": op6_topk,
     "op7_langid": op7_langid,

@@ -10,7 +10,7 @@ import xxhash
 #: Bytes of text hashed at once; bounds the arrays of one step.
 STEP_BYTES = 8_000_000
 
-_MULTIPLIER = [np.uint64(int.from_bytes(hashlib.sha256(bytes([i])).digest()[:8], "little") | 1) for i in range(16)]
+_MULTIPLIER = [np.uint64(int.from_bytes(hashlib.sha256(bytes([i])).digest()[:8], "little") | 1) for i in range(64)]
 
 
 def ascii_words(text: str | None) -> list[bytes]:
@@ -30,10 +30,10 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k consecutive words, given the words' hashes."""
+    """Hash of each k (at most 63) consecutive words, given the words' hashes."""
     out = np.full(len(h) - k + 1, np.uint64(k))
     for j in range(k):
-        out = out * _MULTIPLIER[15] + h[j:len(h) - k + 1 + j] * _MULTIPLIER[j]
+        out = out * _MULTIPLIER[63] + h[j:len(h) - k + 1 + j] * _MULTIPLIER[j]
     return mixed(out)
 
 
