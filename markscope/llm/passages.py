@@ -39,6 +39,8 @@ from markscope.llm.shingles import mixed, window_hashes, word_hashes
 MIN_WORDS = 50
 ANCHOR_WORDS = 30
 BANDS, ROWS = 14, 4
+#: Documents whose paragraphs are hashed together.
+STEP_DOCS = 500
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _PERM = np.random.default_rng(20).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -78,13 +80,15 @@ def anchors(h: np.ndarray, min_words: int) -> np.ndarray:
     return np.unique(least + np.arange(len(least)))
 
 
-def bands(s: np.ndarray) -> list[int]:
-    """One hash per band of a set's MinHash."""
-    least = np.array([mixed(s * p).min() for p in _PERM]).reshape(BANDS, ROWS)
-    key = np.zeros(BANDS, np.uint64)
-    for r in range(ROWS):
-        key = mixed(key ^ least[:, r])
-    return (key + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """One hash per band of the MinHash of each set (none is empty)."""
+    key = np.zeros((len(sets), BANDS), np.uint64)
+    if sets:
+        flat = np.concatenate(sets)
+        starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
+        for i, p in enumerate(_PERM):  # an odd multiple permutes the hashes
+            key[:, i // ROWS] = mixed(key[:, i // ROWS] ^ np.minimum.reduceat(flat * p, starts))
+    return (key + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 _PARA = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("fp", pa.binary()), ("n", pa.int64()),
@@ -99,20 +103,22 @@ def _ints(x: np.ndarray) -> list[int]:
 
 def _reader(min_words: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, hashes, places, paras = [], [], [], []
+        for b in (w.slice(at, STEP_DOCS) for w in batches for at in range(0, len(w), STEP_DOCS)):
+            n, hashes, places, found = [], [], [], []
             for t in b.column("text"):
                 x = Text(t.as_py())
                 n.append(x.n)
                 if x.n < min_words:
-                    hashes.append([]), places.append([]), paras.append([])
+                    hashes.append([]), places.append([]), found.append([])
                     continue
                 h = window_hashes(x.hashes, ANCHOR_WORDS)
                 at = anchors(h, min_words)
                 hashes.append(_ints(h[at]))
                 places.append(at.tolist())
-                paras.append([{"start": a, "words": m, "fp": hashlib.md5(s.tobytes()).digest(), "n": len(s),
-                               "bands": bands(s)} for a, m, s in x.paragraphs(min_words, k)])
+                found.append(x.paragraphs(min_words, k))
+            keys = iter(bands([s for f in found for _, _, s in f]).tolist())
+            paras = [[{"start": a, "words": m, "fp": hashlib.md5(s.tobytes()).digest(), "n": len(s), "bands": next(keys)}
+                      for a, m, s in f] for f in found]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(hashes, pa.list_(pa.int64())),
                  pa.array(places, pa.list_(pa.int32())), pa.array(paras, _PARA)],
