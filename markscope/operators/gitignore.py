@@ -1,7 +1,7 @@
 """gitignore rules over path metadata.
 
-Rules are the lines of ``.gitignore`` files: a few rows per folder.  They
-are translated to regexes on the driver (bounded, checked) and broadcast.
+Rules are the lines of ``.gitignore`` files, translated to regexes where they
+are read; the optimizer chooses how to join them.
 Every entry - each folder on a path, and the file itself - is tested only
 against the rules of the folders above it (an equi-join on the folder); the
 last matching rule decides, rules of a deeper folder coming after those of a
@@ -13,13 +13,13 @@ folder.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from markscope.functions.paths import ancestors, base_name, components, directory, gitignore_rule_regex
 from markscope.operators.lines import explode_lines
-from markscope.session import broadcast_if_small
 
 RULES_SCHEMA = T.StructType([T.StructField("base_dir", T.StringType(), False),
                              T.StructField("ord", T.LongType(), False),
@@ -27,10 +27,6 @@ RULES_SCHEMA = T.StructType([T.StructField("base_dir", T.StringType(), False),
                              T.StructField("negated", T.BooleanType(), False),
                              T.StructField("dir_only", T.BooleanType(), False)])
 
-# Broadcast bound for rule tables; larger rule sets are refused, not cut.
-MAX_RULES = 200_000
-
-
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     """``[(folder, rule text)]`` in file order -> rules DataFrame."""
     rows = []
@@ -38,22 +34,23 @@ def rules_frame(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
         tr = gitignore_rule_regex(text)
         if tr:
             rows.append((base.rstrip("/"), i, tr[0], tr[1], tr[2]))
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"{len(rows)} gitignore rules exceed the broadcast bound {MAX_RULES}")
     return spark.createDataFrame(rows, RULES_SCHEMA)
 
 
 def rules_from_files(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """Read the rules of every ``.gitignore`` in a corpus of files (the rule
-    text is small; its size is checked before it reaches the driver)."""
+    """The rules of every ``.gitignore`` in a corpus of files. Rule texts are
+    translated where they are; a rule's order counts within its folder."""
     gi = files.where(base_name(path_col) == ".gitignore") \
               .select(directory(path_col).alias("base_dir"), F.col(content_col).alias("text"))
     ln = explode_lines(gi, "text", keep=["base_dir"])
-    n = ln.count()
-    if n > MAX_RULES:
-        raise ValueError(f"{n} gitignore lines exceed the broadcast bound {MAX_RULES}")
-    got = [(r["base_dir"], r["line"]) for r in ln.orderBy("base_dir", "line_no").collect()]
-    return rules_frame(files.sparkSession, got)
+
+    def translate(batches):
+        for pdf in batches:
+            rows = [(b.rstrip("/"), n, *t) for b, n, t in
+                    zip(pdf["base_dir"], pdf["line_no"], map(gitignore_rule_regex, pdf["line"])) if t]
+            yield pd.DataFrame(rows, columns=RULES_SCHEMA.names)
+
+    return ln.select("base_dir", "line_no", "line").mapInPandas(translate, RULES_SCHEMA)
 
 
 def _ignored_entries(entries: DataFrame, rules: DataFrame, is_dir: bool) -> DataFrame:
@@ -70,7 +67,6 @@ def _ignored_entries(entries: DataFrame, rules: DataFrame, is_dir: bool) -> Data
 
 def ignored_paths(paths: DataFrame, rules: DataFrame, path_col: str = "path") -> DataFrame:
     """Paths ignored by the rules: ``(path)``."""
-    rules = broadcast_if_small(rules, MAX_RULES)
     p = paths.select(F.col(path_col).alias("entry"))
     dirs = p.select(F.explode(ancestors("entry")).alias("entry")).distinct()
     bad_dirs = _ignored_entries(dirs, rules, True)

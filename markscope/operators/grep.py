@@ -31,9 +31,6 @@ def _empty() -> Column:
     return F.array().cast("array<bigint>")
 
 
-# look-arounds and absolute anchors: a document-level test could disagree
-# with the line-level one for these
-_SEES_PAST_LINE = re.compile(r"\(\?<?[=!]|\\[AzZG]")
 
 
 @dataclass(frozen=True)
@@ -122,15 +119,11 @@ def grep_documents(docs: DataFrame, patterns: list[str] | None = None,
     For literal patterns a document that does not contain any pattern cannot
     hold a matching line, so documents are filtered before they are split
     into lines (the filter reaches the parquet scan as ``StringContains``).
+    A regex is tested on lines only: what it matches in a whole document and
+    in a line can differ.
     """
     pats = DEFAULT_PATTERNS if patterns is None else list(patterns)
     if not options.regex:
         docs = docs.where(match_predicate(text_col, pats, options))
-    elif pats and not any(_SEES_PAST_LINE.search(p) for p in pats):
-        # In multi-line mode ^ and $ match at line ends, and a match inside a
-        # line is a match inside the document; only look-arounds and absolute
-        # anchors could see past a line end, so those patterns skip this.
-        rx = ("(?miu)" if options.ignore_case else "(?m)") + _combined_regex(pats)
-        docs = docs.where(F.col(text_col).rlike(rx))
     lines = explode_lines(docs, text_col=text_col, keep=keep)
     return grep(lines, pats, options)

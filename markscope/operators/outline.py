@@ -33,12 +33,12 @@ from markscope.operators.lines import split_lines
 BRACE_LANGS = ["rust", "cpp", "typescript", "javascript"]
 INDENT_LANGS = ["python", "ruby"]
 
-# String / comment tokens per language (Java regex).  Loops are written in
-# the "unrolled" form so long strings do not grow the regex stack.
-_DQ = r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"'
-_SQ = r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'"
-_DQ_ML = r'"[^"\\]*(?:\\[\s\S][^"\\]*)*"'
-_SQ_ML = r"'[^'\\]*(?:\\[\s\S][^'\\]*)*'"
+# String / comment tokens per language (Java regex).  Loops over groups are
+# possessive: they keep no state per round, so the regex stack stays flat.
+_DQ = r'"(?:[^"\\\n]++|\\.)*+"'
+_SQ = r"'(?:[^'\\\n]++|\\.)*+'"
+_DQ_ML = r'"(?:[^"\\]++|\\[\s\S])*+"'
+_SQ_ML = r"'(?:[^'\\]++|\\[\s\S])*+'"
 _BLOCK = r"/\*[\s\S]*?\*/"
 _LINE = r"//[^\n]*"
 MASK_TOKENS = {
@@ -46,7 +46,7 @@ MASK_TOKENS = {
     "ruby": "|".join([r"^=begin[\s\S]*?^=end", _DQ_ML, _SQ_ML, r"#[^\n]*", r"""[^"'#=]+""", r"[\s\S]"]),
     "rust": "|".join([_BLOCK, _LINE, _DQ_ML, r"'(?:\\[^'\n]{1,10}|[^'\\\n])'", r"""[^/"']+""", r"[\s\S]"]),
     "cpp": "|".join([_BLOCK, _LINE, _DQ, _SQ, r"""[^/"']+""", r"[\s\S]"]),
-    "typescript": "|".join([_BLOCK, _LINE, _DQ, _SQ, r"`[^`\\]*(?:\\[\s\S][^`\\]*)*`", r"""[^/"'`]+""", r"[\s\S]"]),
+    "typescript": "|".join([_BLOCK, _LINE, _DQ, _SQ, r"`(?:[^`\\]++|\\[\s\S])*+`", r"""[^/"'`]+""", r"[\s\S]"]),
 }
 MASK_TOKENS["javascript"] = MASK_TOKENS["typescript"]
 MASKED_START = {"python": r"""^["'#]""", "ruby": r"""^(["'#]|=begin)""", "rust": r"""^(["']|/[*/])""",
@@ -60,7 +60,8 @@ MASKED_START = {"python": r"""^["'#]""", "ruby": r"""^(["'#]|=begin)""", "rust":
 # "body" - needs a block ("{" before ";"), "member" - only inside a scope,
 # "oneline_ignorable" - no comment when the block closes on its first line.
 _V = r"(?:pub(?:\s*\([^)]*\))?\s+)?"
-_GEN = r"<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>"
+_GEN_CHARS = r"(?:[^<>-]|->|-(?!>))"  # the arrow of a function type closes nothing
+_GEN = rf"<(?:{_GEN_CHARS}|<(?:{_GEN_CHARS}|<{_GEN_CHARS}*+>)*+>)*+>"
 _ID = r"[\p{L}_][\p{L}\p{N}_]*"
 RULES = [
     # python
@@ -190,13 +191,11 @@ def _brace_stats(m: Column) -> Column:
 
 def outline_partitions(spark) -> int:
     """Partitions for the outline's shuffle: ``markscope.outline.partitions``
-    when set, else ``spark.sql.shuffle.partitions`` capped at four tasks per
-    core of the cluster (enough waves to balance files of uneven size)."""
+    when set, else ``spark.sql.shuffle.partitions``."""
     explicit = spark.conf.get("markscope.outline.partitions", None)
     if explicit:
         return int(explicit)
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(shuffle, 4 * spark.sparkContext.defaultParallelism))
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def outline_lines(files: DataFrame, path_col: str = "path", lang_col: str = "language",
@@ -223,7 +222,7 @@ def outline_lines(files: DataFrame, path_col: str = "path", lang_col: str = "lan
     m = F.col("m")
     return ln.select("path", "language", "has_eol", "line_no", "line",
                      F.instr(m, ";").alias("semi_at"), F.instr(m, "{").alias("brace_at"),
-                     (m.rlike(r"^\s*(?:[\w:<>,*&]+\s*)+$") & m.rlike(r"\S") &
+                     (m.rlike(r"^[\w:<>,*&\s]*+$") & m.rlike(r"\S") &
                       ~m.rlike(r"^\s*(?:public|private|protected)\s*:") & ~m.rlike(r"^\s*template\s*<"))
                      .alias("type_like"),
                      m.rlike(r"^\s*template\s*<").alias("template_like"),

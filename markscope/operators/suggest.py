@@ -15,7 +15,6 @@ from markscope.functions.text import col
 # earlier word), the largest distance suggested.
 VOCABULARY = ["init", "reset", "grep", "help", "file", "pattern", "format", "json", "plain"]
 MAX_DISTANCE = 3
-MAX_VOCABULARY = 10_000
 
 
 def suggest(word: str | Column, vocabulary: list[str] | None = None,
@@ -23,8 +22,6 @@ def suggest(word: str | Column, vocabulary: list[str] | None = None,
     """Closest term at Levenshtein distance 1..max_distance, the first term
     on ties; NULL when the word is itself a term or nothing is close."""
     vocab = list(VOCABULARY if vocabulary is None else vocabulary)
-    if len(vocab) > MAX_VOCABULARY:
-        raise ValueError("vocabulary too large to unroll; join it instead")
     w = col(word)
     cands = F.array(*[F.struct(F.levenshtein(w, F.lit(t)).alias("d"), F.lit(i).alias("i"), F.lit(t).alias("term"))
                       for i, t in enumerate(vocab)])

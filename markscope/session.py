@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 # Fixed defaults for the engine (all overridable by the cluster config).
@@ -31,8 +32,10 @@ def get_session(master: str | None = None, app: str = "markscope",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    given = SparkConf()  # what the cluster or the command line has set stays
     for k, v in DEFAULT_CONF.items():
-        builder = builder.config(k, v)
+        if not given.contains(k):
+            builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():

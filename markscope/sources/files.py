@@ -8,8 +8,9 @@ files into partitions of about ``partitionBytes`` each; executors read the
 bytes.  Unlike the built-in ``binaryFile`` / ``text`` sources, names that start
 with ``_`` or ``.`` are kept (``__init__.py``).  The walk prunes like the
 reference's: hidden entries (but ``.gitignore`` files are kept so their rules
-can be applied) and folders or files with an ignored extension.  A file that
-cannot be read, or is larger than ``maxFileBytes``, is returned with NULL
+can be applied) and folders or files with an ignored extension.  A file or
+folder that cannot be read, or a file larger than ``maxFileBytes`` where that is
+set (no limit by default), is returned with NULL
 content and a reason in ``error`` - nothing is dropped silently.
 """
 
@@ -41,21 +42,25 @@ def _skip(name: str, skip_hidden: bool, skip_ext: bool, is_dir: bool) -> bool:
 
 
 def list_tree(root: str, skip_hidden: bool = True, skip_ext: bool = True) -> list[tuple[str, int]]:
-    """(relative path, size) of every regular file under ``root``, sorted."""
+    """(relative path, size) of every regular file under ``root``, sorted. Links are
+    skipped; a folder that cannot be listed is given with size -1."""
     out = []
     root = os.path.abspath(root)
-    for d, dirs, files in os.walk(root):
+    def failed(e):
+        out.append((os.path.relpath(e.filename, root).replace(os.sep, "/"), -1))
+
+    for d, dirs, files in os.walk(root, onerror=failed):
         dirs[:] = sorted(x for x in dirs if not _skip(x, skip_hidden, skip_ext, True))
         for f in files:
             if _skip(f, skip_hidden, skip_ext, False):
                 continue
             full = os.path.join(d, f)
-            if not os.path.isfile(full):
+            if os.path.islink(full) or not os.path.isfile(full):
                 continue
             try:
                 size = os.path.getsize(full)
             except OSError:
-                size = -1
+                size = 0  # opening it will tell
             out.append((os.path.relpath(full, root).replace(os.sep, "/"), size))
     out.sort()
     return out
@@ -72,7 +77,8 @@ class FileTreeReader(DataSourceReader):
     def __init__(self, options, schema):
         self.root = os.path.abspath(options["path"])
         self.part_bytes = int(options.get("partitionBytes", 128 * 1024 * 1024))
-        self.max_file = int(options.get("maxFileBytes", 64 * 1024 * 1024))
+        cap = options.get("maxFileBytes")  # opt-in; without it every file is read whole
+        self.max_file = int(cap) if cap else None
         self.skip_hidden = options.get("skipHidden", "true").lower() == "true"
         self.skip_ext = options.get("skipIgnoredExtensions", "true").lower() == "true"
         self.path_tests = []  # pushed-down predicates on the relative path
@@ -122,7 +128,10 @@ class FileTreeReader(DataSourceReader):
     def read(self, partition):
         for rel, size in partition.files:
             full = os.path.join(partition.root, rel)
-            if size > self.max_file:
+            if size < 0:
+                yield (rel, None, None, "unreadable folder")
+                continue
+            if self.max_file is not None and size > self.max_file:
                 yield (rel, size, None, f"larger than {self.max_file} bytes")
                 continue
             try:
