@@ -13,13 +13,13 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 
 from markscope.llm.common import Scratch, table
-from markscope.llm.queries import TOKENIZERS, labelled_for_toxicity
+from markscope.llm.queries import TOKENIZERS, learnable
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the tagger (fitted on ``labels``) scores 0.5 or more."""
     from markscope.llm.toxicity import drop_toxic, fit
-    return drop_toxic(docs, fit(labelled_for_toxicity(docs, table(spark, sf_dir, "labels"))))
+    return drop_toxic(docs, fit(learnable(docs), table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from markscope.session import checkpoint_dir
@@ -74,3 +74,29 @@ def keyed_filter(big: DataFrame, keys: DataFrame, on: list[str], how: str) -> Da
         one = big[c].eqNullSafe(k[f"__key_{c}"])
         cond = one if cond is None else cond & one
     return big.join(k, cond, how)
+
+
+def least_hashes(rows: DataFrame, size: int) -> DataFrame:
+    """The ``size`` distinct rows with the least hashes. Only rows under a bound fitted to the
+    estimated number of distinct ones are sorted, so little more than ``size`` rows travel."""
+    names = rows.columns
+    hashed = rows.withColumn("__h", F.xxhash64(*names, F.lit("sample")))
+    n = hashed.agg(F.approx_count_distinct("__h", 0.02)).first()[0]
+    if n > 2 * size:
+        hashed = hashed.where(F.col("__h") < int(-2 ** 63 + 2 ** 64 * 1.5 * size / n))
+    return hashed.distinct().orderBy("__h", *names).limit(size).drop("__h")
+
+
+def sampled_texts(rows: DataFrame, size: int, text: str, tags: list[str]) -> list[Row]:
+    """At most ``size`` distinct rows (``text`` and ``tags``), the same for the same rows in any
+    order. They are chosen by the text's hash; only chosen texts leave their place."""
+    hashed = rows.select(text, *tags, F.xxhash64(text).alias("__th"))
+    keys = least_hashes(hashed.select("__th", *tags), size).collect()
+    if not keys:
+        return []
+    chosen = rows.sparkSession.createDataFrame(keys, hashed.select("__th", *tags).schema)
+    on = hashed["__th"] == chosen["__th"]
+    for c in tags:
+        on = on & hashed[c].eqNullSafe(chosen[c])
+    found = hashed.join(F.broadcast(chosen), on, "left_semi").dropDuplicates(["__th", *tags])
+    return found.orderBy("__th", *tags).drop("__th").collect()

@@ -22,6 +22,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 #: Bytes of text handled at once by ``marginals``; a longer text is a step of its own.
 STEP_BYTES = 4_000_000
+#: Distinct words whose features are held in one block while training.
+TRAIN_WORDS = 20_000
 
 
 def text_words(text: str | None) -> list[bytes]:
@@ -111,41 +113,55 @@ def forward_backward(em: np.ndarray, transitions: np.ndarray, active: np.ndarray
     return alpha * beta, moves * T, float(np.log(scale).sum() + top.sum())
 
 
-def train(texts: list[list[bytes]], labels: list[np.ndarray], n_labels: int, steps: int = 60,
-          rate: float = 0.5, l2: float = 1e-6) -> Crf:
-    """Maximum likelihood by Adagrad over all texts at once (deterministic)."""
-    keep = [i for i, w in enumerate(texts) if w]
+def coded(texts: list[str | None]) -> tuple[list[bytes], list[np.ndarray]]:
+    """The distinct words of the texts, and each text as numbers of words."""
+    number: dict[bytes, int] = {}
+    out = [np.fromiter((number.setdefault(w, len(number)) for w in text_words(t)), np.int32) for t in texts]
+    return list(number), out
+
+
+def train(vocabulary: list[bytes], texts: list[np.ndarray], labels: list[np.ndarray], n_labels: int,
+          steps: int = 60, rate: float = 0.5, l2: float = 1e-6) -> Crf:
+    """Maximum likelihood by Adagrad over all texts (as of ``coded``) at once (deterministic).
+    Features are gone through in blocks of words, which bounds the memory of a step."""
+    keep = [i for i, w in enumerate(texts) if len(w)]
     lens = np.array([len(texts[i]) for i in keep], np.int64)
     model = Crf(np.zeros((1 << BITS, n_labels), np.float32), np.zeros(n_labels, np.float32),
                 np.zeros((n_labels, n_labels), np.float32))
     if not keep:
         return model
-    words, code = distinct([w for i in keep for w in texts[i]])
-    gold = np.concatenate([labels[i] for i in keep])
+    present, code = np.unique(np.concatenate([texts[i] for i in keep]), return_inverse=True)
+    n_words = len(present)
+    gold = np.concatenate([labels[i] for i in keep]).astype(np.int32)
     order, active = time_major(lens)
-    code_t, gold_t = code[order], gold[order]
-    f, n = word_features(words)
-    start, unit = np.cumsum(n) - n, 1 / np.sqrt(n)[:, None]
-    owner = np.repeat(np.arange(len(words)), n)
-    used, f = np.unique(f, return_inverse=True)
+    code, gold_t = code.astype(np.int32)[order], gold[order]
+    blocks = []  # (words from, to, features, their number for each word)
+    for at in range(0, n_words, TRAIN_WORDS):
+        f, n = word_features([vocabulary[i] for i in present[at:at + TRAIN_WORDS]])
+        blocks.append((at, at + len(n), f.astype(np.int32), n))
+    used = np.unique(np.concatenate([np.unique(f) for _, _, f, _ in blocks]))
+    blocks = [(lo, hi, np.searchsorted(used, f).astype(np.int32), n) for lo, hi, f, n in blocks]
     w = np.zeros((len(used), n_labels))
     b, T = np.zeros(n_labels), np.zeros((n_labels, n_labels))
-    one = np.zeros((len(code), n_labels))
-    one[np.arange(len(code)), gold_t] = 1
-    first = np.cumsum(lens) - lens
     inner = np.ones(len(gold), bool)
-    inner[first] = False
+    inner[np.cumsum(lens) - lens] = False
     to = np.flatnonzero(inner)
-    seen = np.zeros_like(T)
-    np.add.at(seen, (gold[to - 1], gold[to]), 1)
+    seen = np.bincount(gold[to - 1] * n_labels + gold[to], minlength=n_labels ** 2).reshape(n_labels, n_labels)
     grads = [np.full_like(x, 1e-8) for x in (w, b, T)]
+    at_gold = np.arange(len(code)), gold_t
     for _ in range(steps):
-        em = np.add.reduceat(w[f], start, axis=0) * unit + b
-        p, moves, _ = forward_backward(em[code_t], T, active)
-        d = (p - one) / len(code)
-        by_word = np.stack([np.bincount(code_t, d[:, k], len(words)) for k in range(n_labels)], axis=1)
-        g = (by_word * unit)[owner]
-        gw = np.stack([np.bincount(f, g[:, k], len(used)) for k in range(n_labels)], axis=1) + l2 * w
+        em = np.empty((n_words, n_labels))
+        for lo, hi, f, n in blocks:
+            em[lo:hi] = np.add.reduceat(w[f], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None] + b
+        d, moves, _ = forward_backward(em[code], T, active)
+        d[at_gold] -= 1
+        d /= len(code)
+        by_word = np.stack([np.bincount(code, d[:, k], n_words) for k in range(n_labels)], axis=1)
+        gw = l2 * w
+        for lo, hi, f, n in blocks:
+            own = by_word[lo:hi] / np.sqrt(n)[:, None]
+            for k in range(n_labels):
+                gw[:, k] += np.bincount(f, np.repeat(own[:, k], n), len(used))
         for x, gx, s in ((w, gw, grads[0]), (b, by_word.sum(axis=0), grads[1]),
                          (T, (moves - seen) / len(code) + 1e-4 * T, grads[2])):
             s += gx * gx

@@ -26,9 +26,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from markscope.llm.common import ship
+from markscope.llm.common import sampled_texts, ship
 from markscope.llm.crf import time_major
 from markscope.llm.html_blocks import Block, page_blocks
 
@@ -199,8 +198,7 @@ def varied(blocks: list[Block], labels: list[int], others: list[str], r: random.
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES, seed: int = 7) -> Labeller:
     """A labeller from at most ``sample`` pages (html)."""
-    rows = (pages.select("html").where("html IS NOT NULL").withColumn("h", F.xxhash64("html")).orderBy("h", "html")
-            .limit(sample).collect())
+    rows = sampled_texts(pages.where("html IS NOT NULL"), sample, "html", [])
     seen = [b for b in (page_blocks(r["html"]) for r in rows) if b]
     model = Labeller()
     if not seen:

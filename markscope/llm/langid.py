@@ -18,10 +18,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from markscope.llm import crf
-from markscope.llm.common import ship
+from markscope.llm.common import sampled_texts, ship
 
 #: Documents that the model is fitted on, at most.
 SAMPLE_DOCS = 600
@@ -34,12 +33,11 @@ def has_letter(text: str | None) -> bool:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[crf.Crf, list[str]]:
     """Model and its languages from labelled documents (text, lang)."""
-    rows = (labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-            .withColumn("h", F.xxhash64("text", F.lit("sample"))).orderBy("h", "lang", "text").limit(sample).collect())
+    rows = sampled_texts(labelled.where("text IS NOT NULL AND lang IS NOT NULL"), sample, "text", ["lang"])
     langs = sorted({r["lang"] for r in rows})
-    texts = [crf.text_words(r["text"]) for r in rows]
-    gold = [np.full(len(w), langs.index(r["lang"]), np.int64) for w, r in zip(texts, rows)]
-    return crf.train(texts, gold, max(1, len(langs))), langs
+    vocabulary, texts = crf.coded([r["text"] for r in rows])
+    gold = [np.full(len(w), langs.index(r["lang"]), np.int32) for w, r in zip(texts, rows)]
+    return crf.train(vocabulary, texts, gold, max(1, len(langs))), langs
 
 
 def tag_languages(docs: DataFrame, model: crf.Crf, langs: list[str], keep: list[str]) -> DataFrame:

@@ -65,16 +65,15 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_languages(rows, model, langs, ["doc_id", "held_out"])
 
 
-def labelled_for_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of the documents that may be learned from."""
-    return (docs.where(_remainder(5) != 0).select("doc_id", "text")
-            .join(labels.where("toxic IS NOT NULL").select("doc_id", "toxic"), "doc_id").select("text", "toxic"))
+def learnable(docs: DataFrame) -> DataFrame:
+    """doc_id, text of the documents whose labels may be learned from."""
+    return docs.where(_remainder(5) != 0).select("doc_id", "text")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from markscope.llm.toxicity import fit, score_toxicity
     docs = table(spark, sf_dir, "documents")
-    model = fit(labelled_for_toxicity(docs, table(spark, sf_dir, "labels")))
+    model = fit(learnable(docs), table(spark, sf_dir, "labels"))
     held = F.coalesce(_remainder(5) == 0, F.lit(False))
     rows = docs.select("doc_id", held.alias("held_out"), "text")
     return score_toxicity(rows, model, ["doc_id", "held_out"]).withColumn(

@@ -7,18 +7,17 @@ features; forward-backward marginals give each word's probability, offending off
 the words at 0.5 or more, and a logistic curve over three sums of the marginals, fitted
 on documents the tagger has not seen, gives the document's score.
 
-The fit uses at most SAMPLE_DOCS labelled documents (by a hash of their text; the
-documented bound), whole texts, on the driver. Scoring is one pass where the rows live.
+The fit uses at most SAMPLE_DOCS different labelled texts (by a hash; the documented
+bound), whole, on the driver. Scoring is one pass where the rows live.
 
 Results by case: null, empty and wordless texts get the score of a text without toxic
 words; long texts are scored whole; equal rows get equal scores; without labelled
 documents of both kinds every score is 0; labels that are null take no part, and a
-document with several labels counts once for each; other columns are ignored.
+text with both labels counts once for each; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markscope.llm import crf
-from markscope.llm.common import ship
+from markscope.llm.common import least_hashes, ship
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE_DOCS = 3000
@@ -42,20 +41,23 @@ def _keys(word: bytes) -> list[bytes]:
     return [word + b"$"] + [word[:n] for n in STEMS if len(word) >= n]
 
 
-def toxic_keys(texts: list[list[bytes]], toxic: np.ndarray) -> set[bytes]:
-    """Words (with end mark) and beginnings associated with the toxic texts."""
-    seen, docs, total = [Counter(), Counter()], Counter(), [1, 1]
+def toxic_words(vocabulary: list[bytes], texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """For each word whether it, or a beginning of it, is associated with the toxic texts."""
+    number: dict[bytes, int] = {}
+    keys = [np.fromiter((number.setdefault(k, len(number)) for k in _keys(w)), np.int32) for w in vocabulary]
+    size = np.fromiter(map(len, keys), np.int64, len(keys))
+    flat = np.concatenate(keys)
+    seen = np.zeros((2, len(vocabulary)))
+    docs = np.zeros(len(number), np.int64)
     for w, y in zip(texts, toxic):
-        own = Counter()
-        for x, c in Counter(w).items():
-            for k in _keys(x):
-                own[k] += c
-        seen[int(y)].update(own)
-        total[int(y)] += len(w)
-        if y:
-            docs.update(own.keys())
-    return {k for k, c in seen[1].items() if docs[k] >= LEAST
-            and c / total[1] >= RATIO * max(seen[0][k], 0.5) / total[0]}
+        own, n = np.unique(w, return_counts=True)
+        seen[int(y), own] += n
+        if y and len(own):
+            docs[np.unique(np.concatenate([keys[i] for i in own]))] += 1
+    other, hits = (np.bincount(flat, np.repeat(c, size), len(number)) for c in seen)
+    total = 1 + seen.sum(axis=1)
+    good = (docs >= LEAST) & (hits / total[1] >= RATIO * np.maximum(other, 0.5) / total[0])
+    return np.logical_or.reduceat(good[flat], np.cumsum(size) - size)
 
 
 def _sums(lens: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -76,22 +78,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 800) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[crf.Crf, np.ndarray] | None:
-    """(tagger, score weights) from labelled documents (text, toxic); None without both kinds."""
-    rows = (labelled.select("text", F.col("toxic").cast("int").alias("toxic")).where("toxic IS NOT NULL")
-            .withColumn("h", F.xxhash64("text", F.lit("sample"))).orderBy("h", "toxic", "text").limit(sample).collect())
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[crf.Crf, np.ndarray] | None:
+    """(tagger, score weights) from documents (doc_id, text) and labels (doc_id, toxic); None
+    without both kinds. Labels meet hashes of the texts; only chosen texts leave their place."""
+    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic IS NOT NULL")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    keys = least_hashes(hashed.select("doc_id", "th").join(marks, "doc_id").select("th", "toxic"), sample).collect()
+    if not keys:
+        return None
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(keys, "th long, toxic int"))
+    rows = (hashed.select("text", "th").join(chosen, "th").dropDuplicates(["th", "toxic"])
+            .orderBy("th", "toxic").select("text", "toxic").collect())
     toxic = np.array([1 if r["toxic"] else 0 for r in rows], np.int64)
     if not 0 < toxic.sum() < len(toxic):
         return None
-    texts = [crf.text_words(r["text"]) for r in rows]
-    keys = toxic_keys(texts, toxic)
-    gold = [np.array([int(y and any(k in keys for k in _keys(x))) for x in w], np.int64) for w, y in zip(texts, toxic)]
+    vocabulary, texts = crf.coded([r["text"] for r in rows])
+    if not vocabulary:
+        return None
+    bad = toxic_words(vocabulary, texts, toxic)
+    gold = [bad[w] * int(y) for w, y in zip(texts, toxic)]
     # every third document is left for the score
     tag = [i for i in range(len(texts)) if i % 3]
     # all toxic texts, and as many others as keep the fit short
     clean = [i for i in tag if not toxic[i]][:600]
     use = sorted([i for i in tag if toxic[i]] + clean)
-    model = crf.train([texts[i] for i in use], [gold[i] for i in use], 2)
+    model = crf.train(vocabulary, [texts[i] for i in use], [gold[i] for i in use], 2)
     rest = [i for i in range(len(texts)) if not i % 3]
     parts = [_sums(lens, p) for lens, p in crf.marginals(model, [rows[i]["text"] for i in rest])]
     return model, _logistic(np.concatenate(parts), toxic[rest])
