@@ -247,10 +247,15 @@ def declarations(lines: DataFrame) -> DataFrame:
     rev = Window.partitionBy("path").orderBy(F.col("line_no").desc())
     ahead_incl = rev.rowsBetween(Window.unboundedPreceding, 0)
     ahead = rev.rowsBetween(Window.unboundedPreceding, -1)
-    l1 = lines.select(
+    # lines that start inside brackets continue another one: their indent says
+    # nothing.  The depth before a line is the file's sum less that of the rest
+    # (same order as the next pass, so no further sort).
+    rest = F.sum("paren_net").over(ahead_incl)
+    l0 = lines.withColumn("indented", ~F.col("blank") & (F.sum("paren_net").over(Window.partitionBy("path")) - rest <= 0))
+    l1 = l0.select(
         "*",
         # next code line's indent, next line opening a block, next line with ';'
-        F.last(F.when(~F.col("blank"), F.col("indent")), ignorenulls=True).over(ahead).alias("next_indent"),
+        F.last(F.when(F.col("indented"), F.col("indent")), ignorenulls=True).over(ahead).alias("next_indent"),
         F.min(F.when(F.col("net") - F.col("lo") > 0, F.col("line_no"))).over(ahead_incl).alias("next_open"),
         F.min(F.when(F.col("semi_at") > 0, F.col("line_no"))).over(ahead_incl).alias("next_semi"),
     )
@@ -277,7 +282,7 @@ def declarations(lines: DataFrame) -> DataFrame:
                                             (F.col("_last_breaker").isNull() | (F.col("_fd") > F.col("_last_breaker"))),
                                             F.col("_fd")))
     # indentation languages: the indents at which blocks open in this file
-    l2 = l2.withColumn("kset", F.collect_set(F.when(~F.col("blank") & (F.col("next_indent") > F.col("indent")),
+    l2 = l2.withColumn("kset", F.collect_set(F.when(F.col("indented") & (F.col("next_indent") > F.col("indent")),
                                                     F.col("indent"))).over(Window.partitionBy("path")))
     return l2.drop("_is_deco", "_breaker", "_last_breaker", "_prev_deco", "_fd")
 
@@ -359,7 +364,7 @@ def symbol_groups(l2: DataFrame, with_lines: bool = False) -> DataFrame:
     # --- events --------------------------------------------------------------
     brace_keys = F.when(F.col("net") - F.col("lo") > 0,
                         F.sequence(F.col("depth") + F.col("lo"), F.col("depth") + F.col("net") - 1))
-    indent_keys = F.when(~F.col("blank") & (F.col("next_indent") > F.col("indent")),
+    indent_keys = F.when(F.col("indented") & (F.col("next_indent") > F.col("indent")),
                          F.filter("kset", lambda k: k >= F.col("indent")))
     okeys = F.coalesce(F.when(brace, brace_keys).otherwise(indent_keys), F.array().cast("array<int>"))
     open_ev = F.transform(okeys, lambda k: F.struct(

@@ -10,11 +10,14 @@ from markscope.functions.paths import ancestors, base_name, directory
 
 def marker_dirs(files: DataFrame, markers: list[str] | None = None, path_col: str = "path",
                 hidden_names: bool = False) -> DataFrame:
-    """Folders that directly hold a marker entry.  ``markers`` are exact
-    names; ``hidden_names=True`` treats any dot-name as a marker."""
-    name = base_name(path_col)
-    pred = name.startswith(".") if hidden_names else name.isin(markers or [".git"])
-    return files.where(pred).select(directory(path_col).alias("root")).distinct()
+    """Folders that directly hold a marker entry, a file or a folder.  A
+    listing of files shows a folder by the paths under it (``a/.git/HEAD``
+    makes ``a`` a root).  ``markers`` are exact names; ``hidden_names=True``
+    treats any file with a dot-name as a marker."""
+    if hidden_names:
+        return files.where(base_name(path_col).startswith(".")).select(directory(path_col).alias("root")).distinct()
+    entry = files.select(F.explode(F.concat(F.array(F.col(path_col)), ancestors(path_col))).alias("entry"))
+    return entry.where(base_name("entry").isin(markers or [".git"])).select(directory("entry").alias("root")).distinct()
 
 
 def project_roots(files: DataFrame, markers: DataFrame, path_col: str = "path") -> DataFrame:

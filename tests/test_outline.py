@@ -421,3 +421,34 @@ def test_symbols_keep_all(spark):
                                "path string, language string, content string")
     rows = {r.name: r.level for r in symbols(df, keep_all=True).collect()}
     assert rows == {"f": 0, "g": None}
+
+
+BRACKETED = d('''
+    class Table(
+        Base,
+        metaclass=Meta,
+    ):
+        def rows(
+            self,
+            width=(
+        1, 2),
+        ):
+            return [
+    0,
+            ]
+
+        def cells(self):
+            pass
+
+
+    def top(a,
+    b):
+        def inner():
+            pass
+    ''')
+
+
+def test_python_headers_and_values_over_several_lines(spark):
+    df = spark.createDataFrame([("f.py", "python", BRACKETED)], "path string, language string, content string")
+    got = [r.scope_path for r in symbols(df).orderBy("header").collect()]
+    assert got == ["Table", "Table > rows", "Table > cells", "top"]

@@ -67,3 +67,13 @@ def test_path_filters_reach_the_listing(spark):
     assert sorted(r.path for r in some.collect()) == ["pkg/__init__.py", "pkg/crlf.py"]
     mixed = df.where((F.col("path") == "pkg/crlf.py") | (F.col("size") > 100))
     assert [r.path for r in mixed.collect()] == ["pkg/crlf.py"]
+
+
+def test_project_roots_of_nested_marker_folders(spark):
+    from markscope.operators.project import marker_dirs, project_roots
+    paths = ["a/.git/HEAD", "a/.git/refs/heads/main", "a/b/m.py", "a/b/c/.git/HEAD", "a/b/c/d/n.py", "x/y.py", "a/.gitignore"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = {r.path: r.root for r in project_roots(files, marker_dirs(files)).collect()}
+    assert got["a/b/m.py"] == "a" and got["a/b/c/d/n.py"] == "a/b/c" and got["x/y.py"] is None
+    worktree = spark.createDataFrame([("w/.git",), ("w/s/k.py",)], "path string")
+    assert {r.root for r in marker_dirs(worktree).collect()} == {"w"}
