@@ -75,11 +75,12 @@ class Best:
             room = (np.abs(weight).sum(axis=1) * (0.5 + CELLS * vectors.shape[1] * 2.0 ** -22)
                     + np.abs(q) @ np.abs(low) * 2.0 ** -40 + 1)[:, None]
             upper = middle + room
-            keep = min(self.k + 1, len(ids))  # one may be the query itself
-            kth = -np.partition(-middle, keep - 1, axis=1)[:, keep - 1:keep] - room
+            own = ids == self.ids[at:at + 512, None]  # rows of the query's vec_id are no results
+            lower = np.where(own, -np.inf, middle - room)
+            # fewer others than k: all of them may be needed
+            kth = -np.partition(-lower, self.k - 1, axis=1)[:, self.k - 1:self.k] if len(ids) >= self.k else -np.inf
             known = np.array([self.certain(at + j) for j in range(len(q))])[:, None]
-            # fewer vectors than k + 1: all of them may be needed
-            need = upper >= (np.maximum(kth, known) if len(ids) > self.k else known)
+            need = ~own & (upper >= np.maximum(kth, known))
             for j in np.flatnonzero(need.any(axis=1)):
                 self._read(at + j, np.flatnonzero(need[j]), upper[j], ids, vectors)
 

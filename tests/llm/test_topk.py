@@ -1,7 +1,10 @@
 import math
 import random
 
-from markscope.llm.topk import search
+import numpy as np
+import pytest
+
+from markscope.llm.topk import Best, search
 
 
 def brute(rows, queries, k=5):
@@ -50,3 +53,35 @@ def test_whole_table(spark):
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in df.collect()]
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in search(df.where("vec_id % 50 = 0"), df).collect())
     assert got == brute(rows, lambda i: i % 50 == 0)
+
+
+@pytest.mark.parametrize("copies", [1, 2, 5, 50])
+def test_repeated_query_ids_with_large_own_scores(spark, copies):
+    r = random.Random(copies)
+    rows = [(i, [r.gauss(0, 0.3) for _ in range(16)]) for i in range(3000)]
+    # the query's own rows have the largest scores of all
+    rows += [(q, [4 * x for x in rows[q][1]]) for q in (0, 50, 100, 2950) for _ in range(copies)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)  # one block
+    got = search(df.where("vec_id % 50 = 0"), df).collect()
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == brute(rows, lambda i: i % 50 == 0)
+
+
+def lost(copies, trials=40):
+    """Results lost by one block of 4,096 vectors whose query id stands on ``copies`` rows."""
+    out = 0
+    for t in range(trials):
+        r = np.random.default_rng(t)
+        v = np.floor(256 * r.normal(0, 0.3, (4096, 64)))
+        ids = np.arange(4096)
+        ids[:copies], v[:copies] = 0, v[0]
+        best = Best(np.array([0]), v[:1], 5)
+        best.scan(ids, v)
+        want = sorted((-int(x @ v[0]), int(i)) for i, x in zip(ids, v) if i)[:5]
+        out += len(set(want) - set(best.scores[0]))
+    return out
+
+
+@pytest.mark.parametrize("copies", [1, 2, 5, 6, 50])
+def test_no_result_of_a_block_is_lost_to_own_rows(copies):
+    assert lost(copies) == 0
