@@ -19,6 +19,7 @@ empty table gives no row; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,20 +32,29 @@ from markscope.llm.common import Scratch, ship
 QUERY_BLOCK = 8192
 VECTOR_BLOCK = 4096
 CELLS = 256
+#: Vectors with a larger integer are always read exactly.
+HUGE = 2.0 ** 100
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
-def as_integers(vectors: list[list[float]]) -> np.ndarray:
-    """floor(256 x) as doubles (each is a whole number)."""
-    return np.floor(256.0 * np.array(vectors, np.float64))
+def as_integers(vectors: np.ndarray) -> np.ndarray:
+    """floor(256 x) as doubles (each is a whole number, or infinite beyond about 7e305)."""
+    with np.errstate(over="ignore"):
+        return np.floor(256.0 * np.asarray(vectors, np.float64))
+
+
+def _whole(x: float) -> int:
+    return math.floor(256.0 * x) if abs(x) < 2.0 ** 53 else int(x) * 256
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of the rows of ``a`` and ``b`` (whole numbers), as int64."""
-    top = (np.abs(a).max(initial=0) * np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    """Inner products of the integers of the rows of ``a`` and ``b``, as int64."""
+    x, y = as_integers(a), as_integers(b)
+    with np.errstate(over="ignore", invalid="ignore"):
+        top = (np.abs(x).max(initial=0) * np.abs(y).max(initial=0)) * max(1, x.shape[1])
     if top < 2.0 ** 53:
-        return np.einsum("ij,ij->i", a, b).astype(np.int64)
-    return np.array([min(_HIGH, max(_LOW, sum(int(x) * int(y) for x, y in zip(r, s)))) for r, s in zip(a, b)], np.int64)
+        return np.einsum("ij,ij->i", x, y).astype(np.int64)
+    return np.array([min(_HIGH, max(_LOW, sum(_whole(x) * _whole(y) for x, y in zip(r, s)))) for r, s in zip(a, b)], np.int64)
 
 
 class Best:
@@ -61,22 +71,34 @@ class Best:
 
     def scan(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Take in a block of vectors of the queries' length."""
-        low = vectors.min(axis=0)
-        step = (vectors.max(axis=0) - low) / CELLS
-        cell = np.zeros_like(vectors)
-        np.divide(vectors - low, step, out=cell, where=step > 0)
+        whole = as_integers(vectors)
+        # vectors with huge components are not bounded, and don't widen the others' cells
+        huge = (np.abs(whole) > HUGE).any(axis=1)
+        whole[huge] = 0
+        low = whole.min(axis=0)
+        step = (whole.max(axis=0) - low) / CELLS
+        cell = np.zeros_like(whole)
+        np.divide(whole - low, step, out=cell, where=step > 0)
         cell = np.minimum(np.floor(cell), CELLS - 1).astype(np.float32)
         # a vector is within half a cell of its cell's centre in every dimension
         for at in range(0, len(self.ids), 512):
-            q = self.vectors[at:at + 512]
-            weight = q * step
-            middle = (cell @ weight.T.astype(np.float32)).T.astype(np.float64) + (q @ (low + step / 2))[:, None]
-            # half a cell, and what rounding to 32 bits can add
-            room = (np.abs(weight).sum(axis=1) * (0.5 + CELLS * vectors.shape[1] * 2.0 ** -22)
-                    + np.abs(q) @ np.abs(low) * 2.0 ** -40 + 1)[:, None]
-            upper = middle + room
+            q = as_integers(self.vectors[at:at + 512])
+            # huge queries may have bounds that are no numbers; they are not used
+            with np.errstate(over="ignore", invalid="ignore"):
+                weight = q * step
+                # weights of at most 1 stay in the range of 32 bits
+                scale = np.maximum(np.abs(weight).max(axis=1, initial=0), 1e-300)
+                middle = ((cell @ (weight / scale[:, None]).T.astype(np.float32)).T.astype(np.float64) * scale[:, None]
+                          + (q @ (low + step / 2))[:, None])
+                # half a cell, and what rounding to 32 bits can add
+                room = (np.abs(weight).sum(axis=1) * (0.5 + CELLS * vectors.shape[1] * 2.0 ** -22)
+                        + np.abs(q) @ np.abs(low) * 2.0 ** -40 + 1)[:, None]
+                sure = np.isfinite(middle) & np.isfinite(room) & ~huge
+                # as scores are, bounds are held at the ends of a long
+                upper = np.where(sure, np.clip(middle + room, _LOW, _HIGH), np.inf)
+                lower = np.where(sure, np.clip(middle - room, _LOW, _HIGH), -np.inf)
             own = ids == self.ids[at:at + 512, None]  # rows of the query's vec_id are no results
-            lower = np.where(own, -np.inf, middle - room)
+            lower[own] = -np.inf
             # fewer others than k: all of them may be needed
             kth = -np.partition(-lower, self.k - 1, axis=1)[:, self.k - 1:self.k] if len(ids) >= self.k else -np.inf
             known = np.array([self.certain(at + j) for j in range(len(q))])[:, None]
@@ -124,7 +146,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "ve
             by_len: dict[int, list] = {}
             for i, v in sent.value:
                 by_len.setdefault(len(v), []).append((i, v))
-            best = {d: Best(np.array([i for i, _ in r], np.int64), as_integers([v for _, v in r]).reshape(len(r), d), k)
+            best = {d: Best(np.array([i for i, _ in r], np.int64), np.array([v for _, v in r], np.float64).reshape(len(r), d), k)
                     for d, r in by_len.items()}
             for b in batches:
                 flat, ids = b.column("v"), b.column("id").to_numpy()
@@ -137,7 +159,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "ve
                     rows = np.flatnonzero(lens == d)
                     for at in range(0, len(rows), VECTOR_BLOCK):
                         own = rows[at:at + VECTOR_BLOCK]
-                        block = np.floor(256.0 * values[starts[own][:, None] + np.arange(d)])
+                        block = values[starts[own][:, None] + np.arange(d)]
                         best[d].scan(ids[own], block)
             rows = [(int(q), v, -s) for x in best.values() for q, got in zip(x.ids, x.scores) for s, v in got]
             if rows:

@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -72,12 +73,13 @@ def lost(copies, trials=40):
     out = 0
     for t in range(trials):
         r = np.random.default_rng(t)
-        v = np.floor(256 * r.normal(0, 0.3, (4096, 64)))
+        v = r.normal(0, 0.3, (4096, 64))
+        whole = np.floor(256 * v)
         ids = np.arange(4096)
-        ids[:copies], v[:copies] = 0, v[0]
+        ids[:copies], v[:copies], whole[:copies] = 0, v[0], whole[0]
         best = Best(np.array([0]), v[:1], 5)
         best.scan(ids, v)
-        want = sorted((-int(x @ v[0]), int(i)) for i, x in zip(ids, v) if i)[:5]
+        want = sorted((-int(x @ whole[0]), int(i)) for i, x in zip(ids, whole) if i)[:5]
         out += len(set(want) - set(best.scores[0]))
     return out
 
@@ -85,3 +87,28 @@ def lost(copies, trials=40):
 @pytest.mark.parametrize("copies", [1, 2, 5, 6, 50])
 def test_no_result_of_a_block_is_lost_to_own_rows(copies):
     assert lost(copies) == 0
+
+
+def brute_held(rows, k=5):
+    """As brute, of finite components of any size, with scores held at the ends of a long."""
+    whole = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in rows]
+    out = []
+    for q, qv in whole:
+        if q % 50 == 0:
+            scores = [(-min(2 ** 63 - 1, max(-2 ** 63, sum(a * b for a, b in zip(qv, v)))), i) for i, v in whole if i != q]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("odd", [
+    [3e38], [-3e38], [3e38, -3e38, 3e38], [1e36] * 7, [1e200, -1e200], [1.7e308, -1.7e308], [2.5e15, 1e16, 1e17] * 4])
+def test_huge_components(spark, odd):
+    r = random.Random(5)
+    rows = [(i, [r.gauss(0, 0.3) for _ in range(8)]) for i in range(500)]
+    rows[100][1][2] = 0.0
+    # some vectors, a query among them, hold a huge component
+    for i, x in enumerate(odd):
+        rows[50 + 3 * i][1][2] = x
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)  # one block
+    got = search(df.where("vec_id % 50 = 0"), df).collect()
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == brute_held(rows)
