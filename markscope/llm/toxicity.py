@@ -1,14 +1,15 @@
 """Toxic spans and document scores by a linear-chain CRF (op8).
 
-Labels stand on documents, so token labels are derived first: in toxic documents of the
-training part, the words that carry a word or word beginning strongly associated with
-toxic documents. A CRF (toxic / other) learns to tag them from word, n-gram and affix
+Labels stand on documents, so token labels are derived first: in toxic documents, the
+words that carry a word or word beginning strongly associated with toxic documents,
+counted over all labelled texts. A CRF (toxic / other) learns to tag them from word, n-gram and affix
 features; forward-backward marginals give each word's probability, offending offsets are
 the words at 0.5 or more, and a logistic curve over three sums of the marginals, fitted
 on documents the tagger has not seen, gives the document's score.
 
-The fit uses at most SAMPLE_DOCS different labelled texts (by a hash; the documented
-bound), whole, on the driver. Scoring is one pass where the rows live.
+The fit uses at most SAMPLE_DOCS different labelled texts (by a hash, each label on its
+own: all toxic ones up to half, the others fill the rest; the documented bound), whole, on
+the driver; two thirds train the tagger, one third the score. Scoring is one pass where the rows live.
 
 Results by case: null, empty and wordless texts get the score of a text without toxic
 words; long texts are scored whole; equal rows get equal scores; without labelled
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markscope.llm import crf
-from markscope.llm.common import least_hashes, ship
+from markscope.llm.common import BROADCAST_ROWS, Scratch, least_hashes, ship
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE_DOCS = 3000
@@ -41,23 +42,45 @@ def _keys(word: bytes) -> list[bytes]:
     return [word + b"$"] + [word[:n] for n in STEMS if len(word) >= n]
 
 
-def toxic_words(vocabulary: list[bytes], texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """For each word whether it, or a beginning of it, is associated with the toxic texts."""
-    number: dict[bytes, int] = {}
-    keys = [np.fromiter((number.setdefault(k, len(number)) for k in _keys(w)), np.int32) for w in vocabulary]
-    size = np.fromiter(map(len, keys), np.int64, len(keys))
-    flat = np.concatenate(keys)
-    seen = np.zeros((2, len(vocabulary)))
-    docs = np.zeros(len(number), np.int64)
-    for w, y in zip(texts, toxic):
-        own, n = np.unique(w, return_counts=True)
-        seen[int(y), own] += n
-        if y and len(own):
-            docs[np.unique(np.concatenate([keys[i] for i in own]))] += 1
-    other, hits = (np.bincount(flat, np.repeat(c, size), len(number)) for c in seen)
-    total = 1 + seen.sum(axis=1)
-    good = (docs >= LEAST) & (hits / total[1] >= RATIO * np.maximum(other, 0.5) / total[0])
-    return np.logical_or.reduceat(good[flat], np.cumsum(size) - size)
+def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, hits in other texts, hits in toxic ones, toxic texts) of batches of (text, toxic)."""
+    for b in batches:
+        vocabulary, texts = crf.coded(b.column("text").to_pylist())
+        if not vocabulary:
+            continue
+        number: dict[bytes, int] = {}
+        keys = [np.fromiter((number.setdefault(k, len(number)) for k in _keys(w)), np.int32) for w in vocabulary]
+        size = np.fromiter(map(len, keys), np.int64, len(keys))
+        flat = np.concatenate(keys)
+        seen = np.zeros((2, len(vocabulary)), np.int64)
+        docs = np.zeros(len(number), np.int64)
+        for w, y in zip(texts, b.column("toxic").to_pylist()):
+            own, n = np.unique(w, return_counts=True)
+            seen[y, own] += n
+            if y and len(own):
+                docs[np.unique(np.concatenate([keys[i] for i in own]))] += 1
+        other, hits = (np.bincount(flat, np.repeat(c, size), len(number)).astype(np.int64) for c in seen)
+        yield pa.RecordBatch.from_arrays([pa.array(list(number), pa.binary()), pa.array(other), pa.array(hits), pa.array(docs)],
+                                         names=["key", "other", "hits", "docs"])
+
+
+def toxic_keys(rows: DataFrame) -> DataFrame:
+    """key: the words (with an end mark) and beginnings associated with the toxic ones of
+    ``rows`` (text, toxic 0 or 1), counted over all rows."""
+    counts = rows.select("text", "toxic").mapInArrow(_key_counts, "key binary, other long, hits long, docs long").groupBy(
+        "key").agg(*[F.sum(c).alias(c) for c in ("other", "hits", "docs")])
+    counts = Scratch(rows.sparkSession, "toxic-words").save(counts, "counts")
+    # every word has one key with an end mark
+    total = counts.where("endswith(key, X'24')").agg(F.coalesce(F.sum("other"), F.lit(0)) + 1,
+                                                    F.coalesce(F.sum("hits"), F.lit(0)) + 1).first()
+    return counts.where((F.col("docs") >= LEAST) & (F.col("hits") / F.lit(total[1]) >= F.lit(RATIO) * F.greatest(
+        F.col("other"), F.lit(0.5)) / F.lit(total[0]))).select("key")
+
+
+def _vocabulary_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        own = {k for t in b.column("text").to_pylist() for w in set(crf.text_words(t)) for k in _keys(w)}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(own), pa.binary())], names=["key"])
 
 
 def _sums(lens: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -81,28 +104,40 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 800) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[crf.Crf, np.ndarray] | None:
     """(tagger, score weights) from documents (doc_id, text) and labels (doc_id, toxic); None
     without both kinds. Labels meet hashes of the texts; only chosen texts leave their place."""
-    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic IS NOT NULL")
+    spark = docs.sparkSession
+    ship(spark)
+    marks = labels.select("doc_id", (F.col("toxic") != 0).cast("int").alias("toxic")).where("toxic IS NOT NULL").distinct()
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    keys = least_hashes(hashed.select("doc_id", "th").join(marks, "doc_id").select("th", "toxic"), sample).collect()
-    if not keys:
-        return None
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(keys, "th long, toxic int"))
-    rows = (hashed.select("text", "th").join(chosen, "th").dropDuplicates(["th", "toxic"])
-            .orderBy("th", "toxic").select("text", "toxic").collect())
-    toxic = np.array([1 if r["toxic"] else 0 for r in rows], np.int64)
-    if not 0 < toxic.sum() < len(toxic):
+    # one document of each labelled text, and how many rows it stands on
+    first = Scratch(spark, "toxic-texts").save(
+        hashed.select("doc_id", "th").join(marks, "doc_id").groupBy("th", "toxic", "doc_id").agg(F.count("*").alias("n"))
+        .groupBy("th", "toxic").agg(F.min(F.struct("doc_id", "n")).alias("d")).select("th", "toxic", "d.*"), "texts")
+    kinds = [least_hashes(first.where(F.col("toxic") == y).select("th", "toxic"), sample).collect() for y in (0, 1)]
+    if not all(kinds):
         return None
+    # as many toxic texts as there are, but half the sample if the others need it
+    n_toxic = min(len(kinds[1]), max(sample // 2, sample - len(kinds[0])))
+    keys = kinds[0][:sample - n_toxic] + kinds[1][:n_toxic]
+    chosen = F.broadcast(spark.createDataFrame(keys, "th long, toxic int"))
+    picked = hashed.select("text", "th").join(chosen, "th").dropDuplicates(["th", "toxic"])
+    # by label, so that every part of the fit has its share of both
+    rows = picked.orderBy("toxic", "th").select("text", "toxic").collect()
+    toxic = np.array([r["toxic"] for r in rows], np.int64)
     vocabulary, texts = crf.coded([r["text"] for r in rows])
     if not vocabulary:
         return None
-    bad = toxic_words(vocabulary, texts, toxic)
+    if first.count() <= BROADCAST_ROWS:
+        first = F.broadcast(first)
+    labelled = hashed.join(first, ["doc_id", "th"])
+    each = labelled.where("n = 1").select("text", "toxic").unionByName(
+        labelled.where("n > 1").dropDuplicates(["th", "toxic"]).select("text", "toxic"))
+    own = picked.select("text").mapInArrow(_vocabulary_keys, "key binary").distinct()
+    good = {bytes(r["key"]) for r in toxic_keys(each).join(own, "key", "left_semi").collect()}
+    bad = np.array([not good.isdisjoint(_keys(w)) for w in vocabulary])
     gold = [bad[w] * int(y) for w, y in zip(texts, toxic)]
     # every third document is left for the score
     tag = [i for i in range(len(texts)) if i % 3]
-    # all toxic texts, and as many others as keep the fit short
-    clean = [i for i in tag if not toxic[i]][:600]
-    use = sorted([i for i in tag if toxic[i]] + clean)
-    model = crf.train(vocabulary, [texts[i] for i in use], [gold[i] for i in use], 2)
+    model = crf.train(vocabulary, [texts[i] for i in tag], [gold[i] for i in tag], 2)
     rest = [i for i in range(len(texts)) if not i % 3]
     parts = [_sums(lens, p) for lens, p in crf.marginals(model, [rows[i]["text"] for i in rest])]
     return model, _logistic(np.concatenate(parts), toxic[rest])

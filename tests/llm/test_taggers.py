@@ -100,3 +100,25 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.truth == r.lang_pred for r in got]) > 0.97
     scored = op8_toxicity(spark, SF)
     assert scored.count() == docs.count() and scored.where("predicted <> cast(score >= 0.5 as int)").count() == 0
+
+
+def test_toxicity_fit_uses_rare_labels_and_all_sampled_texts(spark, docs_of, monkeypatch):
+    texts = [(i, f"the cat sat on a mat with you {'vile' if i % 150 == 0 else 'kind'} person number {'x' * (i % 40)} "
+                 f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]} go") for i in range(3000)]
+    texts = [(i, t + " " + "yz" * (i // 1000)) for i, t in texts]
+    labels = spark.createDataFrame([(i, int(i % 150 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    used = []
+    train = crf.train
+    monkeypatch.setattr(crf, "train", lambda v, t, *a, **b: used.append((len(t), sum(map(np.any, a[0])))) or train(v, t, *a, **b))
+    # 20 of 3,000 texts are toxic: all of them are in a sample of 120, two thirds in the training
+    model = fit(docs_of(texts), labels, 120)
+    assert used[0][0] == 80 and used[0][1] in (13, 14)
+    by = {r.doc_id: r.score for r in score_toxicity(docs_of([(1, "such a vile person"), (2, "such a kind person")]), model,
+                                                    ["doc_id"]).collect()}
+    assert by[2] < 0.5 <= by[1]
+    # a sample that holds all texts is trained on as a whole
+    assert fit(docs_of(texts), labels) and used[1][0] == 2000
+    # words are counted over all rows: each toxic word below stands in one sampled text at most
+    some = [(i, f"word {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} {'foul' if i % 2 else 'fine'} here") for i in range(100)]
+    fit(docs_of(some), spark.createDataFrame([(i, i % 2) for i, _ in some], "doc_id long, toxic int"), 6)
+    assert used[2][0] == 4 and used[2][1] == 2
