@@ -125,3 +125,13 @@ def test_components_against_union_find(spark):
             x, y = sorted((root(a), root(b)))
             up[y] = x
         assert got == {i: root(i) for i in up if root(i) != i}
+
+
+def test_keep_one_row_of_repeated_rows(spark, docs_of):
+    rows = [(None, "a text without any id")] * 4 + [(1, "one two three four")] * 3 + [(2, "one two three four")] * 2 \
+        + [(3, "stands alone in here")] + [(4, "")] * 2
+    for docs in (docs_of(rows), docs_of(rows).repartition(5)):
+        kept = keep_one_per_component(docs, 3, Fraction(9, 10))
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+            [(None, "a text without any id"), (1, "one two three four"), (3, "stands alone in here"), (4, ""), (4, "")], key=str)
