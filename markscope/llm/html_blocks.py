@@ -13,6 +13,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HIDDEN = frozenset("script style noscript template head title textarea select option svg iframe object".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
+#: Elements that can stand in head; any other one ends it, as the end tag is optional.
+IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|"""
     r"""<(script|style|noscript|template|textarea|iframe|svg)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\2\s*>|\Z)|"""
@@ -73,6 +76,10 @@ def page_blocks(page: str | None) -> list[Block]:
                 while pop() != tag:
                     pass
             continue
+        if tag not in IN_HEAD and stack and any(t == "head" for t, _ in stack) and not any(
+                t in ("title", "template", "noscript") for t, _ in stack):
+            while pop() != "head":
+                pass
         if tag == "p" and stack and any(t == "p" for t, _ in stack):
             # a paragraph ends the one before it, unless a container stands between
             for i in range(len(stack) - 1, -1, -1):

@@ -16,6 +16,15 @@ def test_blocks(page, want):
     assert [b.text for b in page_blocks(page)] == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>x</title><body><article><p>a<p>b</article>", ["a", "b"]),
+    ("<head><meta charset=x><link href=y><title>x</title><p>a", ["a"]), ("<head><title>x</title><b>a</b>", ["a"]),
+    ("<head><title>x <b>y</b></title><body>a", ["a"]), ("<head><script>x</script><style>y</style></head>a", ["a"]),
+])
+def test_head_without_end_tag(page, want):
+    assert [b.text for b in page_blocks(page)] == want
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     model = fit(pages)
