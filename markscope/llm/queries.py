@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from markscope.llm.common import Scratch, table
 from markscope.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
+from markscope.llm.resample import ORACLE as RESAMPLE_SQL
 
 #: Folder with the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -90,6 +91,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from markscope.llm.resample import resample
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_ngram_join": op2_ngram_join,
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_licenses": op10_licenses,
+    "op13_resample": op13_resample,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_decontaminate": DECONTAMINATE_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_decontaminate": DECONTAMINATE_SQL, "op13_resample": RESAMPLE_SQL}
