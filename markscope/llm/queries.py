@@ -8,8 +8,10 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from markscope.llm.collocations import ORACLE as COLLOCATIONS_SQL
 from markscope.llm.common import Scratch, table
 from markscope.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
+from markscope.llm.line_index import ORACLE as LINES_SQL
 from markscope.llm.resample import ORACLE as RESAMPLE_SQL
 
 #: Folder with the public tokenizers' files.
@@ -91,6 +93,17 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from markscope.llm.collocations import collocations
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from markscope.llm.line_index import dedup_lines
+    return dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from markscope.llm.resample import resample
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -107,7 +120,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_licenses": op10_licenses,
+    "op11_collocations": op11_collocations,
+    "op12_line_dedup": op12_line_dedup,
     "op13_resample": op13_resample,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_decontaminate": DECONTAMINATE_SQL, "op13_resample": RESAMPLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_decontaminate": DECONTAMINATE_SQL, "op11_collocations": COLLOCATIONS_SQL,
+                             "op12_line_dedup": LINES_SQL,
+                             "op13_resample": RESAMPLE_SQL}
