@@ -361,16 +361,23 @@ WITH runs AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^\x2
               FROM documents, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) u(p)),
 totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM runs GROUP BY lang),
-counts AS (SELECT lang, k, w[i:i + k - 1] AS w, count(*) AS f FROM runs, range(1, 4) s(k), unnest(range(1, len(w) - k + 2)) t(i)
-           GROUP BY ALL),
-wide AS (SELECT * FROM counts WHERE k > 1 AND f >= 10),
-cuts AS (SELECT c.lang, c.w, c.f AS a, min({'score': (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f), 'k': j,
-                'l': x.f, 'r': y.f}) AS cut
-         FROM wide c, range(1, 3) t(j), counts x, counts y
-         WHERE j < c.k AND x.lang = c.lang AND x.w = c.w[1:j] AND y.lang = c.lang AND y.w = c.w[j + 1:c.k] GROUP BY ALL),
-inner_phrases AS (SELECT lang, w[i:i + 1] AS w, max(f) AS longer FROM wide, range(1, 3) t(i) WHERE k = 3 GROUP BY ALL),
-kept AS (SELECT lang, array_to_string(w, ' ') AS phrase, a, cut.l AS l, cut.r AS r, CAST(cut.score AS BIGINT) AS score
-         FROM cuts LEFT JOIN inner_phrases USING (lang, w) WHERE longer IS NULL OR 100 * longer < 50 * a),
+grams AS (SELECT lang, 1 AS k, unnest(w) AS p FROM runs
+          UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM runs
+          UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1),
+                           lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM runs),
+counts AS MATERIALIZED (SELECT lang, k, p, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+wide AS (SELECT lang, k, p, f AS a, string_split(p, ' ') AS w FROM counts WHERE k > 1),
+places AS (SELECT lang, p, a, 1 AS j, w[1] AS x, array_to_string(w[2:], ' ') AS y FROM wide
+           UNION ALL SELECT lang, p, a, 2, w[1] || ' ' || w[2], w[3] FROM wide WHERE k = 3),
+cuts AS (SELECT c.lang, c.p, c.a, min({'score': (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f), 'j': j,
+                'l': l.f, 'r': r.f}) AS cut
+         FROM places c JOIN counts l ON l.lang = c.lang AND l.p = c.x JOIN counts r ON r.lang = c.lang AND r.p = c.y
+         GROUP BY ALL),
+inner_phrases AS (SELECT lang, p, max(a) AS longer FROM (
+           SELECT lang, w[1] || ' ' || w[2] AS p, a FROM wide WHERE k = 3
+           UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM wide WHERE k = 3) i GROUP BY ALL),
+kept AS (SELECT lang, p AS phrase, a, cut.l AS l, cut.r AS r, CAST(cut.score AS BIGINT) AS score
+         FROM cuts LEFT JOIN inner_phrases USING (lang, p) WHERE longer IS NULL OR 100 * longer < 50 * a),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
