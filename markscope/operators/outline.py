@@ -23,12 +23,16 @@ groupings and joins after that reuse the partitioning.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from markscope.functions import lexer
 from markscope.operators.lang import comment_prefix_of, indent_unit_of
 from markscope.operators.lines import split_lines
+from markscope.session import carried
 
 BRACE_LANGS = ["rust", "cpp", "typescript", "javascript"]
 INDENT_LANGS = ["python", "ruby"]
@@ -52,6 +56,11 @@ MASK_TOKENS["javascript"] = MASK_TOKENS["typescript"]
 MASKED_START = {"python": r"""^["'#]""", "ruby": r"""^(["'#]|=begin)""", "rust": r"""^(["']|/[*/])""",
                 "cpp": r"""^(["']|/[*/])""", "typescript": r"""^(["'`]|/[*/])""",
                 "javascript": r"""^(["'`]|/[*/])"""}
+# Files with forms that these tokens cannot tell apart (patterns, templates with code in them,
+# raw strings, here-documents, interpolation, directives) go through the lexer instead.
+STATEFUL = {"ruby": r"<<|[/%?`]|#\{|__END__", "rust": r'\b[bc]?r#*"|/\*(?:[^*/]++|\*(?!/)|/(?!\*))*+/\*',
+            "cpp": r"""(?m)^[ \t]*#|R"|\d'\w|//[^\n]*\\\n""", "typescript": r"(?<![/*])/(?![/*])|`[^`]*\$\{",
+            "javascript": r"(?<![/*])/(?![/*])|`[^`]*\$\{"}
 
 # Declaration rules: (language, kind, role, regex over the masked line,
 # name groups, flags).  Roles: "decl" gets a comment, "scope" gets a comment
@@ -93,11 +102,13 @@ RULES = [
     # cpp (also C headers)
     ("cpp", "namespace_definition", "scope", r"^\s*(?:inline\s+)?namespace(?:\s+([\w:]+))?\s*(?:\{|$)", [1], "body"),
     ("cpp", "class_specifier", "scope",
-     r"^\s*class\s+(?:[\w:]+\s+)*?([A-Za-z_]\w*)\s*(?:final\s*)?(?:[:{]|$)", [1], "body"),
+     r"^\s*class\s+[\w:\s]*?(?<=\s)([A-Za-z_]\w*+)\s*+(?:final\s*+)?(?:[:{]|$)", [1], "body"),
     ("cpp", "function_definition", "decl",
      r"^\s*(?!(?:if|for|while|switch|return|else|do|case|catch|sizeof|new|delete|throw|using|typedef|namespace"
      r"|class|struct|enum|union|template|public|private|protected|goto|static_assert|extern)\b)"
-     r"(?:[\w:<>,*&~\[\]]+\s+)*?[*&\s]*((?:\w+::)*~?[A-Za-z_]\w*|(?:\w+::)*operator\s*[^\s(]+)\s*\([^;]*$",
+     # all up to the bracket is a type's text; the name is what stands right before the bracket
+     r"(?=[\w:<>,*&~\[\]\s]*+(?:(?<=operator\s{0,4})[^\s(\w]*+\s*+)?\()[\w:<>,*&~\[\]\s]*?(?:^|(?<=[\s*&]))"
+     r"((?:\w+::)*+~?(?!operator\b)[A-Za-z_]\w*+|(?:\w+::)*+operator\s*+[^\s(]++)\s*+\([^;{]*+(?:\{|$)",
      [1], "body"),
     # typescript / javascript
     ("ts", "decorator", "decorator", r"^\s*@[\w.$]+", [], ""),
@@ -110,7 +121,7 @@ RULES = [
     ("ts", "enum_declaration", "decl", r"^\s*(?:const\s+)?enum\s+([\w$]+)", [1], ""),
     ("ts", "expression_statement", "decl", r"^\s*(?:namespace|module)\s+[\w$.]+\s*\{", [], ""),
     ("ts", "method_definition", "decl",
-     r"^\s*(?:(?:public|private|protected|static|readonly|async|override|get|set)\s+)*\*?\s*"
+     r"^\s*(?:(?:public|private|protected|static|readonly|async|override|get|set)\s+(?!\())*+\*?\s*"
      r"(?!(?:if|for|while|switch|catch|function|return|with|else|new|typeof|await|yield|super|this)\b)"
      r"(#?[\w$]+)\s*(?:<[^>]*>)?\s*\(", [1], "body member"),
     # any other statement at the top level (a call, an assignment, a string
@@ -137,14 +148,25 @@ _GROUPS = [["python"], ["ruby"], ["rust"], ["cpp"], ["typescript", "javascript"]
 
 def mask(content: Column, language: Column) -> Column:
     """Blank the strings and comments (line breaks kept)."""
-    out = None
+    out, hard = None, F.lit(False)
     for group in _GROUPS:
         lang = group[0]
         toks = F.regexp_extract_all(content, F.lit("(?m)" + MASK_TOKENS[lang]), 0)
         masked = F.array_join(F.transform(toks, _masker(MASKED_START[lang])), "")
         cond = language.isin(group)
         out = F.when(cond, masked) if out is None else out.when(cond, masked)
-    return out.otherwise(content)
+        if lang in STATEFUL:
+            hard = hard | (cond & content.rlike(STATEFUL[lang]))
+    # the lexer sees only the files that need it; the others pass as NULL
+    return F.coalesce(_lexed(F.when(hard, content), language), out.otherwise(content))
+
+
+@F.pandas_udf(T.StringType())
+def _lexed(content: pd.Series, language: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else lexer.blanked(t, g) for t, g in zip(content, language)], dtype=object)
+
+
+carried("markscope.functions.lexer", __name__)
 
 
 def _masker(start: str):
@@ -334,7 +356,10 @@ def symbol_groups(l2: DataFrame, with_lines: bool = False) -> DataFrame:
     has_body_brace = F.col("next_open").isNotNull() & (
         F.col("next_semi").isNull() | (F.col("next_open") < F.col("next_semi")) |
         ((F.col("next_open") == F.col("next_semi")) & (F.col("brace_at") < F.col("semi_at"))))
-    opener = F.when(brace, F.when(has_body_brace, F.col("next_open"))) \
+    # a block that closes on the line it opens on
+    closed = (F.col("brace_at") > 0) & (F.col("net") <= F.col("lo")) & F.col("end_char").isin("}", ";", ",") & (
+        (F.col("semi_at") == 0) | (F.col("brace_at") < F.col("semi_at")))
+    opener = F.when(brace, F.when(closed, F.col("line_no")).when(has_body_brace, F.col("next_open"))) \
               .otherwise(F.when(F.col("next_indent") > F.col("indent"), F.col("line_no")))
     start = F.when(role0 == "ignorable", F.col("line_no")).otherwise(F.coalesce(F.col("first_deco"), F.col("line_no")))
     cpp_fn = (F.col("language") == "cpp") & (F.col("rule.kind") == "function_definition")

@@ -6,9 +6,10 @@ cluster's own ``spark.checkpoint.dir`` (a shared folder) always wins.
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
-from pyspark import SparkConf
+from pyspark import SparkConf, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Fixed defaults for the engine (all overridable by the cluster config).
@@ -26,6 +27,13 @@ DEFAULT_CONF = {
 }
 
 
+def carried(*modules: str) -> None:
+    """Code of these modules travels with the functions that use it, so that tasks can run
+    them where this package is not installed."""
+    for m in modules:
+        cloudpickle.register_pickle_by_value(sys.modules[m])
+
+
 def get_session(master: str | None = None, app: str = "markscope",
                 shuffle_partitions: int | None = None,
                 extra: dict[str, str] | None = None) -> SparkSession:
