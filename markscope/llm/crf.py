@@ -21,7 +21,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII characters other than letters become blanks; letters lower-cased before.
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 #: Bytes of text handled at once by ``marginals``; a longer text is a step of its own.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 1_000_000
 #: Distinct words whose features are held in one block while training.
 TRAIN_WORDS = 20_000
 

@@ -33,14 +33,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markscope.llm.common import Scratch, keyed_filter, ship
+from markscope.llm.ngram_join import _lists
 from markscope.llm.setjoin import linked_components
+from markscope.llm.slabs import bounded
 from markscope.llm.shingles import mixed, window_hashes, word_hashes
 
 MIN_WORDS = 50
 ANCHOR_WORDS = 30
 BANDS, ROWS = 14, 4
-#: Documents whose paragraphs are hashed together.
-STEP_DOCS = 500
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _PERM = np.random.default_rng(20).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -97,31 +97,33 @@ _READ = ("doc_id long, th long, n_words long, hashes array<bigint>, places array
          "paras array<struct<start: int, words: int, fp: binary, n: bigint, bands: array<bigint>>>")
 
 
-def _ints(x: np.ndarray) -> list[int]:
-    return x.view(np.int64).tolist()
+def _places(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0] + [len(r) for r in rows])
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
 
 
 def _reader(min_words: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (w.slice(at, STEP_DOCS) for w in batches for at in range(0, len(w), STEP_DOCS)):
+        for b in bounded(batches, "text"):
             n, hashes, places, found = [], [], [], []
             for t in b.column("text"):
                 x = Text(t.as_py())
                 n.append(x.n)
                 if x.n < min_words:
-                    hashes.append([]), places.append([]), found.append([])
+                    hashes.append(np.zeros(0, np.uint64)), places.append(np.zeros(0, np.int64)), found.append([])
                     continue
                 h = window_hashes(x.hashes, ANCHOR_WORDS)
                 at = anchors(h, min_words)
-                hashes.append(_ints(h[at]))
-                places.append(at.tolist())
+                hashes.append(h[at])
+                places.append(at)
                 found.append(x.paragraphs(min_words, k))
             keys = iter(bands([s for f in found for _, _, s in f]).tolist())
             paras = [[{"start": a, "words": m, "fp": hashlib.md5(s.tobytes()).digest(), "n": len(s), "bands": next(keys)}
                       for a, m, s in f] for f in found]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(hashes, pa.list_(pa.int64())),
-                 pa.array(places, pa.list_(pa.int32())), pa.array(paras, _PARA)],
+                [b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), _lists(hashes), _places(places),
+                 pa.array(paras, _PARA)],
                 names=["doc_id", "th", "n_words", "hashes", "places", "paras"])
     return run
 
@@ -130,28 +132,26 @@ def _windows(min_words: int):
     """Hashes and starts of all windows that hold one of the given anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = np.arange(min_words - ANCHOR_WORDS + 1)
-        for b in batches:
+        for b in bounded(batches, "text"):
             hashes, places = [], []
             for t, near in zip(b.column("text"), b.column("near")):
                 h = window_hashes(Text(t.as_py()).hashes, min_words)
-                at = np.unique(np.array(near.as_py(), np.int64)[:, None] - back)
+                at = np.unique(np.asarray(near.values.to_numpy(), np.int64)[:, None] - back)
                 at = at[(at >= 0) & (at < len(h))]
-                hashes.append(_ints(h[at]))
-                places.append(at.tolist())
+                hashes.append(h[at])
+                places.append(at)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("th"), pa.array(hashes, pa.list_(pa.int64())),
-                 pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "th", "hashes", "places"])
+                [b.column("doc_id"), b.column("th"), _lists(hashes), _places(places)], names=["doc_id", "th", "hashes", "places"])
     return run
 
 
 def _paragraph_sets(min_words: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, "text"):
             sets = [s for t in b.column("text") for _, _, s in Text(t.as_py()).paragraphs(min_words, k)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()),
-                 pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([_ints(s) for s in sets], pa.list_(pa.int64()))], names=["fp", "n", "toks"])
+                 pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], names=["fp", "n", "toks"])
     return run
 
 

@@ -24,13 +24,10 @@ def ascii_alnum_words(raw: bytes | None) -> list[bytes]:
     return (raw or b"").translate(_WORDS).split()
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in batches of about ``limit`` bytes of ``text`` (one row at least),
-    the text as binary."""
+def bounded(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of about ``limit`` bytes of ``text`` (one row at least)."""
     for b in batches:
-        at = b.schema.get_field_index(text)
-        b = b.set_column(at, text, b.column(at).cast(pa.large_binary()))
-        sizes = pc.fill_null(pc.binary_length(b.column(at)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > limit:
@@ -41,6 +38,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             yield b.slice(start)
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``bounded`` rows, the text as binary."""
+    for b in bounded(batches, text, limit):
+        at = b.schema.get_field_index(text)
+        yield b.set_column(at, text, b.column(at).cast(pa.large_binary()))
+
+
 def with_row_numbers(df: DataFrame, order: list[Column], scratch: Scratch, name: str) -> DataFrame:
     """``df`` with ``row_number`` (long, from 1) in the order given, without gathering rows in one
     task: a range partitioning, sorted per partition; each partition then adds the number of rows

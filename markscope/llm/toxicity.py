@@ -23,11 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markscope.llm import crf
 from markscope.llm.common import BROADCAST_ROWS, Scratch, least_hashes, ship
+from markscope.llm.slabs import bounded
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE_DOCS = 3000
@@ -36,51 +38,79 @@ STEMS = (4, 5, 6, 7)
 #: A word or beginning counts if its rate among the words of toxic documents is this many
 #: times the rate in others (half an occurrence at least), and so many toxic ones have it.
 RATIO, LEAST = 12.0, 4
+#: Keys whose counts a task holds before it sends them on.
+HELD_KEYS = 400_000
 
 
-def _keys(word: bytes) -> list[bytes]:
-    return [word + b"$"] + [word[:n] for n in STEMS if len(word) >= n]
+def _keys(word: bytes) -> list[int]:
+    """The hashes of a word with its end mark and of its beginnings."""
+    return [xxhash.xxh64_intdigest(k) >> 1 for k in (word + b"$", *(word[:n] for n in STEMS if len(word) >= n))]
+
+
+def _summed(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows (key, whole, other, hits, docs) with one row per key: sums of the last three."""
+    rows = np.concatenate(parts, axis=1)
+    keys, at, place = np.unique(rows[0], return_index=True, return_inverse=True)
+    return np.stack([keys, rows[1][at], *(np.bincount(place, rows[i], len(keys)).astype(np.int64) for i in (2, 3, 4))])
 
 
 def _key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, hits in other texts, hits in toxic ones, toxic texts) of batches of (text, toxic)."""
-    for b in batches:
+    """(key, whole word or beginning, hits in other texts, hits in toxic ones, toxic texts) of
+    batches of (text, toxic), summed over at most HELD_KEYS keys."""
+    held: list[np.ndarray] = []
+
+    def rows() -> pa.RecordBatch:
+        total = _summed(held)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in total], names=["key", "whole", "other", "hits", "docs"])
+
+    for b in bounded(batches, "text"):
         vocabulary, texts = crf.coded(b.column("text").to_pylist())
         if not vocabulary:
             continue
-        number: dict[bytes, int] = {}
-        keys = [np.fromiter((number.setdefault(k, len(number)) for k in _keys(w)), np.int32) for w in vocabulary]
+        keys = [_keys(w) for w in vocabulary]
         size = np.fromiter(map(len, keys), np.int64, len(keys))
-        flat = np.concatenate(keys)
+        flat = np.fromiter((k for own in keys for k in own), np.int64, int(size.sum()))
+        at = np.cumsum(size) - size
+        whole = np.zeros(len(flat), np.int64)
+        whole[at] = 1  # a word's first key has the end mark
+        number, place = np.unique(flat, return_inverse=True)
         seen = np.zeros((2, len(vocabulary)), np.int64)
         docs = np.zeros(len(number), np.int64)
         for w, y in zip(texts, b.column("toxic").to_pylist()):
             own, n = np.unique(w, return_counts=True)
             seen[y, own] += n
             if y and len(own):
-                docs[np.unique(np.concatenate([keys[i] for i in own]))] += 1
-        other, hits = (np.bincount(flat, np.repeat(c, size), len(number)).astype(np.int64) for c in seen)
-        yield pa.RecordBatch.from_arrays([pa.array(list(number), pa.binary()), pa.array(other), pa.array(hits), pa.array(docs)],
-                                         names=["key", "other", "hits", "docs"])
+                docs[np.unique(np.concatenate([place[at[i]:at[i] + size[i]] for i in own]))] += 1
+        other, hits = (np.bincount(place, np.repeat(c, size), len(number)).astype(np.int64) for c in seen)
+        marks = np.bincount(place, whole, len(number)).astype(bool).astype(np.int64)
+        held.append(np.stack([number, marks, other, hits, docs]))
+        if sum(h.shape[1] for h in held) > HELD_KEYS:
+            held[:] = [_summed(held)]
+            if held[0].shape[1] > HELD_KEYS // 2:
+                yield rows()
+    if held:
+        yield rows()
 
 
 def toxic_keys(rows: DataFrame) -> DataFrame:
     """key: the words (with an end mark) and beginnings associated with the toxic ones of
-    ``rows`` (text, toxic 0 or 1), counted over all rows."""
-    counts = rows.select("text", "toxic").mapInArrow(_key_counts, "key binary, other long, hits long, docs long").groupBy(
-        "key").agg(*[F.sum(c).alias(c) for c in ("other", "hits", "docs")])
+    ``rows`` (text, toxic 0 or 1), counted over all rows, as hashes."""
+    counts = (rows.select("text", "toxic")
+              .mapInArrow(_key_counts, "key long, whole long, other long, hits long, docs long")
+              .groupBy("key", "whole").agg(*[F.sum(c).alias(c) for c in ("other", "hits", "docs")]))
     counts = Scratch(rows.sparkSession, "toxic-words").save(counts, "counts")
     # every word has one key with an end mark
-    total = counts.where("endswith(key, X'24')").agg(F.coalesce(F.sum("other"), F.lit(0)) + 1,
-                                                    F.coalesce(F.sum("hits"), F.lit(0)) + 1).first()
+    total = counts.where("whole = 1").agg(F.coalesce(F.sum("other"), F.lit(0)) + 1,
+                                          F.coalesce(F.sum("hits"), F.lit(0)) + 1).first()
     return counts.where((F.col("docs") >= LEAST) & (F.col("hits") / F.lit(total[1]) >= F.lit(RATIO) * F.greatest(
         F.col("other"), F.lit(0.5)) / F.lit(total[0]))).select("key")
 
 
 def _vocabulary_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in bounded(batches, "text"):
         own = {k for t in b.column("text").to_pylist() for w in set(crf.text_words(t)) for k in _keys(w)}
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(own), pa.binary())], names=["key"])
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(own), pa.int64())], names=["key"])
 
 
 def _sums(lens: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -131,8 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[
     labelled = hashed.join(first, ["doc_id", "th"])
     each = labelled.where("n = 1").select("text", "toxic").unionByName(
         labelled.where("n > 1").dropDuplicates(["th", "toxic"]).select("text", "toxic"))
-    own = picked.select("text").mapInArrow(_vocabulary_keys, "key binary").distinct()
-    good = {bytes(r["key"]) for r in toxic_keys(each).join(own, "key", "left_semi").collect()}
+    own = picked.select("text").mapInArrow(_vocabulary_keys, "key long").distinct()
+    good = {r["key"] for r in toxic_keys(each).join(own, "key", "left_semi").collect()}
     bad = np.array([not good.isdisjoint(_keys(w)) for w in vocabulary])
     gold = [bad[w] * int(y) for w, y in zip(texts, toxic)]
     # every third document is left for the score
@@ -160,7 +190,7 @@ def score_toxicity(docs: DataFrame, model, keep: list[str]) -> DataFrame:
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, "text"):
             s = _scored(sent.value, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(s)], names=[*keep, "score"])
 
@@ -177,7 +207,7 @@ def toxic_spans(docs: DataFrame, model, keep: list[str]) -> DataFrame:
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, "text"):
             texts = b.column("text").to_pylist()
             row, word, surface, prob, done = [], [], [], [], 0
             for lens, p in crf.marginals(sent.value[0], texts) if sent.value else ():
@@ -205,7 +235,7 @@ def drop_toxic(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, "text"):
             yield b.filter(pa.array(_scored(sent.value, b.column("text").to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
