@@ -9,6 +9,7 @@ every position), so the two sides share no algorithm.
 from __future__ import annotations
 
 from markscope.plans import queries as Q
+from markscope.sources import tables as TB
 from markscope.sources.tables import CORPUS_PATH_SQL, MARKED_LINE_SQL
 
 ORACLE_SQL: dict[str, str] = {}
@@ -344,6 +345,75 @@ sql("annotate_corpus", "SELECT path, content FROM ann_files", CODE + "," + ANN +
 sql("annotate_glob", "SELECT path, content FROM ann_files WHERE path GLOB 'code/AFRICA/*.py'",
     CODE + "," + ANN + "," + ANN_FILES)
 
+# The six-language corpus. Expected declarations: (language, part of the template, line of the
+# start and of the header in it, kind, role, scope path; {x} is filled in as in the template).
+_LITERAL_DECLS = [
+    ("python", "header", 0, 0, "class_definition", "scope", ["{nation}"]),
+    ("python", "per_supplier", 0, 0, "function_definition", "decl", ["{nation}", "{supplier}"]),
+    ("python", "footer", 0, 0, "function_definition", "decl", ["after_{nation}"]),
+    ("ruby", "header", 0, 0, "module", "scope", ["{region}"]),
+    ("ruby", "header", 7, 7, "class", "scope", ["{region}", "{nation}"]),
+    ("ruby", "per_supplier", 0, 0, "method", "decl", ["{region}", "{nation}", "{supplier}"]),
+    ("rust", "header", 0, 0, "mod_item", "scope", ["{region}"]),
+    ("rust", "per_supplier", 0, 0, "function_item", "decl", ["{region}", "{supplier}"]),
+    ("cpp", "header", 0, 0, "namespace_definition", "scope", ["{region}"]),
+    ("cpp", "header", 2, 2, "class_specifier", "scope", ["{region}", "{nation}"]),
+    ("cpp", "per_supplier", 1, 1, "function_definition", "decl", ["{region}", "{nation}", "{supplier}"]),
+    ("cpp", "per_supplier", 3, 3, "function_definition", "decl", ["{region}", "{nation}", "{supplier}"]),
+    ("typescript", "header", 0, 0, "class_declaration", "scope", ["{nation}"]),
+    ("typescript", "per_supplier", 0, 1, "method_definition", "decl", ["{nation}", "{supplier}"]),
+    ("typescript", "footer", 1, 1, "function_declaration", "decl", ["after_{nation}"]),
+    ("javascript", "header", 0, 0, "class_declaration", "scope", ["{nation}"]),
+    ("javascript", "per_supplier", 0, 0, "method_definition", "decl", ["{nation}", "{supplier}"]),
+    ("javascript", "footer", 1, 1, "function_declaration", "decl", ["after_{nation}"]),
+]
+_PREFIX = {"python": "# [TODO] ", "ruby": "# [TODO] ", "rust": "/// [TODO] ", "cpp": "/// [TODO] ",
+           "typescript": "// [TODO] ", "javascript": "// [TODO] "}
+
+
+def _filled(text: str, part: str) -> str:
+    """SQL for a template's text."""
+    out = _q(text)
+    for name in ("region", "nation", *(["supplier"] if part == "per_supplier" else [])):
+        out = f"replace({out}, '{{{name}}}', {name})"
+    return out
+
+
+def _line_of(parts: dict, part: str, i: int) -> str:
+    """SQL for the line number (from 1) of line ``i`` of a part."""
+    nh, ns = len(parts["header"]), len(parts["per_supplier"])
+    return {"header": f"{i + 1}", "per_supplier": f"{nh + 1 + i} + {ns} * k", "footer": f"{nh + 1 + i} + {ns} * n"}[part]
+
+
+def _literal_sql() -> tuple[str, str]:
+    decls, lines = [], []
+    for lang, t in TB.LITERAL_TEMPLATES.items():
+        parts = {p: t[p] for p in ("header", "per_supplier", "footer")}
+        path = f"stem || '.{t['ext']}' AS path"
+        own = [d for d in _LITERAL_DECLS if d[0] == lang]
+        marked = {p: [] for p in parts}  # the annotated text: (line, is comment)
+        for p, text in parts.items():
+            for i, x in enumerate(text):
+                for d in own:
+                    if (d[1], d[2]) == (p, i):
+                        unit = ("  " if lang == "ruby" else "    ") * (len(d[6]) - 1)
+                        marked[p].append((unit + _PREFIX[lang] + " > ".join(d[6]), True))
+                marked[p].append((x, False))
+        source = {p: "code_sym" if p == "per_supplier" else "code_file" for p in parts}
+        for _, p, start, header, kind, role, scope in own:
+            decls.append(f"SELECT {path}, CAST({_line_of(parts, p, start)} AS BIGINT) AS start, "
+                         f"CAST({_line_of(parts, p, header)} AS BIGINT) AS header, '{kind}' AS kind, "
+                         f"{_filled(scope[-1], p)} AS name, '{role}' AS role, CAST({len(scope) - 1} AS BIGINT) AS level, "
+                         f"{_filled(' > '.join(scope), p)} AS scope_path FROM {source[p]}")
+        for p in parts:
+            lines += [f"SELECT {path}, CAST({_line_of(marked, p, i)} AS BIGINT) AS ord, {_filled(x, p)} AS line, "
+                      f"{str(c).lower()} AS is_comment FROM {source[p]}" for i, (x, c) in enumerate(marked[p])]
+    return " UNION ALL ".join(decls), " UNION ALL ".join(lines)
+
+
+sql("symbol_languages", _literal_sql()[0], CODE)
+sql("annotate_languages", _literal_sql()[1], CODE)
+
 # --- the same operators over the other text tables -----------------------------------
 CONV_LINES = """
 cl0 AS (SELECT conv_id, turn, role, len(parts) AS n, generate_subscripts(parts, 1) AS i, unnest(parts) AS line

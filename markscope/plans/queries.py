@@ -458,6 +458,17 @@ def q_annotate_files(spark, sf):
     return A.annotate_files(_code(spark, sf))
 
 
+@query("symbol_languages")
+def q_symbol_languages(spark, sf):
+    s = symbols(TB.code_files(spark, sf, TB.LITERAL_TEMPLATES))
+    return s.select("path", "start", "header", "kind", "name", "role", "level", "scope_path")
+
+
+@query("annotate_languages")
+def q_annotate_languages(spark, sf):
+    return A.annotate_lines(TB.code_files(spark, sf, TB.LITERAL_TEMPLATES)).select("path", "ord", "line", "is_comment")
+
+
 def _code_corpus_with_noise(spark, sf):
     """The code files plus copies the selection must drop: hidden, test,
     ignored extension, unsupported language, gitignored folder."""

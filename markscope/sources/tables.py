@@ -136,6 +136,42 @@ CODE_TEMPLATES = {
 }
 
 
+# A second corpus, one template for each of the six languages, whose literals
+# and directives hide brackets and declarations; {nation} etc. as above.
+LITERAL_TEMPLATES = {
+    "python": {"ext": "py",
+               "header": ["class {nation}:"],
+               "per_supplier": ["    def {supplier}(self):", "        s = \'\'\'", "    def fake(self):", "        \'\'\'",
+                                "        return s"],
+               "footer": ["def after_{nation}():", "    pass"]},
+    "ruby": {"ext": "rb",
+             "header": ["module {region}", "  SQL = <<~EOS + join(<<-END)", "    def fake", "  class Fake", "  EOS", "  def (fake",
+                        "  END", "  class {nation}"],
+             "per_supplier": ["    def {supplier}(x)", "      x =~ /[\"{(]/ ? \"a#{x[\"}\"]} def z(\" : %w(a (b) def)", "    end"],
+             "footer": ["  end", "end"]},
+    "rust": {"ext": "rs",
+             "header": ["mod {region} {"],
+             "per_supplier": ["    fn {supplier}() -> &'static str {", "        r##\"} \"# fn fake() {\"##", "    }",
+                              "    /* { /* nested */ { */"],
+             "footer": ["}"]},
+    "cpp": {"ext": "cpp",
+            "header": ["namespace {region} {", "#define OPEN_{nation} {", "class {nation} {"],
+            "per_supplier": ["#if defined(A)", "  int {supplier}(int a) {", "#else", "  int {supplier}(long a) {", "#endif",
+                             "    auto s = R\"x(} int fake() {)x\"; char c = '{'; long n = 1'000;", "    return a;", "  }"],
+            "footer": ["};", "}"]},
+    "typescript": {"ext": "ts",
+                   "header": ["class {nation} {"],
+                   "per_supplier": ["  @deco", "  {supplier}(x: string): boolean {",
+                                    "    const s = `a ${x.length > 0 ? `}${x}{` : '{'} {`;",
+                                    "    return /[\"{]\\/`/.test(x) || x.length / 2 / 1 > 0;", "  }"],
+                   "footer": ["}", "function after_{nation}(): void {", "}"]},
+    "javascript": {"ext": "js",
+                   "header": ["class {nation} {"],
+                   "per_supplier": ["  {supplier}(x) { return /[\"{]/.test(x) ? `}${x}{` : x / 2; }"],
+                   "footer": ["}", "function after_{nation}() { return /}/; }"]},
+}
+
+
 def _fill(t: str):
     """Template -> Column, with the placeholders as format arguments."""
     fmt = t.replace("%", "%%").replace("{region}", "%1$s").replace("{nation}", "%2$s") \
@@ -143,7 +179,7 @@ def _fill(t: str):
     return F.format_string(fmt, F.col("region"), F.col("nation"), F.col("supplier"))
 
 
-def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def code_lines(spark: SparkSession, sf_dir: str, templates: dict = CODE_TEMPLATES) -> DataFrame:
     """``(stem, path, language, line_no, line)`` of the generated code corpus.
 
     One pass over the suppliers: each emits its own lines, the first of a
@@ -151,7 +187,7 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     syms = code_symbols(spark, sf_dir)
     items = []
-    for lang, t in CODE_TEMPLATES.items():
+    for lang, t in templates.items():
         nh, ns = len(t["header"]), len(t["per_supplier"])
         for i, x in enumerate(t["header"]):
             items.append(F.when(F.col("rank") == 0, F.struct(F.lit(lang).alias("language"), F.lit(t["ext"]).alias("ext"),
@@ -165,17 +201,18 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             items.append(F.when(F.col("rank") == F.col("n") - 1,
                                 F.struct(F.lit(lang).alias("language"), F.lit(t["ext"]).alias("ext"),
                                          (F.lit(nh + 1 + i) + F.col("n") * ns).cast("bigint").alias("line_no"),
-                                         F.lit(x).alias("line"))))
+                                         _fill(x).alias("line"))))
     out = syms.select("stem", F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("x"))
     return out.select("stem", F.concat(F.col("stem"), F.lit("."), F.col("x.ext")).alias("path"),
                       "x.language", "x.line_no", "x.line")
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``code(path, language, content)``: a Python and a Rust file per region,
+def code_files(spark: SparkSession, sf_dir: str, templates: dict = CODE_TEMPLATES) -> DataFrame:
+    """``code(path, language, content)``: a file for each template (a Python and a Rust
+    one) per region,
     nation and block of suppliers; each ends with a newline.  Grouped by
     (stem, language) so the supplier window's partitioning is reused."""
-    ln = code_lines(spark, sf_dir)
+    ln = code_lines(spark, sf_dir, templates)
     content = F.concat(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n"), F.lit("\n"))
     return ln.groupBy("stem", "language").agg(F.first("path").alias("path"), content.alias("content")) \
