@@ -11,14 +11,16 @@ path, after the single shuffle of ``outline``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from markscope.operators.gitignore import drop_gitignored
+from markscope.functions.paths import base_name
+from markscope.operators.gitignore import drop_gitignored, rules_from_files
 from markscope.operators.lang import comment_prefix_of, detect_language
 from markscope.operators.outline import comment_text, declarations, outline_lines, symbol_groups
 from markscope.operators.select import drop_hidden, drop_ignored_extensions, drop_test_paths, select_glob
+from markscope.sources.files import list_tree, read_listed, write_tree
 
 
 def annotate_lines(files: DataFrame, path_col: str = "path", lang_col: str = "language",
@@ -102,6 +104,21 @@ def annotate_corpus(corpus: DataFrame, rules: DataFrame | None = None, root: str
     return annotate_files(select_for_annotation(corpus, rules, root=root))
 
 
+def annotate_tree(spark: SparkSession, root: str, out_root: str | None = None) -> DataFrame:
+    """T5 on a file tree, contents last: the tree is listed, its ``.gitignore`` files are read, paths
+    are selected, and only the files that stay are fetched and annotated. ``out_root``: also write
+    them as files there (a new place)."""
+    listing = list_tree(spark, root)
+    ignore = read_listed(spark, root, listing.where((base_name("path") == ".gitignore") & F.col("error").isNull()))
+    rules = rules_from_files(ignore.select("path", F.expr("make_valid_utf8(cast(content AS string))").alias("content")))
+    chosen = select_for_annotation(listing.where("error IS NULL"), rules)
+    files = detect_language(read_listed(spark, root, chosen)).where("error IS NULL AND is_valid_utf8(cast(content AS string))")
+    done = annotate_files(files.select("path", "language", F.col("content").cast("string").alias("content")))
+    if out_root is not None:
+        write_tree(done, out_root)
+    return done
+
+
 def annotate_glob(corpus: DataFrame, glob: str) -> DataFrame:
     """Annotate the files matching a glob (``analyze -p``)."""
     f = detect_language(select_glob(corpus, glob)).where("supported")

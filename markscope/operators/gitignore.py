@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from markscope.functions.paths import ancestors, base_name, components, directory, gitignore_rule_regex
 from markscope.operators.lines import explode_lines
+from markscope.session import carried
 
 RULES_SCHEMA = T.StructType([T.StructField("base_dir", T.StringType(), False),
                              T.StructField("ord", T.LongType(), False),
@@ -53,6 +54,9 @@ def rules_from_files(files: DataFrame, path_col: str = "path", content_col: str
     return ln.select("base_dir", "line_no", "line").mapInPandas(translate, RULES_SCHEMA)
 
 
+carried("markscope.functions.paths", __name__)
+
+
 def _ignored_entries(entries: DataFrame, rules: DataFrame, is_dir: bool) -> DataFrame:
     """Entries (``entry`` column) whose last matching rule ignores them."""
     bases = F.array_union(F.array(F.lit("")), ancestors("entry"))

@@ -76,7 +76,7 @@ def dim_language(spark: SparkSession) -> DataFrame:
 
 def dim_extension_language(spark: SparkSession) -> DataFrame:
     """One row per supported extension with its language attributes."""
-    return dim_extension(spark).join(dim_language(spark), "language").select(
+    return dim_extension(spark).join(F.broadcast(dim_language(spark)), "language").select(
         "ext", "language", "comment_prefix", "indent_unit", "root_kind", "decorator_kind", "comment_kind")
 
 

@@ -146,19 +146,23 @@ def _rules_for(lang: str):
 _GROUPS = [["python"], ["ruby"], ["rust"], ["cpp"], ["typescript", "javascript"]]
 
 
-def mask(content: Column, language: Column) -> Column:
-    """Blank the strings and comments (line breaks kept)."""
-    out, hard = None, F.lit(False)
+def mask(content: Column, language: Column, lexed: Column) -> Column:
+    """Blank the strings and comments (line breaks kept); ``lexed`` is used where it is set."""
+    out = None
     for group in _GROUPS:
-        lang = group[0]
-        toks = F.regexp_extract_all(content, F.lit("(?m)" + MASK_TOKENS[lang]), 0)
-        masked = F.array_join(F.transform(toks, _masker(MASKED_START[lang])), "")
+        toks = F.regexp_extract_all(content, F.lit("(?m)" + MASK_TOKENS[group[0]]), 0)
+        masked = F.array_join(F.transform(toks, _masker(MASKED_START[group[0]])), "")
         cond = language.isin(group)
         out = F.when(cond, masked) if out is None else out.when(cond, masked)
-        if lang in STATEFUL:
-            hard = hard | (cond & content.rlike(STATEFUL[lang]))
-    # the lexer sees only the files that need it; the others pass as NULL
-    return F.coalesce(_lexed(F.when(hard, content), language), out.otherwise(content))
+    return F.coalesce(lexed, out.otherwise(content))
+
+
+def lexed_text(content: Column, language: Column) -> Column:
+    """The lexer's result for files that need it, NULL for the others (which it does not see)."""
+    hard = F.lit(False)
+    for lang, form in STATEFUL.items():
+        hard = hard | ((language == lang) & content.rlike(form))
+    return _lexed(F.when(hard, content), language)
 
 
 @F.pandas_udf(T.StringType())
@@ -225,12 +229,14 @@ def outline_lines(files: DataFrame, path_col: str = "path", lang_col: str = "lan
     """One row per line with its masked text and layout facts."""
     f = files.select(F.col(path_col).alias("path"), F.col(lang_col).alias("language"),
                      F.col(content_col).alias("content"))
+    # before the shuffle: a Python step would hide the partitioning from the windows after it
+    f = f.withColumn("lexed", lexed_text(F.col("content"), F.col("language")))
     # The one shuffle of the outline: whole files, hashed by path.  Every
     # later window and grouping is keyed by path and reuses it.  The count is
     # explicit because the work per byte is high (regexes, windows): AQE would
     # otherwise merge a small input into one CPU-bound task.
     f = f.repartition(outline_partitions(files.sparkSession), "path")
-    f = f.withColumn("masked", mask(F.col("content"), F.col("language")))
+    f = f.withColumn("masked", mask(F.col("content"), F.col("language"), F.col("lexed")))
     pairs = F.zip_with(split_lines("content"), split_lines("masked"),
                        lambda a, b: F.struct(a.alias("line"), b.alias("m")))
     ln = f.select("path", "language", F.col("content").endswith("\n").alias("has_eol"),

@@ -12,7 +12,8 @@ def marker_dirs(files: DataFrame, markers: list[str] | None = None, path_col: st
                 hidden_names: bool = False) -> DataFrame:
     """Folders that directly hold a marker entry, a file or a folder.  A
     listing of files shows a folder by the paths under it (``a/.git/HEAD``
-    makes ``a`` a root).  ``markers`` are exact names; ``hidden_names=True``
+    makes ``a`` a root), or by name alone, as ``list_tree`` and ``read_tree``
+    list markers that are hidden.  ``markers`` are exact names; ``hidden_names=True``
     treats any file with a dot-name as a marker."""
     if hidden_names:
         return files.where(base_name(path_col).startswith(".")).select(directory(path_col).alias("root")).distinct()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 from pyspark import SparkConf, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +71,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder of this run under the checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/markscope-{name}-{uuid.uuid4().hex[:12]}"
+
+
 # Largest row count we broadcast for tables whose size is not fixed by
 # construction (name lists, rule tables).
 MAX_BROADCAST_ROWS = 200_000

@@ -1,30 +1,53 @@
-"""A file-tree source (Python Data Source API).
-
-``spark.read.format("filetree").option("path", root).load()`` returns
-``(path, size, content BINARY, error)`` with paths relative to ``root``.
-
-The driver only lists metadata (like Spark's own file index) and packs the
-files into partitions of about ``partitionBytes`` each; executors read the
-bytes.  Unlike the built-in ``binaryFile`` / ``text`` sources, names that start
-with ``_`` or ``.`` are kept (``__init__.py``).  The walk prunes like the
-reference's: hidden entries (but ``.gitignore`` files are kept so their rules
-can be applied) and folders or files with an ignored extension.  A file or
-folder that cannot be read, or a file larger than ``maxFileBytes`` where that is
-set (no limit by default), is returned with NULL
-content and a reason in ``error`` - nothing is dropped silently.
+"""S1 and S6 on a file tree: distributed listing, contents fetched after selection, files written back.
+
+``list_tree`` expands a frontier of folders on the executors, one level per job, and never holds
+the files on the driver: ``(path, size, error)`` with paths relative to the root. ``read_listed``
+reads the contents of the rows of such a listing, after whatever was selected from it, through the
+``filetree`` data source: the listing is written as a table, each of its parts becomes one input
+partition, and tasks read their part and the files it names. ``read_tree`` does both.
+
+Unlike the built-in ``binaryFile`` / ``text`` sources, names that start with ``_`` or ``.`` are not
+lost: ``__init__.py`` is kept. The walk prunes hidden entries (but ``.gitignore`` files are kept so
+their rules can be applied) and folders or files with an ignored extension. Marker entries such as
+``.git`` are listed by name (``error`` says so) but not entered. Links are skipped. A file or
+folder that cannot be read, or a file larger than ``maxFileBytes`` where that is set (no limit by
+default), is returned with NULL content and a reason in ``error`` - nothing is dropped silently.
+
+``write_tree`` writes ``(path, content)`` rows as files below a root. Each task stages its files in
+a folder of its own; only when all tasks are done are they moved into place. A file whose content is
+already there is not written again. A failed job leaves the tree as it was.
+
+Roots are paths that all executors share or URIs that ``pyarrow.fs`` opens (hdfs://, s3://, ...).
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
+import posixpath
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualTo, In, InputPartition,
-                                    StringContains, StringEndsWith, StringStartsWith)
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition,
+                                    StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage)
 
 from markscope.operators.select import IGNORED_EXTENSIONS
+from markscope.session import carried, scratch_path
 
 SCHEMA = "path string, size bigint, content binary, error string"
+LISTING = "path string, size bigint, error string"
+MARKERS = (".git",)
+MARKER_ERROR = "marker entry, not read"
+#: Bytes of files that one partition reads, and of contents in one batch of rows.
+PARTITION_BYTES, BATCH_BYTES = 128 << 20, 16 << 20
 _IGNORED = set(IGNORED_EXTENSIONS)
+_FILE_COST = 4096  # counted for each file, so that tiny ones do not pile up
 
 
 def _ext(name: str) -> str:
@@ -41,51 +64,100 @@ def _skip(name: str, skip_hidden: bool, skip_ext: bool, is_dir: bool) -> bool:
     return False
 
 
-def list_tree(root: str, skip_hidden: bool = True, skip_ext: bool = True) -> list[tuple[str, int]]:
-    """(relative path, size) of every regular file under ``root``, sorted. Links are
-    skipped; a folder that cannot be listed is given with size -1."""
-    out = []
-    root = os.path.abspath(root)
-    def failed(e):
-        out.append((os.path.relpath(e.filename, root).replace(os.sep, "/"), -1))
+def _open(root: str) -> tuple[fs.FileSystem, str]:
+    if "://" in root:
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), os.path.abspath(root.removeprefix("file:"))
 
-    for d, dirs, files in os.walk(root, onerror=failed):
-        dirs[:] = sorted(x for x in dirs if not _skip(x, skip_hidden, skip_ext, True))
-        for f in files:
-            if _skip(f, skip_hidden, skip_ext, False):
-                continue
-            full = os.path.join(d, f)
-            if os.path.islink(full) or not os.path.isfile(full):
-                continue
-            try:
-                size = os.path.getsize(full)
-            except OSError:
-                size = 0  # opening it will tell
-            out.append((os.path.relpath(full, root).replace(os.sep, "/"), size))
-    out.sort()
-    return out
 
+def _children(store: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int]]:
+    """(name, is a folder, size) of the entries of a folder; links and other kinds are left out."""
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(folder) as entries:
+            for e in entries:
+                if e.is_dir(follow_symlinks=False):
+                    yield e.name, True, 0
+                elif e.is_file(follow_symlinks=False):
+                    yield e.name, False, e.stat(follow_symlinks=False).st_size
+        return
+    for info in store.get_file_info(fs.FileSelector(folder)):
+        if info.type in (fs.FileType.Directory, fs.FileType.File):
+            yield info.base_name, info.type == fs.FileType.Directory, info.size or 0
+
+
+def _lister(root: str, skip_hidden: bool, skip_ext: bool, markers: tuple[str, ...]):
+    """Rows (path, size, is_dir, error) for the entries of the folders given."""
+
+    def entries(folder: str) -> Iterator[tuple]:
+        store, base = _open(root)
+        try:
+            for name, is_dir, size in _children(store, f"{base}/{folder}" if folder else base):
+                path = f"{folder}/{name}" if folder else name
+                if not _skip(name, skip_hidden, skip_ext, is_dir):
+                    yield path, None if is_dir else size, is_dir, None
+                elif name in markers:
+                    yield path, None, False, MARKER_ERROR
+        except OSError:
+            yield folder or ".", None, False, "unreadable folder"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("size", pa.int64()), ("is_dir", pa.bool_()), ("error", pa.string())])
+        rows: list[tuple] = []
+        for b in batches:
+            for folder in b.column("folder").to_pylist():
+                for row in entries(folder):
+                    rows.append(row)
+                    if len(rows) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                        rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-class _Files(InputPartition):
-    def __init__(self, index: int, root: str, files: list[tuple[str, int]]):
+    return run
+
+
+def list_tree(spark: SparkSession, root: str, skip_hidden: bool = True, skip_ext: bool = True,
+              markers: tuple[str, ...] = MARKERS) -> DataFrame:
+    """``(path, size, error)`` of every regular file under ``root`` that the walk reaches. One job
+    per level of folders; each level is a written table, read by the next."""
+    base, levels = scratch_path(spark, "listing"), []
+    frontier = spark.createDataFrame([("",)], "folder string")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        path = f"{base}/{len(levels):04d}"
+        # folders of one parent are spread, so a wide level uses all executors
+        (frontier.repartition(width, "folder")
+         .mapInArrow(_lister(root, skip_hidden, skip_ext, tuple(markers)), "path string, size bigint, is_dir boolean, error string")
+         .write.parquet(path))
+        levels.append(path)
+        level = spark.read.schema("path string, size bigint, is_dir boolean, error string").parquet(path)
+        frontier = level.where("is_dir").select(F.col("path").alias("folder"))
+        if frontier.isEmpty():
+            break
+    every = spark.read.schema("path string, size bigint, is_dir boolean, error string").parquet(*levels)
+    return every.where("NOT is_dir").select("path", "size", "error")
+
+
+class _Part(InputPartition):
+    """One part of a written listing."""
+
+    def __init__(self, index: int, file: str | None):
         super().__init__(index)
-        self.root = root
-        self.files = files
+        self.file = file
 
 
 class FileTreeReader(DataSourceReader):
-    def __init__(self, options, schema):
-        self.root = os.path.abspath(options["path"])
-        self.part_bytes = int(options.get("partitionBytes", 128 * 1024 * 1024))
+    def __init__(self, options):
+        if "listing" not in options:
+            raise ValueError("the filetree source reads a listing: use read_tree or read_listed")
+        self.root, self.listing = options["path"], options["listing"]
         cap = options.get("maxFileBytes")  # opt-in; without it every file is read whole
         self.max_file = int(cap) if cap else None
-        self.skip_hidden = options.get("skipHidden", "true").lower() == "true"
-        self.skip_ext = options.get("skipIgnoredExtensions", "true").lower() == "true"
         self.path_tests = []  # pushed-down predicates on the relative path
 
     def pushFilters(self, filters):
-        """Path predicates (=, IN, starts/ends with, contains) prune the listing,
-        so files they exclude are never opened; others stay with Spark."""
+        """Path predicates (=, IN, starts/ends with, contains) are tested on the listing, so
+        files they exclude are never opened; others stay with Spark."""
         for f in filters:
             attr = getattr(f, "attribute", None)
             if attr != ("path",):
@@ -112,35 +184,109 @@ class FileTreeReader(DataSourceReader):
         return True
 
     def partitions(self):
-        files = [f for f in list_tree(self.root, self.skip_hidden, self.skip_ext) if self._keep(f[0])]
-        parts, cur, used = [], [], 0
-        for rel, size in files:
-            cost = max(size, 0) + 4096  # a per-file overhead keeps tiny files from piling up
-            if cur and used + cost > self.part_bytes:
-                parts.append(cur)
-                cur, used = [], 0
-            cur.append((rel, size))
-            used += cost
-        if cur:
-            parts.append(cur)
-        return [_Files(i, self.root, p) for i, p in enumerate(parts)] or [_Files(0, self.root, [])]
+        store, base = _open(self.listing)
+        parts = sorted(i.path for i in store.get_file_info(fs.FileSelector(base)) if i.base_name.endswith(".parquet"))
+        return [_Part(i, p) for i, p in enumerate(parts)] or [_Part(0, None)]
+
+    def _row(self, store: fs.FileSystem, base: str, path: str, size: int | None, error: str | None) -> tuple:
+        if error is not None:
+            return path, size, None, error
+        if self.max_file is not None and (size or 0) > self.max_file:
+            return path, size, None, f"larger than {self.max_file} bytes"
+        try:
+            with store.open_input_stream(f"{base}/{path}", compression=None) as stream:
+                data = stream.read()
+        except OSError as e:
+            return path, size, None, f"unreadable: {e.strerror or e}"
+        return path, len(data), data, None
 
     def read(self, partition):
-        for rel, size in partition.files:
-            full = os.path.join(partition.root, rel)
-            if size < 0:
-                yield (rel, None, None, "unreadable folder")
-                continue
-            if self.max_file is not None and size > self.max_file:
-                yield (rel, size, None, f"larger than {self.max_file} bytes")
+        if partition.file is None:
+            return
+        (store, base), (lists, _) = _open(self.root), _open(self.listing)
+        schema = pa.schema([("path", pa.string()), ("size", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
+        rows, held = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        with lists.open_input_file(partition.file) as listing:
+            for b in pq.ParquetFile(listing).iter_batches(columns=["path", "size", "error"]):
+                for path, size, error in zip(*(c.to_pylist() for c in b.columns)):
+                    if self._keep(path):
+                        rows.append(self._row(store, base, path, size, error))
+                        held += _FILE_COST + len(rows[-1][2] or b"")
+                        if held >= BATCH_BYTES:
+                            yield batch()
+                            rows, held = [], 0
+        if rows:
+            yield batch()
+
+
+@dataclass
+class _Staged(WriterCommitMessage):
+    folder: str | None
+    written: int
+    unchanged: int
+
+
+class FileTreeWriter(DataSourceWriter):
+    """Files below ``path``; see the module's text."""
+
+    def __init__(self, options):
+        self.root = options["path"]
+        self.staging = f".markscope-staging-{uuid.uuid4().hex}"
+
+    @staticmethod
+    def _same(store: fs.FileSystem, path: str, data: bytes) -> bool:
+        info = store.get_file_info(path)
+        if info.type != fs.FileType.File or info.size != len(data):
+            return False
+        with store.open_input_stream(path, compression=None) as old:
+            return hashlib.sha256(old.read()).digest() == hashlib.sha256(data).digest()
+
+    def write(self, iterator):
+        store, base = _open(self.root)
+        own = f"{base}/{self.staging}/{uuid.uuid4().hex}"  # attempts of one task never meet
+        written = unchanged = 0
+        for row in iterator:
+            path, data = row["path"], row["content"]
+            clean = posixpath.normpath(path) if path else ""
+            if not clean or clean != path or clean.startswith(("/", "..")):
+                raise ValueError(f"not a path below the root: {path!r}")
+            data = data.encode("utf-8", "surrogatepass") if isinstance(data, str) else bytes(data or b"")
+            if self._same(store, f"{base}/{path}", data):
+                unchanged += 1
                 continue
-            try:
-                with open(full, "rb") as fh:
-                    data = fh.read()
-            except OSError as e:
-                yield (rel, size, None, f"unreadable: {e.strerror}")
+            store.create_dir(posixpath.dirname(f"{own}/{path}"), recursive=True)
+            with store.open_output_stream(f"{own}/{path}", compression=None) as out:
+                out.write(data)
+            written += 1
+        return _Staged(own if written else None, written, unchanged)
+
+    def commit(self, messages):
+        """Moves the staged files of the tasks that count into place, one by one."""
+        store, base = _open(self.root)
+        for m in messages:
+            if m is None or m.folder is None:
                 continue
-            yield (rel, len(data), data, None)
+            folders = [m.folder]
+            while folders:
+                for info in store.get_file_info(fs.FileSelector(folders.pop())):
+                    if info.type == fs.FileType.Directory:
+                        folders.append(info.path)
+                        continue
+                    target = f"{base}/{info.path[len(m.folder) + 1:]}"
+                    store.create_dir(posixpath.dirname(target), recursive=True)
+                    store.move(info.path, target)
+        self._clear(store, base)
+
+    def abort(self, messages):
+        self._clear(*_open(self.root))
+
+    def _clear(self, store: fs.FileSystem, base: str) -> None:
+        if store.get_file_info(f"{base}/{self.staging}").type == fs.FileType.Directory:
+            store.delete_dir(f"{base}/{self.staging}")
 
 
 class FileTreeSource(DataSource):
@@ -152,19 +298,48 @@ class FileTreeSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return FileTreeReader(self.options, schema)
+        return FileTreeReader(self.options)
+
+    def writer(self, schema, overwrite):
+        return FileTreeWriter(self.options)
+
+
+carried(__name__)
 
 
 def register(spark) -> None:
-    # the reader prunes its listing with pushed-down path predicates
+    # the reader tests pushed-down path predicates before it opens a file
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FileTreeSource)
 
 
-def read_tree(spark, root: str, **options):
-    """Scan a folder into ``(path, size, content, error)``."""
+def read_listed(spark: SparkSession, root: str, listing: DataFrame, partition_bytes: int = PARTITION_BYTES,
+                max_file_bytes: int | None = None) -> DataFrame:
+    """``(path, size, content, error)`` for the rows of ``listing`` (path, size, error). The listing
+    is written in parts of about ``partition_bytes`` of files; contents never pass a shuffle here."""
     register(spark)
-    r = spark.read.format("filetree").option("path", root)
-    for k, v in options.items():
-        r = r.option(k, str(v))
+    path = scratch_path(spark, "listed")
+    rows = listing.select("path", "size", "error")
+    total = rows.agg(F.sum(F.coalesce("size", F.lit(0)) + _FILE_COST)).first()[0] or 0
+    rows.repartition(max(1, -(-int(total) // partition_bytes)), "path").write.parquet(path)
+    r = spark.read.format("filetree").option("path", root).option("listing", path)
+    if max_file_bytes is not None:
+        r = r.option("maxFileBytes", str(max_file_bytes))
     return r.load()
+
+
+def read_tree(spark, root: str, **options):
+    """Scan a folder into ``(path, size, content, error)``. Options: ``skipHidden``,
+    ``skipIgnoredExtensions``, ``partitionBytes``, ``maxFileBytes``."""
+    def flag(name):
+        return str(options.get(name, "true")).lower() == "true"
+
+    cap = options.get("maxFileBytes")
+    listing = list_tree(spark, root, flag("skipHidden"), flag("skipIgnoredExtensions"))
+    return read_listed(spark, root, listing, int(options.get("partitionBytes", PARTITION_BYTES)), int(cap) if cap else None)
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write ``(path, content)`` as files below ``root``; files with equal content stay untouched."""
+    register(files.sparkSession)
+    files.select("path", "content").write.format("filetree").option("path", root).mode("append").save()
