@@ -1,9 +1,9 @@
 """Match-offset operators (P1-P7): string -> array of UTF-8 byte offsets.
 
 All offsets are byte offsets into the (possibly lower-cased) line, like the
-reference.  Everything is built from ``split`` / ``regexp_extract_all`` and a
-left fold (``aggregate``), so it runs inside the JVM; the fold is linear in
-the number of matches of one line.
+reference.  Everything is built from ``split`` / ``regexp_extract_all`` and
+left folds (``aggregate``) in blocks, so it runs inside the JVM, in time in
+proportion to the matches of a line.
 """
 
 from __future__ import annotations
@@ -21,18 +21,45 @@ def _nbytes(s: str) -> int:
     return len(s.encode("utf-8"))
 
 
-def _part_ends(parts: Column, gap) -> Column:
-    """Byte offset where each part but the last ends, parts being separated
-    by ``gap`` bytes (an int or a per-part Column via ``zip_with``)."""
-    init = F.struct(F.lit(0).cast("bigint").alias("o"), _empty().alias("a"))
+#: Items folded in one go. Adding to an array copies it, so long arrays are folded in blocks
+#: whose results are joined at the end: the work stays in proportion to the number of items.
+BLOCK = 128
 
-    def step(s, x):
-        end = s["o"] + F.octet_length(x)
-        return F.struct((end + F.lit(gap)).alias("o"),
-                        F.concat(s["a"], F.array(end)).alias("a"))
 
-    return F.aggregate(parts, init, step,
-                       lambda s: F.slice(s["a"], 1, F.size(s["a"]) - 1))
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def folded(items: Column, start: Column, step, emit) -> Column:
+    """The non-NULL ``emit(state, item)`` of a left fold over an array, as array<bigint>."""
+
+    def fold(state: Column, part: Column) -> Column:
+        def add(acc, x):
+            e = emit(acc["s"], x)
+            return F.struct(step(acc["s"], x).alias("s"),
+                            F.when(e.isNull(), acc["a"]).otherwise(F.concat(acc["a"], F.array(e))).alias("a"))
+        return F.aggregate(part, F.struct(state.alias("s"), _empty().alias("a")), add)
+
+    def in_blocks(all_items: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(all_items) - 1) / BLOCK).cast("int")),
+                             lambda i: F.slice(all_items, i * BLOCK + 1, BLOCK))
+        lists = F.array().cast("array<array<bigint>>")
+        return F.aggregate(blocks, F.struct(start.alias("s"), lists.alias("l")),
+                           lambda acc, part: let(fold(acc["s"], part), lambda r: F.struct(
+                               r["s"].alias("s"), F.concat(acc["l"], F.array(r["a"])).alias("l"))),
+                           lambda acc: F.flatten(acc["l"]))
+
+    return let(items, lambda all_items: F.when(F.size(all_items) <= BLOCK, fold(start, all_items)["a"])
+               .otherwise(in_blocks(all_items)))
+
+
+def _part_ends(parts: Column, gap: int) -> Column:
+    """Byte offset where each part but the last ends, parts being separated by ``gap`` bytes."""
+    return let(folded(parts, F.lit(0).cast("bigint"),
+                      lambda o, x: o + F.octet_length(x) + F.lit(gap),
+                      lambda o, x: o + F.octet_length(x)),
+               lambda ends: F.slice(ends, 1, F.size(ends) - 1))
 
 
 def literal_positions(line: str | Column, pattern: str) -> Column:
@@ -94,15 +121,9 @@ def multi_positions(line: str | Column, patterns: list[str]) -> Column:
     for p in pats:
         occ.append(F.transform(overlapping_positions(line, p), occurrence(_nbytes(p))))
     ordered = F.array_sort(F.concat(*occ))
-    init = F.struct(F.lit(0).cast("bigint").alias("last"), _empty().alias("a"))
-
-    def step(st, x):
-        return F.when(x["s"] >= st["last"],
-                      F.struct(x["e"].alias("last"),
-                               F.concat(st["a"], F.array(x["s"])).alias("a"))
-                      ).otherwise(st)
-
-    return F.aggregate(ordered, init, step, lambda st: st["a"])
+    return folded(ordered, F.lit(0).cast("bigint"),
+                  lambda last, x: F.when(x["s"] >= last, x["e"]).otherwise(last),
+                  lambda last, x: F.when(x["s"] >= last, x["s"]))
 
 
 def substring_free(patterns: list[str]) -> bool:
@@ -135,15 +156,10 @@ def _regex_positions_two_pass(line: Column, rx: str) -> Column:
     parts = F.split(line, rx, -1)
     matches = F.regexp_extract_all(line, F.lit(rx), 0)
     pairs = F.zip_with(parts, matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    init = F.struct(F.lit(0).cast("bigint").alias("o"), _empty().alias("a"))
-
-    def step(s, z):
-        start = s["o"] + F.octet_length(z["p"])
-        return F.struct((start + F.coalesce(F.octet_length(z["m"]), F.lit(0))).alias("o"),
-                        F.when(z["m"].isNull(), s["a"])
-                        .otherwise(F.concat(s["a"], F.array(start))).alias("a"))
-
-    return F.aggregate(pairs, init, step, lambda s: s["a"])
+    zero = F.lit(0)
+    return folded(pairs, F.lit(0).cast("bigint"),
+                  lambda o, z: o + F.octet_length(z["p"]) + F.coalesce(F.octet_length(z["m"]), zero),
+                  lambda o, z: F.when(z["m"].isNotNull(), o + F.octet_length(z["p"])))
 
 
 def next_char_distance(chars: str | Column, start: str | Column | int, c: str) -> Column:

@@ -7,8 +7,6 @@ keep their place, right-hand rows come after them in their own order.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,19 +34,23 @@ def overlay(left: DataFrame, right: DataFrame, key: str = "name", order_col: str
 
 
 def overlay_all(layers: list[DataFrame], key: str = "name", order_col: str = "ord") -> DataFrame:
-    """Fold several layers left to right (base, then user, then workspace...).
+    """Merge several layers (base, then user, then workspace...) in one grouping.
 
-    The result carries ``ord_path ARRAY<BIGINT>``; sorting by it gives the
-    merged order: rows only in earlier layers keep their places, and each
-    layer's rows come after them in that layer's own order.
+    Per key and field the last layer that sets it wins.  The result carries
+    ``ord_path ARRAY<BIGINT>``; sorting by it gives the merged order: rows only in
+    earlier layers keep their places, and each layer's rows come after them in that
+    layer's own order.
     """
-    acc = layers[0].withColumn("ord_path", F.array(F.col(order_col).cast("bigint"))).drop(order_col)
-    for nxt in layers[1:]:
-        left = acc.withColumnRenamed("ord_path", "_path")
-        merged = overlay(left.withColumn(order_col, F.lit(0).cast("bigint")), nxt, key, order_col)
-        # overlay() keeps the left row's columns; recover the left path by key
-        merged = merged.join(left.select(key, F.col("_path").alias("_lp")), key, "left")
-        path = F.when(F.col("ord_group") == 1, F.array(F.lit(1).cast("bigint"), F.col(order_col).cast("bigint"))) \
-                .otherwise(F.concat(F.array(F.lit(0).cast("bigint")), F.col("_lp")))
-        acc = merged.withColumn("ord_path", path).drop("_lp", "_path", "ord_group", order_col)
-    return acc
+    fields = list(dict.fromkeys(c for df in layers for c in df.columns if c not in (key, order_col)))
+    types = {c: df.schema[c].dataType for df in reversed(layers) for c in df.columns}
+    rows = None
+    for i, df in enumerate(layers):
+        own = df.select(F.col(key), F.lit(i).alias("_layer"), F.col(order_col).cast("bigint").alias("_ord"),
+                        *[(F.col(c) if c in df.columns else F.lit(None).cast(types[c])).alias(c) for c in fields])
+        rows = own if rows is None else rows.unionByName(own)
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_layer"))).alias(c) for c in fields]
+    out = rows.groupBy(key).agg(*last, F.max(F.struct("_layer", "_ord")).alias("_at"))
+    zeros = F.array_repeat(F.lit(0).cast("bigint"), F.lit(len(layers) - 1) - F.col("_at._layer"))
+    own = F.when(F.col("_at._layer") == 0, F.array(F.col("_at._ord"))) \
+           .otherwise(F.array(F.lit(1).cast("bigint"), F.col("_at._ord")))
+    return out.select(key, *fields, F.concat(zeros, own).alias("ord_path"))

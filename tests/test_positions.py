@@ -113,3 +113,19 @@ def test_regex_positions_properties(spark, texts, rx):
     for r in df.select("t", regex_positions("t", rx).alias("p")).collect():
         want = [len(r["t"][:m.start()].encode()) for m in re.finditer(rx, r["t"])]
         assert r["p"] == want, (r["t"], rx)
+
+
+def test_offsets_of_one_long_line_take_time_in_proportion(spark):
+    """200,000 matches in a line: folds in blocks do not copy the whole array for each match."""
+    import time
+    from markscope.functions.positions import literal_positions, multi_positions, overlapping_positions, regex_positions
+    n = 200_000
+    df = spark.createDataFrame([("é ab" * n,)], "line string").cache()
+    df.count()
+    ways = [(literal_positions("line", "ab"), 5, 3), (overlapping_positions("line", "ab"), 5, 3),
+            (multi_positions("line", ["ab", "b"]), 5, 3), (regex_positions("line", "a[b]"), 5, 3)]
+    for expr, step, first in ways:
+        start = time.time()
+        got = df.select(expr.alias("p")).first().p
+        assert time.time() - start < 60
+        assert len(got) == n and got[:2] == [first, first + step] and got[-1] == first + step * (n - 1)
