@@ -24,15 +24,15 @@ groupings and joins after that reuse the partitioning.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from markscope.functions import lexer
-from markscope.operators.lang import comment_prefix_of, indent_unit_of
+from markscope.operators.lang import comment_prefix_of, indent_unit_of, scannable_rules
 from markscope.operators.lines import split_lines
-from markscope.session import carried
+from markscope.session import broadcast_if_small, carried
 
 BRACE_LANGS = ["rust", "cpp", "typescript", "javascript"]
 INDENT_LANGS = ["python", "ruby"]
@@ -119,7 +119,7 @@ RULES = [
     ("ts", "function_declaration", "decl", r"^\s*(?:async\s+)?function\s+([\w$]+)", [1], ""),
     ("ts", "interface_declaration", "decl", r"^\s*interface\s+([\w$]+)", [1], ""),
     ("ts", "enum_declaration", "decl", r"^\s*(?:const\s+)?enum\s+([\w$]+)", [1], ""),
-    ("ts", "expression_statement", "decl", r"^\s*(?:namespace|module)\s+[\w$.]+\s*\{", [], ""),
+    ("ts", "expression_statement", "decl", r"^\s*(?:namespace|module)\s+[\w$.]+\s*\{", [], "closed"),
     ("ts", "method_definition", "decl",
      r"^\s*(?:(?:public|private|protected|static|readonly|async|override|get|set)\s+(?!\())*+\*?\s*"
      r"(?!(?:if|for|while|switch|catch|function|return|with|else|new|typeof|await|yield|super|this)\b)"
@@ -130,9 +130,23 @@ RULES = [
      r"^\s*(?!(?:import|export|const|let|var|function|async\s+function|class|if|else|for|while|do|switch|try"
      r"|catch|finally|return|throw|break|continue|default|case|with|debugger)\b)"
      r"(?!(?:interface|enum|type|declare|abstract|namespace|module)\s+[\w$])[^\s})\],.?:=&|*/%<>+\-]",
-     [], "toplevel"),
+     [], "toplevel closed"),
 ]
 
+# The word by which a rule's lines are looked up, by kind (a rule without one is tried on every line).
+KEYWORDS = {("python", "class_definition"): "class", ("python", "function_definition"): "def",
+            ("ruby", "module"): "module", ("ruby", "class"): "class", ("ruby", "method"): "def",
+            ("rust", "macro_definition"): "macro_rules", ("rust", "mod_item"): "mod", ("rust", "enum_item"): "enum",
+            ("rust", "struct_item"): "struct", ("rust", "trait_item"): "trait", ("rust", "impl_item"): "impl",
+            ("rust", "function_item"): "fn", ("rust", "use_declaration"): "use",
+            ("rust", "extern_crate_declaration"): "crate", ("rust", "static_item"): "static",
+            ("rust", "const_item"): "const", ("rust", "type_item"): "type", ("cpp", "namespace_definition"): "namespace",
+            ("cpp", "class_specifier"): "class", ("ts", "export_statement"): "export", ("ts", "class_declaration"): "class",
+            ("ts", "function_declaration"): "function", ("ts", "interface_declaration"): "interface",
+            ("ts", "enum_declaration"): "enum"}
+RULE_TABLE = ("language string, ord int, keyword string, kind string, role string, regex string, "
+              "name_groups array<int>, flags string")
+
 
 _LEAD = r"^\s*"  # every rule starts with it; the combined prefilter hoists it
 
@@ -204,6 +218,44 @@ def _match(m: Column, language: Column) -> Column:
     return branches
 
 
+def decl_rules(spark: SparkSession) -> DataFrame:
+    """The outline's own rules as rows of RULE_TABLE. Their roles are those of the symbol sets (A6):
+    an ignorable kind, a kind that opens a scope, another listed kind; decorators and kinds
+    whose bodies are not walked (flag ``closed``) keep the rule's role."""
+    rows = [(lang, i, KEYWORDS.get((r[0], r[1])), r[1], r[2], r[3], r[4], r[5])
+            for group in _GROUPS for lang in group for i, r in enumerate(_rules_for(lang))]
+    kinds = scannable_rules(spark).groupBy("language", "kind").agg(
+        F.max("is_ignorable").alias("ign"), F.max("is_scope").alias("scope"))
+    role = F.when((F.col("role") == "decorator") | F.col("flags").contains("closed") | F.col("ign").isNull(), F.col("role")) \
+            .when(F.col("ign"), "ignorable").when(F.col("scope"), "scope").otherwise("decl")
+    # a few dozen rows on both sides
+    return (spark.createDataFrame(rows, RULE_TABLE).join(F.broadcast(kinds), ["language", "kind"], "left")
+            .withColumn("role", role).select("language", "ord", "keyword", "kind", "role", "regex", "name_groups", "flags"))
+
+
+def _rule_lookup(rules: DataFrame) -> DataFrame:
+    """One row per language: its rules in a map from keyword ('' for rules without one)."""
+    item = F.struct("ord", "kind", "role", "regex", "name_groups", F.coalesce("flags", F.lit("")).alias("flags"))
+    by_word = rules.groupBy("language", F.coalesce("keyword", F.lit("")).alias("k")).agg(F.collect_list(item).alias("items"))
+    return by_word.groupBy(F.col("language").alias("_lang")).agg(
+        F.map_from_entries(F.collect_list(F.struct("k", "items"))).alias("_rules"))
+
+
+def _match_table(m: Column, rules: Column) -> Column:
+    """First matching rule of a language's lookup per line: struct(kind, role, name, flags) or NULL.
+    Only rules whose keyword stands before the line's first ``{``, ``=`` or ``;`` are tried, in rule order."""
+    words = F.array_distinct(F.concat(F.array(F.lit("")),
+                                      F.regexp_extract_all(F.regexp_extract(m, r"^[^{=;]*+", 0), F.lit(r"[\w$]+"), 0)))
+    found = F.flatten(F.filter(F.transform(words, lambda k: rules[k]), lambda x: x.isNotNull()))
+    hit = F.filter(F.array_sort(found), lambda r: F.regexp(m, r["regex"]))
+    names = lambda r: F.filter(F.transform(
+        F.coalesce(r["name_groups"], F.array().cast("array<int>")),
+        lambda g: F.call_function("regexp_extract", m, r["regex"], g)), lambda n: n != "")
+    return F.transform(F.slice(hit, 1, 1), lambda r: F.struct(
+        r["kind"].alias("kind"), r["role"].alias("role"), F.get(names(r), F.lit(0)).alias("name"),
+        r["flags"].alias("flags")))
+
+
 def _brace_stats(m: Column) -> Column:
     """Per line: net change of ``{}`` depth and the lowest point reached
     inside the line (relative, <= 0)."""
@@ -225,8 +277,9 @@ def outline_partitions(spark) -> int:
 
 
 def outline_lines(files: DataFrame, path_col: str = "path", lang_col: str = "language",
-                  content_col: str = "content") -> DataFrame:
-    """One row per line with its masked text and layout facts."""
+                  content_col: str = "content", rules: DataFrame | None = None) -> DataFrame:
+    """One row per line with its masked text and layout facts. ``rules`` (RULE_TABLE) replace the
+    built-in ones: a table of at most 200,000 rows is broadcast, a larger one joined by language."""
     f = files.select(F.col(path_col).alias("path"), F.col(lang_col).alias("language"),
                      F.col(content_col).alias("content"))
     # before the shuffle: a Python step would hide the partitioning from the windows after it
@@ -237,11 +290,14 @@ def outline_lines(files: DataFrame, path_col: str = "path", lang_col: str = "lan
     # otherwise merge a small input into one CPU-bound task.
     f = f.repartition(outline_partitions(files.sparkSession), "path")
     f = f.withColumn("masked", mask(F.col("content"), F.col("language"), F.col("lexed")))
+    own = [] if rules is None else ["_rules"]
+    if own:
+        f = f.join(broadcast_if_small(_rule_lookup(rules)), F.col("language") == F.col("_lang"), "left")
     pairs = F.zip_with(split_lines("content"), split_lines("masked"),
                        lambda a, b: F.struct(a.alias("line"), b.alias("m")))
     ln = f.select("path", "language", F.col("content").endswith("\n").alias("has_eol"),
-                  F.posexplode(pairs).alias("pos", "p"))
-    ln = ln.select("path", "language", "has_eol", (F.col("pos") + 1).cast("bigint").alias("line_no"),
+                  F.posexplode(pairs).alias("pos", "p"), *own)
+    ln = ln.select("path", "language", "has_eol", *own, (F.col("pos") + 1).cast("bigint").alias("line_no"),
                    F.col("p.line").alias("line"), F.coalesce(F.col("p.m"), F.col("p.line")).alias("m"))
     bs = _brace_stats(F.col("m"))
     parens = (F.length(F.regexp_replace("m", r"[^(\[]+", "")) - F.length(F.regexp_replace("m", r"[^)\]]+", "")))
@@ -259,7 +315,8 @@ def outline_lines(files: DataFrame, path_col: str = "path", lang_col: str = "lan
                      (F.trim("m") == "").alias("blank"),
                      ((F.trim("m") == "") & (F.trim("line") != "")).alias("comment_only"),
                      bs["d"].alias("net"), bs["lo"].alias("lo"), parens.alias("paren_net"),
-                     _match(F.col("m"), F.col("language")).alias("rule"))
+                     (_match(F.col("m"), F.col("language")) if rules is None else
+                      F.get(_match_table(F.col("m"), F.col("_rules")), F.lit(0))).alias("rule"))
 
 
 def declarations(lines: DataFrame) -> DataFrame:
@@ -320,8 +377,8 @@ _EVENT = ("struct<key:int,tag:int,pos:bigint,o_line:bigint,o_indent:int,o_name:s
 
 
 def symbols(files: DataFrame, path_col: str = "path", lang_col: str = "language",
-            content_col: str = "content", keep_all: bool = False) -> DataFrame:
-    """Declarations with scope paths.
+            content_col: str = "content", keep_all: bool = False, rules: DataFrame | None = None) -> DataFrame:
+    """Declarations with scope paths, by the built-in rules or a table of ``rules``.
 
     Columns: ``path, language, start, header, kind, role, name, level,
     scope ARRAY<STRING>, scope_path STRING``.  ``start`` is the first line of
@@ -329,7 +386,7 @@ def symbols(files: DataFrame, path_col: str = "path", lang_col: str = "language"
     reference walks are returned (``keep_all=True`` also returns the others
     with ``level = NULL``).
     """
-    l2 = declarations(outline_lines(files, path_col, lang_col, content_col))
+    l2 = declarations(outline_lines(files, path_col, lang_col, content_col, rules))
     return symbols_from(l2, keep_all)
 
 

@@ -243,6 +243,19 @@ RULES = """rules(language, kind, is_ignorable, is_scope) AS (VALUES
  ('javascript','enum_declaration',false,false),('javascript','function_declaration',false,false),('javascript','class_declaration',false,true),
  ('javascript','method_definition',false,false),('javascript','interface_declaration',false,false),('javascript','export_statement',false,false),
  ('javascript','expression_statement',false,true))"""
+sql("fuzzy_vocabulary", """
+SELECT word, CASE WHEN word NOT IN (SELECT term FROM vocab) THEN
+       (SELECT min({'d': levenshtein(word, term), 't': term}) FROM vocab WHERE levenshtein(word, term) <= 2).t END AS suggestion
+FROM (SELECT DISTINCT unnest(string_split_regex(lower(line), '[^a-z]+')) AS word FROM lines WHERE line_no = 1) w
+WHERE length(word) > 2""",
+    "vocab AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part)")
+sql("config_layers", """
+SELECT n_name AS name, CAST(n_regionkey AS BIGINT) AS region, 'x' || n_nationkey || '|y' AS file_types,
+       s.n IS NULL AS auto, s.n AS suppliers,
+       CASE WHEN s.n IS NULL THEN '0,' || row_number() OVER (ORDER BY n_nationkey)
+            ELSE '1,' || 2 * row_number() OVER (PARTITION BY s.n IS NULL ORDER BY n_nationkey) END AS ord_path
+FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY ALL) s ON s_nationkey = n_nationkey
+QUALIFY n_name NOT IN ('NATION_1', 'NATION_2')""")
 sql("scannable_rules", f"""
 SELECT r.language, kind, is_ignorable, is_scope, CAST(count(*) AS BIGINT) AS n_files
 FROM corpus JOIN rules r ON r.language = {LANG} GROUP BY ALL""", RULES)
@@ -411,6 +424,16 @@ def _literal_sql() -> tuple[str, str]:
     return " UNION ALL ".join(decls), " UNION ALL ".join(lines)
 
 
+sql("symbol_rules", """
+SELECT path, start, CASE kind WHEN 'class_definition' THEN 'type' WHEN 'mod_item' THEN 'space' WHEN 'struct_item' THEN 'record'
+                              WHEN 'use_declaration' THEN 'import' END AS kind, role, name, level, scope_path
+FROM (SELECT path, CASE kind WHEN 'struct_item' THEN header ELSE start END AS start, kind, role, name, level, scope_path FROM decls
+      WHERE kind IN ('class_definition', 'mod_item', 'struct_item', 'use_declaration')) d
+UNION ALL
+SELECT path, header, 'callable', role, name, level, scope_path FROM decls WHERE kind = 'decorated_definition'
+UNION ALL
+SELECT path, header, 'anything', 'decl', 'static', level, replace(scope_path, 'anonymous', 'static') FROM decls
+WHERE kind = 'static_item'""", CODE + "," + DECLS)
 sql("symbol_languages", _literal_sql()[0], CODE)
 sql("annotate_languages", _literal_sql()[1], CODE)
 

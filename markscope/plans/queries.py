@@ -367,6 +367,46 @@ def q_overlay_merge(spark, sf):
                     F.col("ord").cast("bigint").alias("ord"))
 
 
+@query("fuzzy_vocabulary")
+def q_fuzzy_vocabulary(spark, sf):
+    """Words of the documents' first lines against the words of part names as a vocabulary table."""
+    from markscope.operators.suggest import suggest_terms
+    vocab = TB.table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("term")).distinct()
+    first = TB.lines(spark, sf).where("line_no = 1")
+    words = first.select(F.explode(F.split(F.lower("line"), "[^a-z]+")).alias("word")).where("length(word) > 2")
+    return suggest_terms(words, vocab, max_distance=2)
+
+
+def _layer_texts(spark, sf):
+    """Two settings files as text: a record per nation, and one per nation with suppliers."""
+    nat, sup = TB.table(spark, sf, "nation"), TB.table(spark, sf, "supplier")
+    base = nat.select(F.lit("base").alias("path"), F.col("n_nationkey").alias("k"), F.concat_ws(
+        "\n", F.lit("[[language]]"), F.format_string('name = "%s" # a name', "n_name"),
+        F.format_string("region = %d", F.col("n_regionkey").cast("long")),
+        F.format_string('file-types = ["x%d", \'y\']', F.col("n_nationkey").cast("long")), F.lit("auto = true")).alias("t"))
+    user = sup.groupBy("s_nationkey").count().join(nat, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.lit("user").alias("path"), F.col("n_nationkey").alias("k"), F.concat_ws(
+            "\n", F.lit("[[grammar]]"), F.lit('name = "none"'), F.lit("[[language]]"), F.format_string("name = '%s'", "n_name"),
+            F.format_string("suppliers = %d", "count"), F.lit("auto = false")).alias("t"))
+    both = base.unionByName(user)
+    return both.groupBy("path").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), "\n\n").alias("text"))
+
+
+@query("config_layers")
+def q_config_layers(spark, sf):
+    """Two loaded layers, merged, without some names."""
+    from markscope.operators.overlay import overlay_all
+    from markscope.operators.sections import load_sections
+    from markscope.operators.select import select_names
+    rows = load_sections(_layer_texts(spark, sf), "language", {
+        "name": "string", "region": "bigint", "file-types": "array<string>", "auto": "boolean", "suppliers": "bigint"})
+    merged = overlay_all([rows.where(F.col("path") == p).drop("path") for p in ("base", "user")])
+    kept = select_names(merged, ["NATION_1", "NATION_2"], "name", only=False)
+    return kept.select("name", "region", F.array_join("file-types", "|").alias("file_types"), "auto", "suppliers",
+                       F.array_join(F.transform("ord_path", lambda x: x.cast("string")), ",").alias("ord_path"))
+
+
 @query("scannable_rules")
 def q_scannable_rules(spark, sf):
     f = L.detect_language(_files(spark, sf))
@@ -458,6 +498,24 @@ def q_annotate_files(spark, sf):
     return A.annotate_files(_code(spark, sf))
 
 
+# A rule table of the user's own for the code corpus.
+OWN_RULES = [
+    ("python", 0, "class", "type", "scope", r"^\s*class\s+(\w+)", [1], ""),
+    ("python", 1, "def", "callable", "decl", r"^\s*def\s+(\w+)", [1], ""),
+    ("rust", 5, None, "anything", "decl", r"^\s*(?:pub\s+)?(struct|static)\s", [1], ""),
+    ("rust", 1, "mod", "space", "scope", r"^\s*mod\s+(\w+)", [1], ""),
+    ("rust", 2, "struct", "record", "decl", r"^\s*(?:pub\s+)?struct\s+(\w+)", [1], ""),
+    ("rust", 3, "use", "import", "ignorable", r"^\s*use\s", [], ""),
+]
+
+
+@query("symbol_rules")
+def q_symbol_rules(spark, sf):
+    from markscope.operators.outline import RULE_TABLE
+    s = symbols(_code(spark, sf), rules=spark.createDataFrame(OWN_RULES, RULE_TABLE))
+    return s.select("path", "start", "kind", "role", "name", "level", "scope_path")
+
+
 @query("symbol_languages")
 def q_symbol_languages(spark, sf):
     s = symbols(TB.code_files(spark, sf, TB.LITERAL_TEMPLATES))

@@ -130,3 +130,20 @@ def test_long_lines(spark):
     files = spark.createDataFrame([(p, g, t) for p, (g, t) in LONG.items()], "path string, language string, content string")
     names = {(r.path, r.name) for r in symbols(files).where("role = 'decl'").collect()}
     assert names >= {(p, "f") for p in LONG}
+
+
+def test_rule_table_equals_built_in_rules(spark):
+    """``symbols`` by the rule rows (roles from the symbol sets) gives what the built-in rules give."""
+    from markscope.operators.outline import decl_rules
+    langs = {"js": "javascript", "ts": "typescript", "rs": "rust", "rb": "ruby", "cpp": "cpp"}
+    more = {"x.rs": "use std::fmt;\npub(crate) mod m {\n    #[a]\n    pub unsafe fn f() {}\n    impl<T> A<T> for B {\n"
+                    "        fn g(&self) {}\n    }\n    static X: u8 = 1;\n    foo! { x }\n}\nmod n;\n",
+            "x.ts": "export class A {\n  m() {}\n}\nfoo(function () {\n});\nnamespace N {\n  class B {}\n}\n@dec\nclass C {\n  x() {\n  }\n}\n",
+            "x.cpp": "template <class T>\nT f(T x) {\n}\nint g();\nclass A : public B {\n  A() : x(1) {\n  }\n  bool operator==(A o) {\n  }\n};\n"}
+    files = spark.createDataFrame([(p, langs[p.split(".")[1]], t) for p, t in
+                                   [*((p, t) for p, (t, _) in HARD.items()), *more.items()]],
+                                  "path string, language string, content string")
+    cols = ["path", "start", "header", "kind", "role", "name", "level", "scope_path"]
+    one = sorted(map(str, symbols(files, keep_all=True).select(cols).collect()))
+    two = sorted(map(str, symbols(files, keep_all=True, rules=decl_rules(spark)).select(cols).collect()))
+    assert one == two and len(one) > 30
