@@ -9,7 +9,7 @@ one row, so it is not built.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,19 +84,19 @@ def _dir_headers(d: Column) -> Column:
     return hdr
 
 
-def _per_file(matches: DataFrame, path_col: str, line_no_col: str, line_col: str,
+def _per_line(matches: DataFrame, path_col: str, line_no_col: str, line_col: str,
               pos_col: str | None = None) -> DataFrame:
-    """One record per file with its matching lines: the single shuffle every
-    report part reads, so the search itself runs once per report."""
+    """Matching lines, ``it`` (line, content, position), with ``first`` / ``last`` telling the ends of a
+    file's lines: each line looks at its neighbours in the file, nothing is collected. This is the
+    single shuffle every report part reads, so the search itself runs once per report."""
     fields = [F.col(line_no_col).cast("bigint").alias("line"), F.col(line_col).alias("content")]
     if pos_col:
         fields.append(F.col(pos_col).alias("position"))
-    per_file = (matches.groupBy(directory(path_col).alias("directory"), F.col(path_col).alias("file"))
-                .agg(F.collect_list(F.struct(*fields)).alias("items")))
-    # Every record has an item; the filter keeps ``items`` referenced in all
-    # branches, so column pruning leaves their shuffles identical and Spark
-    # reuses one of them instead of searching again per branch.
-    return per_file.where(F.size("items") > 0)
+    lines = matches.select(directory(path_col).alias("directory"), F.col(path_col).alias("file"), F.struct(*fields).alias("it"))
+    w = Window.partitionBy("directory", "file").orderBy("it.line")
+    # the neighbours' whole items keep ``it`` referenced in all branches, so that column pruning
+    # leaves their shuffles identical and Spark reuses one of them
+    return lines.withColumn("first", F.lag("it").over(w).isNull()).withColumn("last", F.lead("it").over(w).isNull())
 
 
 def plain_report_rows(matches: DataFrame, path_col: str = "path", line_no_col: str = "line_no",
@@ -109,36 +109,43 @@ def plain_report_rows(matches: DataFrame, path_col: str = "path", line_no_col: s
     3 blank after a file, 9 total.  Sorting by
     ``(section = 9, directory, file, section, line, seq)`` gives the report.
     """
-    files = _per_file(matches, path_col, line_no_col, line_col)
+    lines = _per_line(matches, path_col, line_no_col, line_col)
     empty = F.lit(None).cast("string")
-    parts = []
+    row = "struct<section:int,line:bigint,seq:int,text:string>"
+
+    def one(section: int, line: Column, text: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), line.cast("bigint").alias("line"), F.lit(0).alias("seq"),
+                        text.alias("text")).cast(row)
+
+    zero, items = F.lit(0), []
+    if not hide_path:
+        items.append(F.when(F.col("first"), one(1, zero, last_two("file")[0])))
     if not list_files:
-        it = files.select("directory", "file", F.explode("items").alias("it"))
         content = F.col("it.content")
         if colorize_patterns:
             content = highlight(content, colorize_patterns)
-        parts.append(it.select("directory", "file", F.lit(2).alias("section"), F.col("it.line").alias("line"),
-                               F.lit(0).alias("seq"),
-                               F.concat(F.col("it.line").cast("string"), F.lit("    "), trim_start(content))
-                               .alias("text")))
+        items.append(one(2, F.col("it.line"), F.concat(F.col("it.line").cast("string"), F.lit("    "), trim_start(content))))
+        items.append(F.when(F.col("last"), one(3, zero, F.lit(""))))
+    columns = ["directory", "file", "section", "line", "seq", "text"]
+    parts = []
+    if items:
+        rows = F.filter(F.array(*items), lambda x: x.isNotNull())
+        parts.append(lines.select("directory", "file", F.explode(rows).alias("r")).select(
+            "directory", "file", "r.section", "r.line", "r.seq", "r.text"))
     if not hide_path:
-        dirs = files.select("directory").distinct()
+        dirs = lines.where("first").select("directory").distinct()
         parts.append(dirs.select("directory", empty.alias("file"), F.lit(0).alias("section"),
                                  F.lit(0).cast("bigint").alias("line"),
                                  F.posexplode(_dir_headers(F.col("directory"))).alias("seq", "text")))
-        parts.append(files.select("directory", "file", F.lit(1).alias("section"), F.lit(0).cast("bigint").alias("line"),
-                                  F.lit(0).alias("seq"), last_two("file")[0].alias("text")))
-    if not list_files:
-        parts.append(files.select("directory", "file", F.lit(3).alias("section"), F.lit(0).cast("bigint").alias("line"),
-                                  F.lit(0).alias("seq"), F.lit("").alias("text")))
-    total = files.agg(F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("n")).select(
+    # ``first`` is never NULL: this counts the lines and keeps the shared shuffle
+    total = lines.agg(F.count("first").alias("n")).select(
         empty.alias("directory"), empty.alias("file"), F.lit(9).alias("section"), F.lit(0).cast("bigint").alias("line"),
         F.posexplode(F.array(F.lit(""), F.concat(F.lit("Total "), F.col("n").cast("string"), F.lit(" lines found"))))
         .alias("seq", "text"))
     parts.append(total)
-    out = parts[0]
+    out = parts[0].select(columns)
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p.select(columns))
     return out.withColumn("seq", F.col("seq").cast("int"))
 
 
@@ -151,14 +158,13 @@ def write_plain_report(rows: DataFrame, out_path: str) -> None:
 def tree_report_rows(matches: DataFrame, path_col: str = "path", line_no_col: str = "line_no",
                      line_col: str = "line", pos_col: str = "position", indent: int = 4) -> DataFrame:
     """``dir`` header, then ``<indent>rel:line:pos0 - content`` per item."""
-    files = _per_file(matches, path_col, line_no_col, line_col, pos_col)
-    it = files.select("directory", "file", F.explode("items").alias("it"))
-    items = it.select("directory", "file", F.lit(1).alias("section"), F.col("it.line").alias("line"),
+    lines = _per_line(matches, path_col, line_no_col, line_col, pos_col)
+    items = lines.select("directory", "file", F.lit(1).alias("section"), F.col("it.line").alias("line"),
                       F.concat(F.lit(" " * indent), relative_display("directory", "file"), F.lit(":"),
                                F.col("it.line").cast("string"), F.lit(":"),
                                F.element_at("it.position", 1).cast("string"), F.lit(" - "),
                                trim_start("it.content")).alias("text"))
-    dirs = files.select("directory").distinct().select(
+    dirs = lines.where("first").select("directory").distinct().select(
         "directory", F.lit(None).cast("string").alias("file"), F.lit(0).alias("section"),
         F.lit(0).cast("bigint").alias("line"), F.col("directory").alias("text"))
     return dirs.unionByName(items)

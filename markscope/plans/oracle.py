@@ -84,6 +84,18 @@ sql("grep_multi", f"SELECT doc_id, line_no, {multi_pos('line', Q.MULTI)} AS pos
                   + " OR ".join(f"contains(line, {_q(p)})" for p in Q.MULTI))
 sql("grep_multi_ci", f"SELECT doc_id, line_no, {multi_pos('lower(line)', [p.lower() for p in Q.MULTI_CI])} AS pos "
                      "FROM lines WHERE " + " OR ".join(f"contains(lower(line), {_q(p.lower())})" for p in Q.MULTI_CI))
+sql("grep_pattern_table", """
+SELECT doc_id, line_no, array_to_string((list_reduce(list(o ORDER BY o), lambda acc, x: CASE WHEN x.s >= acc.last
+         THEN {'last': x.e, 'a': list_append(acc.a, x.s)} ELSE acc END,
+         {'last': CAST(0 AS BIGINT), 'a': CAST([] AS BIGINT[])})).a, ',') AS pos
+FROM (SELECT DISTINCT doc_id, line_no, {'e': CAST(strlen(substr(line, 1, i + length(p))) AS BIGINT),
+             'nn': -length(p), 's': CAST(strlen(substr(line, 1, i)) AS BIGINT)} AS o
+      FROM (SELECT doc_id, line_no, line, p FROM lines, pats WHERE contains(line, p)) h, unnest(range(0, length(line))) t(i)
+      WHERE substr(line, i + 1, length(p)) = p) occ
+GROUP BY doc_id, line_no""",
+    """pats AS (SELECT DISTINCT p FROM (SELECT unnest(string_split(p_name, ' ')) AS p FROM part UNION ALL
+              SELECT p FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS p FROM benchmark) b
+              WHERE length(p) > 5) u WHERE p <> '')""")
 sql("grep_regex_ci", f"SELECT doc_id, line_no, {regex_pos('line', '(?i)' + Q.REGEX_CI)} AS pos FROM lines "
                      f"WHERE regexp_matches(line, {_q('(?i)' + Q.REGEX_CI)})")
 sql("grep_regex", f"SELECT doc_id, line_no, {regex_pos('line', Q.REGEX)} AS pos FROM lines "

@@ -88,6 +88,17 @@ def q_grep_multi_ci(spark, sf):
     return _lines_grep(spark, sf, MULTI_CI, SearchOptions(ignore_case=True)).select("doc_id", "line_no", _pos())
 
 
+@query("grep_pattern_table")
+def q_grep_pattern_table(spark, sf):
+    """The words of part names and those of the benchmark's items as a table of patterns."""
+    from markscope.operators.pattern_table import grep_pattern_table
+    words = TB.table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("pattern")).unionByName(
+        TB.table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("pattern"))
+        .where("length(pattern) > 5"))
+    g = grep_pattern_table(TB.lines(spark, sf), words, ["doc_id", "line_no"])
+    return g.select("doc_id", "line_no", _pos())
+
+
 @query("grep_regex_ci")
 def q_grep_regex_ci(spark, sf):
     return _lines_grep(spark, sf, [REGEX_CI], SearchOptions(ignore_case=True, regex=True)) \

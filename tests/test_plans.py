@@ -7,7 +7,7 @@ import re
 from markscope.operators.annotate import annotate_files, write_annotated
 from markscope.operators.grep import grep_documents
 from markscope.operators.outline import symbols
-from markscope.operators.report import nested_report, plain_report_rows, write_plain_report, write_report_json
+from markscope.operators.report import nested_report, plain_report_rows, tree_report_rows, write_plain_report, write_report_json
 from markscope.session import checkpoint_dir
 from markscope.sources import tables as TB
 from conftest import SF_SMALL
@@ -68,4 +68,11 @@ def test_plain_report_searches_once(spark):
     rows.collect()
     plan = _plan(rows)
     final = plan.split("\n   Union")[0] if "isFinalPlan=true" in plan else plan
-    assert final.count("FileScan parquet") == 1 and final.count("ReusedExchange") >= 3
+    assert final.count("FileScan parquet") == 1 and final.count("ReusedExchange") >= 2
+
+
+def test_reports_collect_nothing_per_file(spark):
+    docs = TB.marked_documents(spark, SF_SMALL).withColumnRenamed("content", "text")
+    g = grep_documents(docs, None, keep=["path"])
+    for rows in (plain_report_rows(g), tree_report_rows(g)):
+        assert "collect_list" not in _plan(rows)
