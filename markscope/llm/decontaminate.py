@@ -75,14 +75,22 @@ def find_hits(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int = W
             .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "off")).alias("p"))
             .where("p.n > 0").selectExpr("p.key key", "p.off off", "len").distinct())
     prefix = scratch.save(rare, "prefixes")
-    places = rows.select("doc_id", "th", "w", F.posexplode("w").alias("pos", "word")).withColumn("key", F.lower("word"))
-    met = (places.join(_small(prefix), "key").withColumn("start", F.col("pos") - F.col("off"))
-           .where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.size("w")))
-           .select("doc_id", "th", "start",
-                   ascii_lower(F.array_join(F.slice("w", F.greatest(F.col("start") + 1, F.lit(1)), F.col("len")), " ")
-                               ).alias("win")))
+    # only places travel with the words; the windows that can stand there are cut from the words of
+    # the documents that have any, within each document's row
+    places = rows.select("doc_id", "th", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word")).select(
+        "doc_id", "th", "n", "pos", F.lower("word").alias("key"))
+    starts = (places.join(_small(prefix), "key").withColumn("start", F.col("pos") - F.col("off"))
+              .where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
+              .groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "len")).alias("starts")))
+    starts = scratch.save(starts, "starts")
+    some = keyed_filter(rows, starts, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+    both = some.join(starts.selectExpr("doc_id d", "th t", "starts"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+    cut = F.transform("starts", lambda x: F.struct(
+        x["start"].alias("start"), x["len"].alias("len"),
+        ascii_lower(F.array_join(F.slice("w", x["start"] + 1, x["len"]), " ")).alias("win")))
+    met = both.select("doc_id", "th", F.explode(cut).alias("x")).select("doc_id", "th", "x.*")
     known = scratch.save(wins.select("win", "len").distinct(), "distinct-windows")
-    hits = scratch.save(met.join(_small(known), "win").distinct(), "hits")
+    hits = scratch.save(met.join(_small(known), ["win", "len"]).distinct(), "hits")
     return hits, wins
 
 
