@@ -20,9 +20,16 @@ _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _SHIPPED = "_markscope_shipped"
 
 
+#: Size of one Arrow batch, where the session sets none: bounds what a task holds of long texts.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that tasks can
-    import it without it being installed there."""
+    import it without it being installed there; bound the size of Arrow batches."""
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, _SHIPPED, False):
         return

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +26,8 @@ def ascii_alnum_words(raw: bytes | None) -> list[bytes]:
 
 
 def bounded(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in batches of about ``limit`` bytes of ``text`` (one row at least)."""
+    """The rows of ``batches`` in batches of about ``limit`` bytes of ``text`` (one row at least).
+    After the last one, memory that the task's worker holds free goes back to the system."""
     for b in batches:
         sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()
         start = held = 0
@@ -36,6 +38,17 @@ def bounded(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYT
             held += n
         if start < b.num_rows:
             yield b.slice(start)
+    b = None
+    give_back()
+
+
+def give_back() -> None:
+    """Workers are kept for later tasks: what they hold free would add up over the stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
