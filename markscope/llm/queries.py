@@ -14,14 +14,18 @@ from markscope.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
 from markscope.llm.line_index import ORACLE as LINES_SQL
 from markscope.llm.resample import ORACLE as RESAMPLE_SQL
 
-#: Folder with the public tokenizers' files.
-TOKENIZERS = "/opt/tokenizers"
 
+def tokenizer_path(name: str) -> str:
+    """The file of a public tokenizer (the same path on all executors)."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
 
-def op1_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+
+def op1_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     from markscope.llm.token_files import read_tokens, write_tokens
     path = Scratch(spark, "op1").path("tokens")
-    write_tokens(table(spark, sf_dir, "documents"), path, f"{tokenizers}/byte_bpe_50k.json", end_id=0)
+    write_tokens(table(spark, sf_dir, "documents"), path,
+                 tokenizer or tokenizer_path("byte_bpe_50k.json"), end_id=0)
     return read_tokens(spark, path, with_ids=False)
 
 
@@ -31,9 +35,9 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_shingles", "component_id"))
 
 
-def op3_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     from markscope.llm.packing import pack_documents
-    return pack_documents(table(spark, sf_dir, "documents"), f"{tokenizers}/word_bpe_49k.json",
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer or tokenizer_path("word_bpe_49k.json"),
                           end_id=1, size=2048, with_ids=False)
 
 
