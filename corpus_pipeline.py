@@ -13,7 +13,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 
 from markscope.llm.common import Scratch, table
-from markscope.llm.queries import TOKENIZERS, learnable
+from markscope.llm.queries import learnable, tokenizer_path
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 2048 tokens: one row per piece."""
     from markscope.llm.packing import pack_documents
-    return pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1, size=2048, with_ids=False)
+    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, size=2048, with_ids=False)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages),
