@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 #: Elements that do not break a block.
@@ -16,10 +17,19 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: Elements that can stand in head; any other one ends it, as the end tag is optional.
 IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|"""
-    r"""<(script|style|noscript|template|textarea|iframe|svg)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\2\s*>|\Z)|"""
-    r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S | re.I)
+#: Elements whose content is not read as markup.
+RAW = frozenset("script style noscript template textarea iframe svg".split())
+#: Elements with optional end tags: what each one ends, and what it does not look beyond.
+_CELLS, _PARTS = frozenset(("td", "th")), frozenset(("thead", "tbody", "tfoot"))
+IMPLIED = {"li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
+           **dict.fromkeys(("dt", "dd"), (frozenset(("dt", "dd")), frozenset(("dl",)))),
+           **dict.fromkeys(_CELLS, (_CELLS, frozenset(("tr", "table")))), "tr": (frozenset(("tr",)), frozenset(("table",))),
+           **dict.fromkeys(_PARTS, (_PARTS, frozenset(("table",)))),
+           "option": (frozenset(("option",)), frozenset(("select", "optgroup", "datalist")))}
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("""[>"']""")
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
 
@@ -31,6 +41,62 @@ class Block:
     linked: int  # characters inside links
 
 
+class _Tags:
+    """The markup of a page, piece by piece: (start, end, end tag?, name, attributes, literal text).
+
+    A tag ends at the first ``>`` outside quotes. A search that finds none remembers where it has
+    been: a later one that comes to such a place ends there too, so all searches together
+    go over the page a few times at most."""
+
+    def __init__(self, page: str):
+        self.page, self.dead = page, set()
+        self.last = {q: page.rfind(q) for q in "\"'>"}
+
+    def end_of_tag(self, at: int) -> int:
+        """Where the tag whose attributes start at ``at`` ends, -1 if it does not."""
+        page, seen = self.page, []
+        while at <= self.last[">"] and (m := _STOP.search(page, at)):
+            if m.start() in self.dead:
+                break
+            seen.append(m.start())
+            at = m.end()
+            if m[0] == ">":
+                return at
+            if m.start() < self.last[m[0]]:  # a quote that is never closed is like any other character
+                at = page.index(m[0], at) + 1
+        self.dead.update(seen)
+        return -1
+
+    def __iter__(self):
+        page, at = self.page, self.page.find("<")
+        while at >= 0:
+            start, end, literal, tag = at, -1, None, None
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4) + 3
+                end = end if end > 2 else len(page)
+            elif page.startswith("<![CDATA[", at):
+                close = page.find("]]>", at)
+                literal, end = (page[at + 9:], len(page)) if close < 0 else (page[at + 9:close], close + 3)
+            elif page[at + 1:at + 2] in ("!", "?"):
+                end = page.find(">", at) + 1 if at < self.last[">"] else -1
+            elif tag := _TAG.match(page, at):
+                end = self.end_of_tag(tag.end())
+            if end <= 0:
+                at = page.find("<", at + 1)  # the sign itself
+                continue
+            if tag is None:
+                yield start, end, False, None, "", literal
+            else:
+                name, attributes = tag[2].lower(), page[tag.end():end - 1]
+                if name in RAW and not tag[1]:
+                    raw = _RAW_END[name].search(page, end)
+                    yield start, raw.end() if raw else len(page), False, None, "", None
+                    end = raw.end() if raw else len(page)
+                else:
+                    yield start, end, bool(tag[1]), name, attributes, None
+            at = page.find("<", end)
+
+
 def page_blocks(page: str | None) -> list[Block]:
     """The page's blocks in order; runs of text between tags that break a block."""
     out: list[Block] = []
@@ -52,35 +118,49 @@ def page_blocks(page: str | None) -> list[Block]:
             if state[1]:
                 state[2] += len(raw)
 
+    open_tags: Counter[str] = Counter()
+
     def pop() -> str:
         tag = stack.pop()[0]
+        open_tags[tag] -= 1
         state[0] -= tag in HIDDEN
         state[1] -= tag == "a"
         return tag
 
+    def end_implied(ends: frozenset[str], stops: frozenset[str]) -> None:
+        if any(open_tags[t] for t in ends):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in ends:
+                    while len(stack) > i:
+                        pop()
+                    return
+                if stack[i][0] in stops:
+                    return
+
     page = page or ""
     at = 0
-    for m in _TOKEN.finditer(page):
-        add(page[at:m.start()])
-        at = m.end()
-        if m[1] is not None:
-            add(html.escape(m[1]))
+    for start, end, closing, tag, attributes, literal in _Tags(page):
+        add(page[at:start])
+        at = end
+        if literal is not None:
+            add(html.escape(literal))
             continue
-        if not m[4]:
+        if tag is None:
             continue
-        tag = m[4].lower()
         if tag not in INLINE:
             close()
-        if m[3]:
-            if any(t == tag for t, _ in stack):
+        if closing:
+            if open_tags[tag]:
                 while pop() != tag:
                     pass
             continue
-        if tag not in IN_HEAD and stack and any(t == "head" for t, _ in stack) and not any(
-                t in ("title", "template", "noscript") for t, _ in stack):
+        if tag not in IN_HEAD and open_tags["head"] and not (open_tags["title"] or open_tags["template"]
+                                                             or open_tags["noscript"]):
             while pop() != "head":
                 pass
-        if tag == "p" and stack and any(t == "p" for t, _ in stack):
+        if tag in IMPLIED:
+            end_implied(*IMPLIED[tag])
+        if tag == "p" and open_tags["p"]:
             # a paragraph ends the one before it, unless a container stands between
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
@@ -89,12 +169,13 @@ def page_blocks(page: str | None) -> list[Block]:
                     break
                 if stack[i][0] not in INLINE:
                     break
-        if tag in VOID or m[5].rstrip().endswith("/"):
+        if tag in VOID:
             continue
         names = [tag]
-        for _, a, b, c in _ATTR.findall(m[5]):
+        for _, a, b, c in _ATTR.findall(attributes):
             names += ["." + w for w in _NAME.findall((a or b or c).lower())]
         stack.append((tag, tuple(names)))
+        open_tags[tag] += 1
         state[0] += tag in HIDDEN
         state[1] += tag == "a"
     add(page[at:])

@@ -2,8 +2,8 @@
 
 Each word gets a language by forward-backward; a text's language is the one with the
 largest share of its words' probability. The model is trained on the driver from at most
-SAMPLE_DOCS labelled documents (by a hash of their text; the documented bound of the
-fit), whole texts; every document is then labelled in whole where it lives.
+SAMPLE_DOCS labelled documents (by a hash of their text, shared out evenly over the languages; the
+documented bound of the fit), whole texts; every document is then labelled in whole where it lives.
 
 Results by case: null text or text without a letter is ``und`` with score 0; empty, very
 long and repeated texts need no special case; without any labelled document everything is
@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import functions as F
 
 from markscope.llm import crf
-from markscope.llm.common import sampled_texts, ship
+from markscope.llm.common import ship
 
 #: Documents that the model is fitted on, at most.
 SAMPLE_DOCS = 600
@@ -31,9 +32,29 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (_ASCII_LETTER.search(text) is not None or any(c.isalpha() for c in text))
 
 
+def per_language(rows: DataFrame, sample: int) -> list[Row]:
+    """(text, lang) of at most ``sample`` distinct rows, the same number of each language where it has
+    so many (with more languages than that, the most frequent ones). Texts are chosen by their
+    hash; per language little more than its share of hashes is sorted."""
+    hashed = rows.select("text", "lang", F.xxhash64("text").alias("__th"))
+    sizes = (hashed.groupBy("lang").agg(F.approx_count_distinct("__th", 0.02).alias("n"))
+             .orderBy(F.desc("n"), "lang").limit(sample).collect())
+    if not sizes:
+        return []
+    share = max(1, sample // len(sizes))
+    bounds = [(r["lang"], 2 ** 63 - 1 if r["n"] <= 2 * share else int(-2 ** 63 + 2 ** 64 * 1.5 * share / r["n"])) for r in sizes]
+    limits = F.broadcast(rows.sparkSession.createDataFrame(bounds, "lang string, bound long"))  # at most ``sample`` rows
+    near = hashed.select("lang", "__th").join(limits, "lang").where("__th <= bound").select("lang", "__th").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("__th"))
+    keys = near.withColumn("i", rank).where(F.col("i") <= share).select("lang", "__th").collect()
+    chosen = F.broadcast(rows.sparkSession.createDataFrame(keys, "lang string, __th long"))
+    found = hashed.join(chosen, ["lang", "__th"], "left_semi").dropDuplicates(["lang", "__th"])
+    return found.orderBy("__th", "lang").select("text", "lang").collect()
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[crf.Crf, list[str]]:
     """Model and its languages from labelled documents (text, lang)."""
-    rows = sampled_texts(labelled.where("text IS NOT NULL AND lang IS NOT NULL"), sample, "text", ["lang"])
+    rows = per_language(labelled.where("text IS NOT NULL AND lang IS NOT NULL"), sample)
     langs = sorted({r["lang"] for r in rows})
     vocabulary, texts = crf.coded([r["text"] for r in rows])
     gold = [np.full(len(w), langs.index(r["lang"]), np.int32) for w, r in zip(texts, rows)]

@@ -123,3 +123,22 @@ def keep_one_per_component(docs: DataFrame, k: int = 5, threshold: Fraction = Fr
     once = keyed_filter(kept, again, ["__ms_id", "__ms_th"], "left_anti")
     first = keyed_filter(kept, again, ["__ms_id", "__ms_th"], "left_semi").dropDuplicates(["__ms_id", "__ms_th"])
     return once.unionByName(first).drop("__ms_id", "__ms_th")
+
+
+#: DuckDB SQL of the contract (k = 3, 90 in 100).
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+         FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+sized AS (SELECT * FROM sets JOIN sizes USING (doc_id)),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM sized a JOIN sized b USING (g)
+          WHERE a.doc_id < b.doc_id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, y FROM reached r JOIN both_ways ON x = r.other),
+lowest AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM d LEFT JOIN sizes USING (doc_id) JOIN lowest ON id = doc_id
+"""

@@ -12,7 +12,9 @@ from markscope.llm.collocations import ORACLE as COLLOCATIONS_SQL
 from markscope.llm.common import Scratch, table
 from markscope.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
 from markscope.llm.line_index import ORACLE as LINES_SQL
+from markscope.llm.ngram_join import ORACLE as NGRAM_SQL
 from markscope.llm.resample import ORACLE as RESAMPLE_SQL
+from markscope.llm.topk import ORACLE as TOPK_SQL
 
 
 def tokenizer_path(name: str) -> str:
@@ -129,6 +131,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_resample": op13_resample,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_decontaminate": DECONTAMINATE_SQL, "op11_collocations": COLLOCATIONS_SQL,
-                             "op12_line_dedup": LINES_SQL,
-                             "op13_resample": RESAMPLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": NGRAM_SQL,
+    "op6_topk": TOPK_SQL,
+    "op9_decontaminate": DECONTAMINATE_SQL,
+    "op11_collocations": COLLOCATIONS_SQL,
+    "op12_line_dedup": LINES_SQL,
+    "op13_resample": RESAMPLE_SQL,
+}

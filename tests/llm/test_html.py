@@ -25,6 +25,28 @@ def test_head_without_end_tag(page, want):
     assert [b.text for b in page_blocks(page)] == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<ul><li>a<li>b<ul><li>c</ul>d<li>e</ul>f", [("a", 2), ("b", 2), ("c", 4), ("d", 2), ("e", 2), ("f", 0)]),
+    ("<table><tr class=ad><td>x<td>y<tr><td>z</table>", [("x", 4), ("y", 4), ("z", 3)]),
+    ("<dl><dt>a<dd>b<dt>c</dl>", [("a", 2), ("b", 2), ("c", 2)]),
+    ("<a href=http://x/>link</a> t", [("link t", 0)]), ("<div/>a</div>b", [("a", 1), ("b", 0)]),
+    ("a < b <3 <p>c <", [("a < b <3", 0), ("c <", 1)]), ("<p title=\"a>b\">c", [("c", 1)]),
+    # a quote that is never closed is no quote
+    ("<p title='x>y", [("y", 1)]), ("<p>a<b title=\"x>y</b>z", [("ayz", 1)]),
+])
+def test_implied_ends_and_broken_tags(page, want):
+    got = [(b.text, len(b.path)) for b in page_blocks(page)]
+    assert got == want
+
+
+def test_time_in_proportion():
+    import time
+    for unit in ("<li>x", "<a title=\"x ", "<a '\"", "<!x ", "<", "<p class='", "<td>x", "</a", "<a b='\" c=\"'", "&#"):
+        start = time.process_time()
+        page_blocks(unit * 100_000)
+        assert time.process_time() - start < 20, unit
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     model = fit(pages)
@@ -41,3 +63,16 @@ def test_pages(spark):
     assert extract(odd.where("false"), model, ["page_id"]).count() == 0
     untrained = extract(odd, fit(odd.where("false")), ["page_id"])
     assert untrained.count() == 6
+
+
+def test_articles_of_all_pages(spark):
+    """Against the blocks inside ``article``; the names in the markup do not decide."""
+    from pyspark.sql import functions as F
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet")
+    model = fit(pages)
+    want = {r.page_id: " ".join(b.text for b in page_blocks(r.html) if "article" in b.path) for r in pages.collect()}
+    got = {r.page_id: r.text for r in extract(pages, model, ["page_id"]).collect()}
+    assert len(got) == len(want) and sum(got[i] == t for i, t in want.items()) >= 0.98 * len(want)
+    bare = pages.withColumn("html", F.regexp_replace("html", """\\s(?:class|id|role)\\s*=\\s*("[^"]*"|'[^']*'|[^\\s"'>]+)""", ""))
+    got = {r.page_id: r.text for r in extract(bare, model, ["page_id"]).collect()}
+    assert sum(got[i] == t for i, t in want.items()) >= 0.98 * len(want)

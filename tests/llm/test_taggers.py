@@ -122,3 +122,14 @@ def test_toxicity_fit_uses_rare_labels_and_all_sampled_texts(spark, docs_of, mon
     some = [(i, f"word {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} {'foul' if i % 2 else 'fine'} here") for i in range(100)]
     fit(docs_of(some), spark.createDataFrame([(i, i % 2) for i, _ in some], "doc_id long, toxic int"), 6)
     assert used[2][0] == 4 and used[2][1] == 2
+
+
+def test_rare_languages_are_learned(spark):
+    """One text in a thousand is in a second language: it takes part in the fit."""
+    from markscope.llm.langid import per_language
+    rows = [(f"the river rose number {i}", "en") for i in range(3000)] + [(f"der fluss stieg {i}", "de") for i in range(3)]
+    df = spark.createDataFrame(rows + rows[:50], "text string, lang string")
+    got = per_language(df, 60)
+    langs = [r["lang"] for r in got]
+    assert langs.count("de") == 3 and langs.count("en") == 30 and len({r["text"] for r in got}) == len(got)
+    assert per_language(df, 60) == got and per_language(df.where("false"), 60) == []
