@@ -87,7 +87,7 @@ def _dir_headers(d: Column) -> Column:
 def _per_line(matches: DataFrame, path_col: str, line_no_col: str, line_col: str,
               pos_col: str | None = None) -> DataFrame:
     """Matching lines, ``it`` (line, content, position), with ``first`` / ``last`` telling the ends of a
-    file's lines: each line looks at its neighbours in the file, nothing is collected. This is the
+    file's lines and ``no`` their number in the file: each line looks at its neighbours in the file, nothing is collected. This is the
     single shuffle every report part reads, so the search itself runs once per report."""
     fields = [F.col(line_no_col).cast("bigint").alias("line"), F.col(line_col).alias("content")]
     if pos_col:
@@ -96,7 +96,8 @@ def _per_line(matches: DataFrame, path_col: str, line_no_col: str, line_col: str
     w = Window.partitionBy("directory", "file").orderBy("it.line")
     # the neighbours' whole items keep ``it`` referenced in all branches, so that column pruning
     # leaves their shuffles identical and Spark reuses one of them
-    return lines.withColumn("first", F.lag("it").over(w).isNull()).withColumn("last", F.lead("it").over(w).isNull())
+    return (lines.withColumn("first", F.lag("it").over(w).isNull()).withColumn("last", F.lead("it").over(w).isNull())
+            .withColumn("no", F.row_number().over(w).cast("bigint")))
 
 
 def plain_report_rows(matches: DataFrame, path_col: str = "path", line_no_col: str = "line_no",
@@ -137,8 +138,8 @@ def plain_report_rows(matches: DataFrame, path_col: str = "path", line_no_col: s
         parts.append(dirs.select("directory", empty.alias("file"), F.lit(0).alias("section"),
                                  F.lit(0).cast("bigint").alias("line"),
                                  F.posexplode(_dir_headers(F.col("directory"))).alias("seq", "text")))
-    # ``first`` is never NULL: this counts the lines and keeps the shared shuffle
-    total = lines.agg(F.count("first").alias("n")).select(
+    # each file's last line has the number of its lines; a plain count would search again
+    total = lines.where("last").agg(F.coalesce(F.sum("no"), F.lit(0)).alias("n")).select(
         empty.alias("directory"), empty.alias("file"), F.lit(9).alias("section"), F.lit(0).cast("bigint").alias("line"),
         F.posexplode(F.array(F.lit(""), F.concat(F.lit("Total "), F.col("n").cast("string"), F.lit(" lines found"))))
         .alias("seq", "text"))
