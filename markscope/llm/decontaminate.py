@@ -83,11 +83,16 @@ def find_hits(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int = W
               .where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
               .groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "len")).alias("starts")))
     starts = scratch.save(starts, "starts")
-    some = keyed_filter(rows, starts, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
-    both = some.join(starts.selectExpr("doc_id d", "th t", "starts"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-    cut = F.transform("starts", lambda x: F.struct(
+    # the list of places is broadcast if its counted entries are few; only then no text moves
+    entries = starts.agg(F.sum(F.size("starts") + 2)).first()[0] or 0
+    at = starts.selectExpr("doc_id d", "th t", "starts")
+    at = F.broadcast(at) if entries <= BROADCAST_ROWS else at
+    both = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(
+        at, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+    # a document's words are cut once, then its windows
+    cut = F.transform(F.array(words(F.col("text"))), lambda w: F.transform("starts", lambda x: F.struct(
         x["start"].alias("start"), x["len"].alias("len"),
-        ascii_lower(F.array_join(F.slice("w", x["start"] + 1, x["len"]), " ")).alias("win")))
+        ascii_lower(F.array_join(F.slice(w, x["start"] + 1, x["len"]), " ")).alias("win"))))[0]
     met = both.select("doc_id", "th", F.explode(cut).alias("x")).select("doc_id", "th", "x.*")
     known = scratch.save(wins.select("win", "len").distinct(), "distinct-windows")
     hits = scratch.save(met.join(_small(known), ["win", "len"]).distinct(), "hits")
