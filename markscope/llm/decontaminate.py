@@ -83,10 +83,8 @@ def find_hits(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int = W
               .where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
               .groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "len")).alias("starts")))
     starts = scratch.save(starts, "starts")
-    # the list of places is broadcast if its counted entries are few; only then no text moves
-    entries = starts.agg(F.sum(F.size("starts") + 2)).first()[0] or 0
-    at = starts.selectExpr("doc_id d", "th t", "starts")
-    at = F.broadcast(at) if entries <= BROADCAST_ROWS else at
+    # always by shuffle: a broadcast below some size would make the work jump as a corpus grows
+    at = starts.selectExpr("doc_id d", "th t", "starts").hint("merge")
     both = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(
         at, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
     # a document's words are cut once, then its windows
