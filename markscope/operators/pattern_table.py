@@ -2,12 +2,15 @@
 
 Every pattern is indexed by one of its character n-grams (three characters; shorter patterns by
 themselves): the one that stands least often in the lines, counted for the patterns' n-grams
-alone. Lines send their n-grams with their places; an equi join finds the only place where a
-pattern could stand around its n-gram, the text there is compared, and the occurrences of a line
-are chosen greedily from left to right (the one that ends first, the longest on ties), as P4 does.
-So the work follows the n-grams of the lines and the candidates, not lines times patterns.
-
-A line is known by its key columns; neither the line nor the patterns travel with the n-grams.
+alone. Lines are cut into windows of bounded length (overlapping by the longest pattern) that meet
+the index by an equi join on their n-grams: it names the only place where a pattern could stand
+around its n-gram, and the text there is compared at once. The occurrences of a line are then chosen
+greedily from left to right (the one that ends first, the longest on ties), as P4 does. So the
+work follows the n-grams of the lines and the candidates, not lines times patterns.
+
+A line is known by its key columns and a hash of its text. With an index that can be broadcast only
+occurrences are shuffled, and beside them the keys of the lines: no text, and no candidate that
+fails. A larger index meets the n-grams without their windows, which its candidates look up.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from markscope.functions.positions import folded, let
 from markscope.session import broadcast_if_small
 
 GRAM = 3
+#: Characters of a window (at least the longest pattern's length): bounds the work for one place.
+WINDOW = 128
 
 
 def _chars(text: Column) -> Column:
@@ -35,11 +40,35 @@ def _grams(text: Column, n: int) -> Column:
     return F.when(F.length(text) < n, none).when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), by_chars).otherwise(one_pass)
 
 
-def _line_grams(lines: DataFrame, key: list[str], sizes: list[int]) -> DataFrame:
-    """key, at, gram for n-grams of the given sizes."""
+def _pieces(text: Column, step: int, width: int) -> Column:
+    """The ``width`` characters (fewer at the end) from every ``step``-th character on; width >= step.
+    One regex pass; texts with characters of two UTF-16 units are cut by characters."""
+    one_pass = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{width}}})).{{1,{step}}}"), 1)
+    by_chars = let(_chars(text), lambda c: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(c) - 1) / step).cast("int")),
+        lambda i: F.array_join(F.slice(c, i * step + 1, width), "")))
+    return F.when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), by_chars).otherwise(one_pass)
+
+
+def _windows(lines: DataFrame, key: list[str], step: int, longest: int) -> DataFrame:
+    """key, _window (its number; it begins at character ``step`` times that), _text, _byte (where
+    it begins): an occurrence of a pattern lies whole in the window where it begins."""
+    text = F.col("_text")
+    begins = folded(_pieces(text, step, step), F.lit(0).cast("bigint"), lambda o, c: o + F.octet_length(c), lambda o, c: o)
+    cut = let(begins, lambda b: F.transform(_pieces(text, step, step + longest - 1), lambda w, i: F.struct(
+        w.alias("_text"), F.get(b, i).alias("_byte"))))
+    whole = F.array(F.struct(text.alias("_text"), F.lit(0).cast("bigint").alias("_byte")))
+    own = lines.select(*key, F.when(F.length(text) <= step, whole).otherwise(cut).alias("_w"))
+    return own.select(*key, F.posexplode("_w").alias("_window", "_w")).select(*key, "_window", "_w.*")
+
+
+def _window_grams(windows: DataFrame, keep: list[str], sizes: list[int]) -> DataFrame:
+    """``keep`` columns, at (its place in the window), gram for n-grams of the given sizes."""
     out = None
     for n in sizes:
-        own = lines.select(*key, F.posexplode(_grams(F.col("_text"), n)).alias("at", "gram"))
+        own = (windows.where(F.length("_text") >= n)
+               .select("*", F.explode(F.sequence(F.lit(0), F.length("_text") - n)).alias("at"))
+               .select(*keep, "at", F.substring("_text", F.col("at") + 1, F.lit(n)).alias("gram")))
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -54,17 +83,19 @@ def pattern_index(lines: DataFrame, patterns: DataFrame, sizes: list[int]) -> Da
             "pattern", "n", F.posexplode(_grams(F.col("pattern"), n)).alias("at", "gram"))
         grams = own if grams is None else grams.unionByName(own)
     wanted = broadcast_if_small(grams.select("gram").distinct())
-    seen = _line_grams(lines, [], sizes).join(wanted, "gram").groupBy("gram").agg(F.count("*").alias("_k"))
+    once = _window_grams(_windows(lines, [], WINDOW, GRAM), [], sizes).where(F.col("at") < WINDOW)
+    seen = once.join(wanted, "gram").groupBy("gram").agg(F.count("*").alias("_k"))
     best = F.min(F.struct(F.coalesce("_k", F.lit(0)).alias("k"), "gram", "at"))
     return (grams.join(seen, "gram", "left").groupBy("pattern", "n").agg(best.alias("b"))
             .where("b.k > 0")  # an n-gram that no line has: the pattern occurs nowhere
             .select("pattern", "n", F.col("b.gram").alias("gram"), F.col("b.at").alias("off")))
 
 
-def _sizes(patterns: DataFrame) -> list[int]:
-    """The sizes of n-grams that the patterns need: at most GRAM numbers."""
-    got = patterns.where("pattern <> ''").agg(F.collect_set(F.least(F.length("pattern"), F.lit(GRAM))).alias("s")).first().s
-    return sorted(got) or [GRAM]
+def _sizes(patterns: DataFrame) -> tuple[list[int], int]:
+    """The sizes of n-grams that the patterns need (at most GRAM numbers), and the longest pattern's length."""
+    got = patterns.where("pattern <> ''").agg(
+        F.collect_set(F.least(F.length("pattern"), F.lit(GRAM))).alias("s"), F.max(F.length("pattern")).alias("n")).first()
+    return sorted(got.s) or [GRAM], got.n or 1
 
 
 def grep_pattern_table(lines: DataFrame, patterns: DataFrame, key: list[str], line_col: str = "line",
@@ -73,24 +104,25 @@ def grep_pattern_table(lines: DataFrame, patterns: DataFrame, key: list[str], li
     line when ignoring case). ``key`` names the columns that tell lines apart; patterns that are
     NULL or empty match nothing."""
     fold = F.lower if ignore_case else (lambda c: c)
-    ln = lines.withColumn("_text", fold(F.col(line_col)))
+    ln = lines.withColumn("_text", fold(F.col(line_col))).withColumn("_hash", F.xxhash64("_text"))
     table = patterns.select(fold(F.col(pattern_col)).alias("pattern"))
-    sizes = _sizes(table)
+    sizes, longest = _sizes(table)
+    own, step = [*key, "_hash"], max(WINDOW, longest)
     index = pattern_index(ln, table, sizes)
-    places = _line_grams(ln, key, sizes)
-    near = (places.join(broadcast_if_small(index), "gram").where(F.col("at") >= F.col("off"))
-            .groupBy(*key).agg(F.collect_set(F.struct((F.col("at") - F.col("off")).alias("s"), "n", "pattern")).alias("_near")))
-    hit = ln.join(near, key)
-    # ``let``: the characters are cut once, not once for each candidate
-    found = let(_chars(F.col("_text")), lambda c: F.transform(
-        F.filter("_near", lambda x: F.array_join(F.slice(c, x["s"] + 1, x["n"]), "") == x["pattern"]),
-        lambda x: F.struct((x["s"] + x["n"]).alias("e"), (-x["n"]).alias("nn"), x["s"].alias("s"))))
-    chosen = folded(F.array_sort(found), F.lit(0).cast("bigint"),
-                    lambda last, x: F.when(x["s"] >= last, x["e"].cast("bigint")).otherwise(last),
-                    lambda last, x: F.when(x["s"] >= last, x["s"].cast("bigint")))
-    hit = hit.withColumn("_chosen", chosen).where(F.size("_chosen") > 0)
-    # byte offset at which each character starts
-    begins = folded(_chars(F.col("_text")), F.lit(0).cast("bigint"), lambda o, c: o + F.octet_length(c), lambda o, c: o)
-    hit = hit.withColumn(pos_col, let(begins, lambda b: F.transform(
-        "_chosen", lambda s: F.element_at(b, (s + 1).cast("int")))))
-    return hit.select(*lines.columns, pos_col)
+    few = broadcast_if_small(index)
+    windows = _windows(ln, own, step, longest)
+    if few is not index:  # broadcast: the window is at hand where its n-grams meet the index
+        met = _window_grams(windows, [*own, "_window", "_text", "_byte"], sizes).join(few, "gram")
+    else:
+        met = _window_grams(windows, [*own, "_window"], sizes).join(index, "gram").join(
+            windows.dropDuplicates([*own, "_window"]), [*own, "_window"])
+    s = F.col("at") - F.col("off")
+    met = met.where((s >= 0) & (s < step) & (F.substring("_text", s + 1, F.col("n")) == F.col("pattern")))
+    found = met.select(*own, F.struct(
+        (F.col("_window").cast("bigint") * step + s + F.col("n")).alias("e"), (-F.col("n")).alias("nn"),
+        (F.col("_byte") + F.octet_length(F.substring("_text", F.lit(1), s))).alias("b")).alias("_o"))
+    hits = found.groupBy(*own).agg(F.collect_set("_o").alias("_o"))
+    chosen = folded(F.array_sort("_o"), F.lit(0).cast("bigint"),
+                    lambda last, x: F.when(x["e"] + x["nn"] >= last, x["e"]).otherwise(last),
+                    lambda last, x: F.when(x["e"] + x["nn"] >= last, x["b"]))
+    return ln.join(hits.select(*own, chosen.alias(pos_col)), own).select(*lines.columns, pos_col)

@@ -41,3 +41,31 @@ def test_ten_thousand_patterns(spark):
     for i, pos in rows.items():
         first = [2] if i * 7 < 10000 else []
         assert pos == first + [len(f"a k{i * 7}- b ")]
+
+
+def test_windows_and_repeated_keys(spark, monkeypatch):
+    """Matches across window edges, patterns longer than a window, keys that several lines have."""
+    from markscope.operators import pattern_table
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abé😀") for _ in range(n))
+    rows = [(i // 3, 0, text(r.choice([3, 300, 511, 512, 513, 1400]))) for i in range(24)]
+    rows += [(1, 0, rows[3][2]), (None, 0, "ab" * 10), (9, 0, "ab" * 700)]
+    patterns = [text(n) for n in (1, 3, 5, 6)] + [rows[i][2][at:at + n] for i, at, n in ((24, 200, 40), (26, 250, 300))] + [
+        t[250:280] for _, _, t in rows if len(t) > 280]
+    lines = spark.createDataFrame(rows, "doc int, no int, line string")
+    table = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    want = sorted((d, n, t, pos) for d, n, t in rows if d is not None and (pos := chosen(t, set(patterns) - {""})))
+    for rows_broadcast in (200_000, 0):  # the index broadcast, and joined by shuffle
+        monkeypatch.setattr(pattern_table, "broadcast_if_small", lambda df: F.broadcast(df) if rows_broadcast else df)
+        got = sorted(tuple(x) for x in grep_pattern_table(lines, table, ["doc", "no"]).collect())
+        assert got == want
+
+
+def test_no_text_is_shuffled(spark, capsys):
+    """Only occurrences and the keys of the lines travel, neither their text nor candidates."""
+    lines = spark.createDataFrame([(1, "a key1"), (2, "a key3")], "id long, line string")
+    table = spark.createDataFrame([("key1",), ("key2",)], "pattern string")
+    grep_pattern_table(lines, table, ["id"]).select("id", "position").explain("formatted")
+    nodes = capsys.readouterr().out.split("\n\n")
+    sent = [n for n in nodes if ") Exchange" in n and "id#" in n]
+    assert sent and not any(c in n for n in sent for c in ("_text#", "line#", "_near#", "pattern#"))
