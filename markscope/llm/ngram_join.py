@@ -4,7 +4,9 @@
    meeting by chance is the only inexactness). Texts with the same set are one class.
 2. A set that can have a partner shares nearly all of its tokens. Over extended prefixes
    in hash order (``misses + l`` tokens, of which a linked pair shares ``l``), classes with
-   too few shared tokens are set aside; this needs one count per token, no pairs.
+   too few shared tokens are set aside; this needs one count per token, no pairs. It is done
+   again among the classes left: tokens shared by chance with a class set aside count no more,
+   while both sets of a linked pair stay in every round.
 3. The remaining classes, a small part of a corpus, are read again in full and go through
    the rarity-ordered grouped prefix join of ``setjoin``.
 
@@ -31,6 +33,10 @@ from markscope.llm.shingles import shingle_sets
 from markscope.llm.slabs import bounded
 
 
+#: How often classes with too few shared tokens are set aside.
+ROUNDS = 3
+
+
 def _miss(n: int, t: Fraction) -> int:
     return n - -(-n * t.numerator // t.denominator)
 
@@ -79,12 +85,15 @@ def ngram_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction
              F.first("n").alias("n"), F.first("need").alias("need"), F.first("toks").alias("toks"))
         .withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    # classes that share enough of their extended prefix with others
-    post = classes.select("cid", "need", F.explode("toks").alias("t"))
-    shared = post.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t")
-    some = scratch.save(
-        post.join(shared, "t", "left_semi").groupBy("cid", "need").agg(F.count("*").alias("k"))
-        .where("k >= need").select("cid"), "may-link")
+    # classes that share enough of their extended prefix with others; then with others of these
+    left = classes.select("cid", "need", "toks")
+    for _ in range(ROUNDS):
+        post = left.select("cid", "need", F.explode("toks").alias("t"))
+        shared = post.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t")
+        some = scratch.save(
+            post.join(shared, "t", "left_semi").groupBy("cid", "need").agg(F.count("*").alias("k"))
+            .where("k >= need").select("cid"), "may-link")
+        left = keyed_filter(classes.select("cid", "need", "toks"), some, ["cid"], "left_semi")
     chosen = scratch.save(
         keyed_filter(classes.select("cid", "fp", "rep"), some, ["cid"], "left_semi")
         .select("cid", "fp", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")), "chosen")
