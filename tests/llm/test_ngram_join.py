@@ -135,3 +135,19 @@ def test_keep_one_row_of_repeated_rows(spark, docs_of):
         assert kept.columns == docs.columns
         assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
             [(None, "a text without any id"), (1, "one two three four"), (3, "stands alone in here"), (4, ""), (4, "")], key=str)
+
+
+def test_tokens_shared_with_classes_set_aside_do_not_count(spark, docs_of, monkeypatch):
+    """A text whose shingles stand one each in unlike texts is not read again; linked ones are."""
+    from markscope.llm import ngram_join
+    words = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join(words))]
+    # every shingle of document 1 also stands in a text of its own words
+    rows += [(10 + i, " ".join([f"a{i}x{j}" for j in range(40)] + words[i:i + 3])) for i in range(28)]
+    rows += [(100, " ".join(f"c{j}" for j in range(60))), (101, " ".join([f"c{j}" for j in range(59)] + ["z"]))]
+    seen = []
+    real = ngram_join.linked_components
+    monkeypatch.setattr(ngram_join, "linked_components", lambda sets, *a: seen.append(sets.count()) or real(sets, *a))
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs_of(rows)).collect()}
+    assert got == {i: 100 if i == 101 else i for i, _ in rows}
+    assert seen == [2]
