@@ -42,6 +42,22 @@ def bounded(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYT
     give_back()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, small batches joined until they hold ``limit`` bytes of
+    ``text``: for work with a cost per distinct word of a step. Ends like ``bounded``."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(text).nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+    b = held = None
+    give_back()
+
+
 def give_back() -> None:
     """Workers are kept for later tasks: what they hold free would add up over the stages."""
     pa.default_memory_pool().release_unused()

@@ -33,9 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markscope.llm.common import ship
+from markscope.llm.slabs import gathered, give_back
 from markscope.llm.tokens import tokenizer
 
 BLOCK_IDS = 2_000_000
+#: Bytes of text encoded at once: distinct words are looked up once for each step.
+STEP_BYTES = 8_000_000
 SCHEMA = ("shard int, block int, start long, doc_ids array<bigint>, counts array<bigint>, "
           "ranks binary, control binary, data binary")
 
@@ -99,7 +102,7 @@ def _writer(tokenizer_path: str, end_id: int, block_ids: int) -> Callable:
             docs.clear(), counts.clear(), parts.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
-        for b in batches:
+        for b in gathered(batches, "text", STEP_BYTES):
             texts, keys = b.column("text"), b.column("doc_id").to_pylist()
             sizes = np.array([len(t.as_buffer() or b"") if t.is_valid else 0 for t in texts], np.int64)
             cut = (np.cumsum(sizes) - sizes) // (4 * block_ids)  # about a block of ids a step
@@ -154,6 +157,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                                                          pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        give_back()
 
     docs = blocks.mapInArrow(run, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
                              + (", ids array<int>" if with_ids else ""))

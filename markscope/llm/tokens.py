@@ -112,10 +112,17 @@ class ChunkTokenizer:
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Starts and lengths, in a flat id array of their own, of (distinct) pieces."""
-        lower = self._kind == "word"
-        parts: list[str] = []  # parts of all pieces in turn: "\0" marks a whole piece
+        lower, get = self._kind == "word", self._index.get
+        # most pieces are one plain word seen before: no regex for them (a NUL would look like a mark)
+        if lower:
+            known = np.fromiter((-1 if "\0" in p[:2] else get(p[1:] if p[:1] == " " and p[1:] not in ".," else p, -1) for p in pieces), np.int64, len(pieces))
+        else:
+            known = np.fromiter((-1 if p[:1] == "\0" else get(p, -1) for p in pieces), np.int64, len(pieces))
+        other = np.flatnonzero(known < 0)
+        parts: list[str] = []  # parts of all other pieces in turn: "\0" marks a whole piece
         n_parts = np.ones(len(pieces), np.int64)
-        for i, p in enumerate(pieces):
+        for i in other.tolist():
+            p = pieces[i]
             m = _PLAIN(p) if self._kind else None
             if m is None:
                 parts.append("\0" + p)
@@ -132,7 +139,6 @@ class ChunkTokenizer:
                 if stop2:
                     parts.append(stop2)
             n_parts[i] = len(parts) - n
-        get = self._index.get
         idx = np.fromiter((get(p, -1) for p in parts), np.int64, len(parts))
         missing = np.flatnonzero(idx < 0)
         if len(missing):
@@ -145,6 +151,11 @@ class ChunkTokenizer:
                 self._add(whole, [e.ids for e in self._tok.encode_batch_fast(
                     [w[1:] for w in whole], add_special_tokens=False)])
             idx[missing] = [get(parts[i]) for i in missing]
+        if len(other) < len(pieces):  # all parts in the order of the pieces
+            seen, first = idx, np.cumsum(n_parts) - n_parts
+            idx = np.empty(int(n_parts.sum()), np.int64)
+            idx[first[known >= 0]] = known[known >= 0]
+            idx[ragged(first[other], n_parts[other])] = seen
         lens = self._lens[idx]
         self._flat = self._ids[ragged(self._starts[idx], lens)]
         at = np.concatenate(([0], np.cumsum(lens)))

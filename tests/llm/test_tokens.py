@@ -122,3 +122,31 @@ def test_level_choice_minimises_the_sum_of_squares():
         options = [0] + [h for h in range(1, 17 - s) if n[h]]
         assert squares(p.level_for(s)) == min(map(squares, options))
         list(p.place((0, 0, s, np.zeros(s, np.uint32))))
+
+
+def test_small_batches_are_encoded_together():
+    import pyarrow as pa
+    from markscope.llm.slabs import gathered
+    batches = [pa.RecordBatch.from_pydict({"text": [t, None]}) for t in ("a" * 30, "b" * 30, "c" * 100, "d")]
+    out = list(gathered(iter(batches), "text", 60))
+    assert [b.num_rows for b in out] == [4, 2, 2]
+    assert pa.Table.from_batches(out).equals(pa.Table.from_batches(batches))
+    assert not list(gathered(iter([]), "text", 60))
+
+
+def test_known_words_skip_the_regex(monkeypatch):
+    """Plain words seen before are looked up; pieces with NULs are never taken for kept ones."""
+    from tokenizers import Tokenizer
+
+    from markscope.llm import tokens
+    texts = ["one two 12 three. Two", "one two 12 three. Two", " \x0012 \x00one \x00 . , .x", "one two"] * 2
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = f"{TOK}/{name}"
+        tok, whole = tokens.ChunkTokenizer(path), Tokenizer.from_file(path)
+        for t in texts:
+            assert tok.encode([t])[0].tolist() == whole.encode(t, add_special_tokens=False).ids
+        tried = []
+        monkeypatch.setattr(tokens, "_PLAIN", lambda p: tried.append(p))
+        tok.encode(["one two"])
+        assert not tried
+        monkeypatch.undo()
