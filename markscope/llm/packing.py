@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from markscope.llm.common import ship
+from markscope.llm.slabs import give_back
 from markscope.llm.tokens import tokenizer
 
 WINDOW = 2048
@@ -158,5 +159,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size:
         emit(packer.finish())
         if rows:
             yield flush()
+        give_back()  # this worker may serve other stages
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, ddl)

@@ -150,3 +150,20 @@ def test_known_words_skip_the_regex(monkeypatch):
         tok.encode(["one two"])
         assert not tried
         monkeypatch.undo()
+
+
+def test_packing_gives_memory_back(monkeypatch):
+    """A worker that has packed returns what it holds free: later stages use the same worker."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from markscope.llm import packing
+    calls, kept = [], {}
+    frame = SimpleNamespace(sparkSession=None, selectExpr=lambda *a: SimpleNamespace(
+        mapInArrow=lambda run, ddl: kept.setdefault("run", run)))
+    monkeypatch.setattr(packing, "ship", lambda s: None)
+    monkeypatch.setattr(packing, "give_back", lambda: calls.append(1))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    packing.pack_documents(frame, f"{TOK}/word_bpe_49k.json", with_ids=False)
+    out = list(kept["run"](iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two", None]})])))
+    assert sum(b.num_rows for b in out) and calls == [1]
