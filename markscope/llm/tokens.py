@@ -5,9 +5,10 @@ back across such a cut (their patterns have no look-behind, and a run of white
 space is only ever joined to what follows it), so the ids of a text are the ids
 of its pieces in turn. Pieces repeat a lot: a batch's distinct pieces are found
 by dictionary coding and encoded once each by the ``tokenizers`` library. A piece
-that is one plain word (with a stop or comma, perhaps with a second word on a new
-line) goes to the library's model as those pre-tokens; any other piece goes
-through the library whole. ``tests/llm/test_tokens.py`` holds all of this against
+that is one plain word (with punctuation behind it, perhaps with a second word on a
+new line) goes to the library's model as those pre-tokens, each distinct one once:
+Arrow takes pieces apart, except those with accented capitals, which Python has to
+lower. Any other piece goes through the library whole. ``tests/llm/test_tokens.py`` holds all of this against
 encoding whole texts.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,12 @@ _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _BLANK_AFTER_WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 _PLAIN = re.compile(rf"( ?)({_LETTERS})([.,]?)(?:\n({_LETTERS})([.,]?))?").fullmatch
+# for Arrow: no capitals but ASCII ones, any run of ASCII punctuation (an apostrophe can start a pre-token)
+_SMALL = "[A-Za-zß-öø-ÿ]+"
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+_MARK = r"[!-&(-/:-@\[-`{-~]*"
+_PLAIN_SMALL = rf"\A ?{_SMALL}{_MARK}(?:\n{_SMALL}{_MARK})?\z"
+_NO_MARKS = " " + "".join(chr(c) for c in range(256) if re.match(_SMALL, chr(c)))
 
 #: Words kept per worker (about 250 bytes each); later ones live for one step.
 CACHE_WORDS = 300_000
@@ -59,6 +67,7 @@ class ChunkTokenizer:
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         self._tok = Tokenizer.from_file(path)
+        self._model = self._tok.model
         self.vocab_size = self._tok.get_vocab_size(with_added_tokens=True)
         pre = config.get("pre_tokenizer") or {}
         steps = [n["type"] for n in (config.get("normalizer") or {}).get("normalizers", [])]
@@ -108,18 +117,62 @@ class ChunkTokenizer:
             s = "Ġ" + word[1:] if word[0] == " " else word
         else:
             s = "".join([self._chars[b] for b in word.encode()])
-        return [t.id for t in self._tok.model.tokenize(s)]
+        return [t.id for t in self._model.tokenize(s)]
 
-    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and lengths, in a flat id array of their own, of (distinct) pieces."""
+    def _numbers(self, parts: list[str]) -> np.ndarray:
+        """Numbers of parts among the kept ones; new parts are encoded ("\\0" marks a whole piece)."""
+        get = self._index.get
+        idx = np.fromiter(map(get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(idx < 0)
+        if len(missing):
+            new = list(dict.fromkeys([parts[i] for i in missing]))
+            whole = [p for p in new if p[0] == "\0"]
+            words = [p for p in new if p[0] != "\0"]
+            if words:
+                self._add(words, [self._pretoken(w) for w in words])
+            if whole:
+                self._add(whole, [e.ids for e in self._tok.encode_batch_fast(
+                    [w[1:] for w in whole], add_special_tokens=False)])
+            idx[missing] = [get(parts[i]) for i in missing]
+        return idx
+
+    def _plain_parts(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the parts of pieces like ``_PLAIN_SMALL`` in turn, and how many parts each has."""
+        lower = self._kind == "word"
+        if lower:
+            pieces = pc.ascii_lower(pc.ascii_ltrim(pieces, " "))
+        split = pc.split_pattern(pieces, "\n")
+        lines, offsets = split.flatten(), split.offsets.to_numpy()
+        first = offsets[:-1] - offsets[0]
+        words = pc.ascii_rtrim(lines, _MARKS)
+        stopped = pc.not_equal(pc.binary_length(lines), pc.binary_length(words)).to_numpy(zero_copy_only=False)
+        broken = np.full(len(lines), not lower)  # a line break in front, unless it is a piece's first line
+        broken[first] = False
+        size = 1 + broken + stopped
+        at = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.int64)
+        out[at + broken] = self._coded_numbers(words)
+        if stopped.any():
+            stops = pc.utf8_ltrim(lines.filter(pa.array(stopped)), _NO_MARKS)
+            out[(at + broken + 1)[stopped]] = self._coded_numbers(stops)
+        if broken.any():
+            out[at[broken]] = self._numbers(["\n"])[0]
+        return out, np.add.reduceat(size, first)
+
+    def _coded_numbers(self, parts: pa.Array) -> np.ndarray:
+        coded = parts.dictionary_encode()
+        return self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+
+    def _other_parts(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any other pieces."""
         lower, get = self._kind == "word", self._index.get
-        # most pieces are one plain word seen before: no regex for them (a NUL would look like a mark)
+        # pieces seen before: no regex for them (a NUL would look like a mark)
         if lower:
             known = np.fromiter((-1 if "\0" in p[:2] else get(p[1:] if p[:1] == " " and p[1:] not in ".," else p, -1) for p in pieces), np.int64, len(pieces))
         else:
             known = np.fromiter((-1 if p[:1] == "\0" else get(p, -1) for p in pieces), np.int64, len(pieces))
         other = np.flatnonzero(known < 0)
-        parts: list[str] = []  # parts of all other pieces in turn: "\0" marks a whole piece
+        parts: list[str] = []  # parts of all pieces not seen before in turn: "\0" marks a whole piece
         n_parts = np.ones(len(pieces), np.int64)
         for i in other.tolist():
             p = pieces[i]
@@ -139,31 +192,37 @@ class ChunkTokenizer:
                 if stop2:
                     parts.append(stop2)
             n_parts[i] = len(parts) - n
-        idx = np.fromiter((get(p, -1) for p in parts), np.int64, len(parts))
-        missing = np.flatnonzero(idx < 0)
-        if len(missing):
-            new = list(dict.fromkeys([parts[i] for i in missing]))
-            whole = [p for p in new if p[0] == "\0"]
-            words = [p for p in new if p[0] != "\0"]
-            if words:
-                self._add(words, [self._pretoken(w) for w in words])
-            if whole:
-                self._add(whole, [e.ids for e in self._tok.encode_batch_fast(
-                    [w[1:] for w in whole], add_special_tokens=False)])
-            idx[missing] = [get(parts[i]) for i in missing]
+        idx = self._numbers(parts)
         if len(other) < len(pieces):  # all parts in the order of the pieces
             seen, first = idx, np.cumsum(n_parts) - n_parts
             idx = np.empty(int(n_parts.sum()), np.int64)
             idx[first[known >= 0]] = known[known >= 0]
             idx[ragged(first[other], n_parts[other])] = seen
+        return idx, n_parts
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths, in a flat id array of their own, of (distinct) pieces."""
+        plain = (pc.match_substring_regex(pieces, _PLAIN_SMALL).to_numpy(zero_copy_only=False) if self._kind
+                 else np.zeros(len(pieces), bool))
+        found = []  # (pieces, their parts, parts of each)
+        for kind, take in ((plain, self._plain_parts), (~plain, lambda some: self._other_parts(some.to_pylist()))):
+            own = np.flatnonzero(kind)
+            if len(own):
+                found.append((own, *take(pieces.take(pa.array(own)))))
+        n_parts = np.zeros(len(pieces), np.int64)
+        for own, _, n in found:
+            n_parts[own] = n
+        ends = np.cumsum(n_parts)
+        idx = np.empty(int(n_parts.sum()), np.int64)
+        for own, parts, n in found:
+            idx[ragged(ends[own] - n, n)] = parts
         lens = self._lens[idx]
         self._flat = self._ids[ragged(self._starts[idx], lens)]
         at = np.concatenate(([0], np.cumsum(lens)))
-        ends = np.cumsum(n_parts)
         starts = at[ends - n_parts]
         return starts, at[ends] - starts
 
-    def _join(self, code: np.ndarray, pieces: list[str], n_pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _join(self, code: np.ndarray, pieces: pa.Array, n_pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts given as numbers of distinct pieces."""
         starts, lens = self._pieces(pieces)
         lens_of = lens[code]
@@ -181,7 +240,8 @@ class ChunkTokenizer:
             n_chunks[i] = len(c)
             chunks += c
         code = {c: i for i, c in enumerate(dict.fromkeys(chunks))}
-        return self._join(np.fromiter(map(code.__getitem__, chunks), np.int64, len(chunks)), list(code), n_chunks)
+        return self._join(np.fromiter(map(code.__getitem__, chunks), np.int64, len(chunks)), pa.array(list(code), pa.string()),
+                          n_chunks)
 
     def _encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Texts whose blanks all follow something else: cut in front of each blank."""
@@ -189,12 +249,12 @@ class ChunkTokenizer:
         offsets = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary
         heads = offsets[:-1] - offsets[0]
         first, back = np.unique(code[heads], return_inverse=True)
         code[heads] = len(words) + back  # a text's first piece has no blank in front
-        return self._join(code, [" " + w for w in words] + [words[i] for i in first],
-                          np.diff(offsets).astype(np.int64))
+        pieces = pa.concat_arrays([pc.binary_join_element_wise("", words, " "), words.take(pa.array(first))])
+        return self._join(code, pieces, np.diff(offsets).astype(np.int64))
 
     def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) one text after another, and the number of ids per text."""

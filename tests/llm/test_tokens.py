@@ -152,6 +152,34 @@ def test_known_words_skip_the_regex(monkeypatch):
         monkeypatch.undo()
 
 
+def test_words_are_taken_apart_without_a_regex(monkeypatch):
+    """A word with other punctuation or a second word behind it is no new piece: neither the regex
+    nor the whole pipeline of the library sees it."""
+    from markscope.llm import tokens
+    texts = ["One été, one. one!! Two## two.\nOne été?!\nté aÿ--", "(a b_c it's o' x'll d'été 'tis É.\nÀ été... ###\nb\n\nc",
+             "one\n", "\n", " \n one", ". .\n, #\n##", "a,.\nb;: <|endoftext|> x<| endoftext|>", "K·l µm ªa ×b÷ ŉa İx"]
+    for name in FILES:
+        tok, whole = tokens.ChunkTokenizer(f"{TOK}/{name}"), Tokenizer.from_file(f"{TOK}/{name}")
+        tried = []
+        with monkeypatch.context() as m:
+            m.setattr(tokens, "_PLAIN", lambda p: tried.append(p))
+            ids, n = tok.encode(texts[:1])
+        assert not tried and ids.tolist() == whole.encode(texts[0], add_special_tokens=False).ids
+        assert not any(k.startswith("\0") for k in tok._index)
+        for group in (texts, texts[::-1], *[[t] for t in texts]):
+            want = [whole.encode(t, add_special_tokens=False).ids for t in group]
+            ids, n = tok.encode(group)
+            assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aBzéÿßÉ  \n.,!#-'_<|>1"), max_size=25), max_size=4))
+def test_plain_pieces_equal_whole_text_encoding(texts):
+    for lib, mine in _libs.values():
+        ids, n = mine.encode(texts)
+        assert ids.tolist() == [i for t in texts for i in lib.encode(t, add_special_tokens=False).ids]
+
+
 def test_packing_gives_memory_back(monkeypatch):
     """A worker that has packed returns what it holds free: later stages use the same worker."""
     from types import SimpleNamespace
