@@ -91,9 +91,13 @@ def time_major(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def forward_backward(em: np.ndarray, transitions: np.ndarray, active: np.ndarray
                      ) -> tuple[np.ndarray, np.ndarray, float]:
-    """Marginals of time-major words, expected transitions and the log partition."""
+    """Marginals of time-major words, expected transitions and the log partition. Two arrays of
+    the size of ``em`` are held at once: the marginals take the place of the forward values."""
     top = em.max(axis=1, keepdims=True)
-    e = np.exp((em - top).astype(np.float64))
+    e = (em - top).astype(np.float64, copy=False)
+    log_top = top.sum()
+    del em, top
+    np.exp(e, out=e)
     T = np.exp(transitions.astype(np.float64))
     at = np.concatenate(([0], np.cumsum(active)))
     alpha, scale = np.empty_like(e), np.empty(len(e))
@@ -103,14 +107,16 @@ def forward_backward(em: np.ndarray, transitions: np.ndarray, active: np.ndarray
         s = a.sum(axis=1)
         alpha[lo:hi] = a / s[:, None]
         scale[lo:hi] = s
-    beta = np.ones_like(e)
     moves = np.zeros_like(T)
+    after = np.ones((active[-1] if len(active) else 0, e.shape[1]))  # backward values of the place behind
     for t in range(len(active) - 2, -1, -1):
         n = active[t + 1]
-        nxt = e[at[t + 1]:at[t + 1] + n] * beta[at[t + 1]:at[t + 1] + n] / scale[at[t + 1]:at[t + 1] + n, None]
-        beta[at[t]:at[t] + n] = nxt @ T.T
+        nxt = e[at[t + 1]:at[t + 1] + n] * after / scale[at[t + 1]:at[t + 1] + n, None]
+        after = np.ones((active[t], e.shape[1]))
+        after[:n] = nxt @ T.T
         moves += alpha[at[t]:at[t] + n].T @ nxt
-    return alpha * beta, moves * T, float(np.log(scale).sum() + top.sum())
+        alpha[at[t]:at[t + 1]] *= after
+    return alpha, moves * T, float(np.log(scale, out=scale).sum() + log_top)
 
 
 def coded(texts: list[str | None]) -> tuple[list[bytes], list[np.ndarray]]:
@@ -134,7 +140,9 @@ def train(vocabulary: list[bytes], texts: list[np.ndarray], labels: list[np.ndar
     n_words = len(present)
     gold = np.concatenate([labels[i] for i in keep]).astype(np.int32)
     order, active = time_major(lens)
-    code, gold_t = code.astype(np.int32)[order], gold[order]
+    code = code.astype(np.int32)[order]
+    at_gold = np.arange(len(code)) * n_labels + gold[order]
+    del order
     blocks = []  # (words from, to, features, their number for each word)
     for at in range(0, n_words, TRAIN_WORDS):
         f, n = word_features([vocabulary[i] for i in present[at:at + TRAIN_WORDS]])
@@ -147,14 +155,14 @@ def train(vocabulary: list[bytes], texts: list[np.ndarray], labels: list[np.ndar
     inner[np.cumsum(lens) - lens] = False
     to = np.flatnonzero(inner)
     seen = np.bincount(gold[to - 1] * n_labels + gold[to], minlength=n_labels ** 2).reshape(n_labels, n_labels)
+    del gold, inner, to
     grads = [np.full_like(x, 1e-8) for x in (w, b, T)]
-    at_gold = np.arange(len(code)), gold_t
     for _ in range(steps):
         em = np.empty((n_words, n_labels))
         for lo, hi, f, n in blocks:
             em[lo:hi] = np.add.reduceat(w[f], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None] + b
         d, moves, _ = forward_backward(em[code], T, active)
-        d[at_gold] -= 1
+        d.reshape(-1)[at_gold] -= 1
         d /= len(code)
         by_word = np.stack([np.bincount(code, d[:, k], n_words) for k in range(n_labels)], axis=1)
         gw = l2 * w
@@ -162,6 +170,7 @@ def train(vocabulary: list[bytes], texts: list[np.ndarray], labels: list[np.ndar
             own = by_word[lo:hi] / np.sqrt(n)[:, None]
             for k in range(n_labels):
                 gw[:, k] += np.bincount(f, np.repeat(own[:, k], n), len(used))
+        del d
         for x, gx, s in ((w, gw, grads[0]), (b, by_word.sum(axis=0), grads[1]),
                          (T, (moves - seen) / len(code) + 1e-4 * T, grads[2])):
             s += gx * gx

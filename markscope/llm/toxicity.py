@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from markscope.llm import crf
 from markscope.llm.common import BROADCAST_ROWS, Scratch, least_hashes, ship
-from markscope.llm.slabs import bounded
+from markscope.llm.slabs import bounded, give_back
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE_DOCS = 3000
@@ -156,6 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[
     vocabulary, texts = crf.coded([r["text"] for r in rows])
     if not vocabulary:
         return None
+    # every third document is left for the score
+    tag, rest = ([i for i in range(len(texts)) if bool(i % 3) == kind] for kind in (True, False))
+    held, texts = [rows[i]["text"] for i in rest], [texts[i] for i in tag]
+    del rows
     if first.count() <= BROADCAST_ROWS:
         first = F.broadcast(first)
     labelled = hashed.join(first, ["doc_id", "th"])
@@ -164,13 +168,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[
     own = picked.select("text").mapInArrow(_vocabulary_keys, "key long").distinct()
     good = {r["key"] for r in toxic_keys(each).join(own, "key", "left_semi").collect()}
     bad = np.array([not good.isdisjoint(_keys(w)) for w in vocabulary])
-    gold = [bad[w] * int(y) for w, y in zip(texts, toxic)]
-    # every third document is left for the score
-    tag = [i for i in range(len(texts)) if i % 3]
-    model = crf.train(vocabulary, [texts[i] for i in tag], [gold[i] for i in tag], 2)
-    rest = [i for i in range(len(texts)) if not i % 3]
-    parts = [_sums(lens, p) for lens, p in crf.marginals(model, [rows[i]["text"] for i in rest])]
-    return model, _logistic(np.concatenate(parts), toxic[rest])
+    gold = [bad[w] & bool(toxic[i]) for i, w in zip(tag, texts)]
+    give_back()
+    model = crf.train(vocabulary, texts, gold, 2)
+    del vocabulary, texts, gold, good, bad
+    parts = [_sums(lens, p) for lens, p in crf.marginals(model, held)]
+    fitted = model, _logistic(np.concatenate(parts), toxic[rest])
+    give_back()  # the driver has more stages before it
+    return fitted
 
 
 def _scored(sent, texts: list[str | None]) -> np.ndarray:

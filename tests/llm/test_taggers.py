@@ -31,6 +31,25 @@ def test_forward_backward_against_all_paths():
     assert np.allclose(got, want / z) and np.allclose(got_moves, moves / z) and np.isclose(log_z, np.log(z))
 
 
+def test_forward_backward_holds_little():
+    """The driver trains in one go: two arrays of the emissions' size, texts of any lengths side by side."""
+    import tracemalloc
+    r = np.random.default_rng(4)
+    lens = np.array([700, 3, 1, 700, 250, 40] * 30)
+    order, active = crf.time_major(lens)
+    em, T = r.normal(size=(len(order), 2)), r.normal(size=(2, 2))
+    tracemalloc.start()
+    p, moves, log_z = crf.forward_backward(em[order], T, active)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * em.nbytes
+    back = np.empty_like(p)
+    back[order] = p
+    each = [crf.forward_backward(x, T, np.ones(len(x), np.int64)) for x in np.split(em, np.cumsum(lens)[:-1])]
+    assert np.allclose(back, np.concatenate([x[0] for x in each]))
+    assert np.allclose(moves, sum(x[1] for x in each)) and np.isclose(log_z, sum(x[2] for x in each))
+
+
 def test_training_does_not_depend_on_the_block_size(monkeypatch):
     texts = ["red green blue", "blau rot", "", "green rot red", "blau blau gelb"]
     words, coded = crf.coded(texts)
