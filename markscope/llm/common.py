@@ -52,7 +52,8 @@ class Scratch:
     """A folder of this run under ``spark.checkpoint.dir``.
 
     ``save`` writes a table there and reads it back: that cuts lineage, is visible
-    to every executor, and survives the loss of any of them.
+    to every executor, and survives the loss of any of them. Behind a ``with`` block over
+    it the folder is removed: for tables whose readers are all written within the block.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -69,6 +70,13 @@ class Scratch:
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        root.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(root, True)
+
 
 def keyed_filter(big: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
     """Semi or anti join of ``big`` with a written list of keys (null keys equal each

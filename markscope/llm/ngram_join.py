@@ -118,17 +118,18 @@ def keep_one_per_component(docs: DataFrame, k: int = 5, threshold: Fraction = Fr
     and text are one document, of which one row stays. All columns are kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-keep")
-    found = scratch.save(ngram_components(docs, k, threshold, scratch).where("component IS NOT NULL")
-                         .groupBy("component", "doc_id", "th").agg(F.count("*").alias("n")), "documents")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    first = found.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("size")).where("size > 1")
-    gone = scratch.save(found.join(first, "component")
-                        .where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))))
-                        .selectExpr("doc_id __ms_id", "th __ms_th"), "removed")
+    with Scratch(spark, "ngram-steps") as steps:
+        found = steps.save(ngram_components(docs, k, threshold, steps).where("component IS NOT NULL")
+                           .groupBy("component", "doc_id", "th").agg(F.count("*").alias("n")), "documents")
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+        first = found.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("size")).where("size > 1")
+        gone = scratch.save(found.join(first, "component")
+                            .where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))))
+                            .selectExpr("doc_id __ms_id", "th __ms_th"), "removed")
+        again = scratch.save(found.where("n > 1").selectExpr("doc_id __ms_id", "th __ms_th"), "repeated")
     tagged = docs.withColumn("__ms_id", F.col("doc_id").cast("long")).withColumn("__ms_th", F.xxhash64("text"))
     kept = keyed_filter(tagged, gone, ["__ms_id", "__ms_th"], "left_anti")
     # only rows that repeat are grouped with their texts
-    again = scratch.save(found.where("n > 1").selectExpr("doc_id __ms_id", "th __ms_th"), "repeated")
     once = keyed_filter(kept, again, ["__ms_id", "__ms_th"], "left_anti")
     first = keyed_filter(kept, again, ["__ms_id", "__ms_th"], "left_semi").dropDuplicates(["__ms_id", "__ms_th"])
     return once.unionByName(first).drop("__ms_id", "__ms_th")

@@ -251,8 +251,11 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5,
                  threshold: Fraction = Fraction(8, 10)) -> DataFrame:
     """``docs`` (all columns) without repeated spans in their texts; a document whose words
     all repeat goes; n_chars follows the new text; other documents stay as they are."""
-    _, spans = repeated_spans(docs, min_words, k, threshold)
-    spans = spans.selectExpr("doc_id __ms_id", "th __ms_th", "spans __ms_spans")
+    spark = docs.sparkSession
+    with Scratch(spark, "passages-steps") as steps:
+        _, spans = repeated_spans(docs, min_words, k, threshold, steps)
+        spans = Scratch(spark, "passages").save(
+            spans.selectExpr("doc_id __ms_id", "th __ms_th", "spans __ms_spans"), "cuts")
     tagged = docs.withColumn("__ms_h", F.xxhash64("text"))
     both = tagged.join(spans, tagged["doc_id"].cast("long").eqNullSafe(F.col("__ms_id")) & (F.col("__ms_h") == F.col("__ms_th")),
                        "left").drop("__ms_id", "__ms_th", "__ms_h")

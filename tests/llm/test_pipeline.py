@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import corpus_pipeline
@@ -75,3 +76,26 @@ def test_stages(spark, tmp_path):
             assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in own))
             at += r.length
         assert at == len(ids)
+
+
+def test_tables_of_finished_steps_go(spark, docs_of):
+    """What a stage leaves in the shared folder while later ones run: only what its result reads."""
+    from markscope.session import checkpoint_dir
+    top = checkpoint_dir(spark).removeprefix("file:")
+    words = [f"w{i}" for i in range(400)]
+    rows = [(d, " ".join(words[d * 3:d * 3 + 90 + d])) for d in range(30)]
+    rows += [(100, rows[3][1]), (100, rows[3][1]), (101, rows[4][1] + " more"), (None, rows[5][1]), (102, None)]
+
+    def left():
+        return {(d.split("-", 1)[1].rsplit("-", 1)[0], t.split("-", 1)[1]) for d in set(os.listdir(top)) - before
+                for t in os.listdir(f"{top}/{d}")}
+
+    docs = docs_of(rows)
+    for stage, tables in ((corpus_pipeline.near_duplicates, {("ngram-keep", "removed"), ("ngram-keep", "repeated")}),
+                          (corpus_pipeline.repeated_passages, {("passages", "cuts")})):
+        before = set(os.listdir(top))
+        out = stage(spark, docs, SF)
+        assert left() == tables
+        got = sorted((r.doc_id or -1, r.text or "") for r in out.collect())
+        assert got == sorted((r.doc_id or -1, r.text or "") for r in out.collect()) and 0 < len(got) < len(rows)
+        assert left() == tables
