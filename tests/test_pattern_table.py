@@ -69,3 +69,47 @@ def test_no_text_is_shuffled(spark, capsys):
     nodes = capsys.readouterr().out.split("\n\n")
     sent = [n for n in nodes if ") Exchange" in n and "id#" in n]
     assert sent and not any(c in n for n in sent for c in ("_text#", "line#", "_near#", "pattern#"))
+
+
+def test_lines_are_searched_in_one_pass(spark, capsys):
+    """No row for each place of a line, no join and no second reading: one search and one exchange."""
+    lines = spark.createDataFrame([(1, "a key1"), (2, "a key3")], "id long, line string")
+    table = spark.createDataFrame([("key1",), ("key2",)], "pattern string")
+    out = grep_pattern_table(lines, table, ["id"])
+    out.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "Join" not in plan and "Generate" not in plan and "Aggregate" not in plan
+    assert plan.count(") ArrowEvalPython") == 1 and plan.count(") Exchange") == 1
+    assert [tuple(r) for r in out.collect()] == [(1, "a key1", [2])]
+
+
+def test_tables_too_large_for_the_tasks(spark, monkeypatch):
+    """The joins give the same lines as the search: by number of patterns and by their bytes, the
+    index broadcast or not, keys repeated or NULL, both cases."""
+    from markscope.operators import pattern_table
+    r = random.Random(11)
+    text = lambda n: "".join(r.choice("abBé😀") for _ in range(n))
+    rows = [(i // 3, text(r.choice([0, 2, 30, 300]))) for i in range(30)] + [(None, "abab"), (7, None), (8, "abab"), (8, "abab")]
+    lines = spark.createDataFrame(rows, "id int, line string")
+    table = spark.createDataFrame([(text(r.choice([1, 3, 5])),) for _ in range(12)] + [("ab",), (None,), ("",)], "pattern string")
+    for low in (False, True):
+        want = sorted(tuple(x) for x in grep_pattern_table(lines, table, ["id"], ignore_case=low).collect())
+        assert len(want) > 20 and all(x[0] is not None for x in want)
+        for limit, few in (("TABLE_ROWS", True), ("TABLE_BYTES", False)):
+            with monkeypatch.context() as m:
+                m.setattr(pattern_table, limit, 1)
+                m.setattr(pattern_table, "broadcast_if_small", lambda df: F.broadcast(df) if few else df)
+                m.setattr(pattern_table, "_searched", None)
+                got = sorted(tuple(x) for x in grep_pattern_table(lines, table, ["id"], ignore_case=low).collect())
+            assert got == want
+
+
+def test_any_columns_beside_the_key(spark):
+    """Keys of several types, columns that Python never sees, no key at all."""
+    lines = spark.sql("SELECT * FROM VALUES (1, 'x', map('a', 1), 'xaxa'), (1, NULL, map('b', 2), 'a'), (2, 'y', NULL, 'b') "
+                      "AS t(n, s, m, line)").selectExpr("*", "named_struct('d', n) AS k", "make_ym_interval(n, 0) AS i")
+    table = spark.createDataFrame([("a",)], "pattern string")
+    out = grep_pattern_table(lines, table, ["n", "s", "k"])
+    assert out.columns == [*lines.columns, "position"]
+    assert [(r.n, r.m, r.position) for r in out.drop("i").collect()] == [(1, {"a": 1}, [1, 3])]
+    assert grep_pattern_table(lines.select("line"), table, []).count() == 2
